@@ -83,3 +83,26 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20) -> Iterator[p
     for a, b in zip(cuts, cuts[1:], strict=False):
         if a < b:
             yield batch.slice(a, b - a)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as bytes: their byte planes one after the other, compressed, so that high planes of zeros cost nothing."""
+    width = values.dtype.itemsize
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes()
+    return len(planes).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    size, width = int.from_bytes(blob[:8], "little"), blob[8]
+    planes = pa.decompress(blob[9:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    flat = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T)
+    return flat.reshape(-1).view(f"u{width}")
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending unsigned integers, as their differences."""
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
