@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .cross_polytope import link_vectors
 from .deleted_interpolation import score_documents
+from .language_profiles import identify_languages
+from .line_blocks import extract_pages
 from .minhash import near_duplicates
+from .token_lengths import length_histogram
 from .url_rules import ORACLE_SQL as URL_SQL
 from .url_rules import judge_urls
 
@@ -18,10 +21,18 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -30,12 +41,19 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_deleted_interpolation": op1_deleted_interpolation,
+        "op2_rank_order_profiles": op2_rank_order_profiles,
         "op3_url_rules": op3_url_rules,
+        "op5_line_block_extraction": op5_line_block_extraction,
         "op7_cross_polytope": op7_cross_polytope,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_token_length_histogram": op9_token_length_histogram,
     }
 
 
