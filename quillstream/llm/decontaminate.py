@@ -30,15 +30,15 @@ class LeakConfig:
     max_items, max_bytes: of an index; larger benchmarks are asked in several passes."""
 
     half: int = 64
-    block: int = 32
-    common: int = 64
+    block: int = 4
+    common: int = 128
     k1: float = 1.2
     b: float = 0.75
     threshold: float = 0.5
     shingle: int = 5
     overlap: float = 0.8
-    max_items: int = 20_000
-    max_bytes: int = 32 << 20
+    max_items: int = 4_000
+    max_bytes: int = 8 << 20
 
 
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -85,10 +85,12 @@ class BlockMaxIndex:
             self.common_max[row, self.block_id[part]] = self.block_max[part]
         # Inside a block: its terms and a dense table of impacts.
         self.tables = []
+        by_block = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         for k in range(self.blocks):
-            mine = np.flatnonzero(block == k)
+            mine = by_block[cuts[k] : cuts[k + 1]]
             terms, row = np.unique(at[mine], return_inverse=True)
-            table = np.zeros((len(terms), min(config.block, n - k * config.block)))
+            table = np.zeros((len(terms) + 1, min(config.block, n - k * config.block)))
             table[row, item[mine] - k * config.block] = impact[mine]
             self.tables.append((terms, table))
         self.parts = []
@@ -128,20 +130,28 @@ class BlockMaxIndex:
         term = at[known]
         upper = self.bounds(term, half, int(first[-1]))
         owner = np.repeat(np.arange(len(halves)), halves)
-        follows = np.zeros(len(owner), bool)
+        follows = np.zeros(len(owner), np.int64)
         follows[:-1] = owner[1:] == owner[:-1]
-        joint = upper.copy()
-        joint[:-1][follows[:-1]] += upper[1:][follows[:-1]]
+        joint = upper
+        joint[:-1] += upper[1:] * follows[:-1, None]
         starts = np.searchsorted(half, np.arange(len(owner) + 1))
         best: dict[tuple[int, int], float] = {}
-        for p, k in zip(*np.nonzero(joint >= self.config.threshold - 1e-5), strict=True):
-            mine = np.unique(term[starts[p] : starts[p + 1 + int(follows[p])]])
+        near = joint >= self.config.threshold - 1e-4
+        for k in np.flatnonzero(near.any(axis=0)).tolist():
+            passage = np.flatnonzero(near[:, k])
+            size = starts[passage + 1 + follows[passage]] - starts[passage]
+            held = np.repeat(starts[passage] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             terms, table = self.tables[k]
-            place = np.minimum(np.searchsorted(terms, mine), len(terms) - 1)
-            score = table[place[terms[place] == mine]].sum(0)
-            for i in np.flatnonzero(score >= self.config.threshold).tolist():
-                pair = (int(owner[p]), int(k) * self.config.block + i)
-                best[pair] = max(best.get(pair, 0.0), float(score[i]))
+            place = np.minimum(np.searchsorted(terms, term[held]), len(terms) - 1)
+            there = terms[place] == term[held]
+            pair = np.unique(np.repeat(np.arange(len(passage)), size)[there] * len(table) + place[there])
+            score = np.add.reduceat(
+                np.concatenate((table[pair % len(table)], table[-1:])), np.minimum(np.searchsorted(pair // len(table), np.arange(len(passage))), len(pair))
+            )
+            score[~np.isin(np.arange(len(passage)), pair // len(table))] = 0
+            for p, i in zip(*np.nonzero(score >= self.config.threshold), strict=True):
+                found = (int(owner[passage[p]]), k * self.config.block + int(i))
+                best[found] = max(best.get(found, 0.0), float(score[p, i]))
         out, runs = [], {}
         for (r, i), score in sorted(best.items()):
             found = []

@@ -16,14 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Staging, pack, slices, unpack
 from .tokens import SHAPE_CLASSES, combine, mix, row_of, token_hashes
 
 _REPEATS = mix(np.arange(3, 16, dtype=np.uint64))
 _SLICE = 4096
+_WEIGHT = "quillstream_weight"
 
 
 @dataclass(frozen=True)
@@ -127,8 +129,8 @@ def fit_ratios(docs: DataFrame, config: ImportanceConfig) -> np.ndarray:
     return out
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, config: ImportanceConfig) -> DataFrame:
-    """(id, good, weight) of rows (id, text, good)."""
+def weigh(docs: DataFrame, ratios: np.ndarray, config: ImportanceConfig, text_col: str = "text") -> DataFrame:
+    """The same rows with their weight."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))  # 4 bytes a bucket
 
     def ratio(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -137,12 +139,12 @@ def weigh(docs: DataFrame, ratios: np.ndarray, config: ImportanceConfig) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
-                one, two, ptr = features(batch.column("text"), config)
+            for batch in slices(whole, text_col):
+                one, two, ptr = features(batch.column(text_col), config)
                 weight = window_weights(ratio(one, two), ptr, config.window)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("good"), pa.array(weight)], names=["id", "good", "weight"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names=[*batch.schema.names, _WEIGHT])
 
-    return docs.mapInArrow(run, "id long, good boolean, weight double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(_WEIGHT, T.DoubleType())]))
 
 
 def best_threshold(cells: list[tuple[float, int, int]]) -> float:
@@ -192,21 +194,35 @@ def resample(docs: DataFrame, labels: DataFrame, config: ImportanceConfig = Impo
     null labels are not used, and without both good and bad labels all documents are selected;
     other columns are ignored; an empty table gives no rows.
     """
+    keyed, _, least = _draw(docs, labels, config, id_col, text_col, quality_col, toxic_col)
+    return keyed.select(F.col("id").alias(id_col), F.col(_WEIGHT).alias("weight"), "draw_key", (F.col("draw_key") >= least).alias("selected"))
+
+
+def select_documents(docs: DataFrame, labels: DataFrame, config: ImportanceConfig = ImportanceConfig(), id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
+    """The rows that resample() selects, with all their columns; defined cases as there."""
+    _, ratios, least = _draw(docs, labels, config, id_col, text_col, quality_col, toxic_col)
+    weighed = weigh(docs, ratios, config, text_col)
+    return weighed.where(_key(F.col(id_col).cast("long"), config) >= least).drop(_WEIGHT)
+
+
+def _key(ident: Column, config: ImportanceConfig) -> Column:
+    uniform = (F.shiftrightunsigned(F.xxhash64(ident, F.lit(config.seed + 1)), 12).cast("double") + 0.5) / float(1 << 52)
+    return F.col(_WEIGHT) / config.temperature - F.log(-F.log(uniform))
+
+
+def _draw(docs: DataFrame, labels: DataFrame, config: ImportanceConfig, id_col: str, text_col: str, quality_col: str, toxic_col: str) -> tuple[DataFrame, np.ndarray, float]:
+    """Rows (id, good, weight, draw_key), the ratios, and the least key selected."""
     staging = Staging(docs.sparkSession)
     # Bounded by max_labelled rows of 17 bytes, so it may be broadcast.
     sample = F.broadcast(labelled_sample(labels, config, id_col, quality_col, toxic_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id", "left").select("id", "text", "good")
-    weighed = staging.write(weigh(rows, fit_ratios(rows.where("good is not null"), config), config))
-    k = config.k
+    ratios = fit_ratios(rows.where("good is not null"), config)
+    weighed = staging.write(weigh(rows, ratios, config).drop("text"))
+    keyed = weighed.withColumn("draw_key", _key(F.col("id"), config))
+    k, total = config.k, weighed.count()
     if k is None:
         # Rounded to hundredths and bounded by max_labelled.
-        cells = weighed.where("good is not null").groupBy(F.round("weight", 2).alias("w")).agg(F.sum(F.col("good").cast("int")).alias("g"), F.sum((~F.col("good")).cast("int")).alias("b")).collect()
-        k = weighed.where(F.col("weight") >= best_threshold([(c.w, c.g, c.b) for c in cells])).count()
-    uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(config.seed + 1)), 12).cast("double") + 0.5) / float(1 << 52)
-    keyed = weighed.withColumn("draw_key", F.col("weight") / config.temperature - F.log(-F.log(uniform)))
-    total = weighed.count()
-    if k >= total or not total:
-        selected = F.lit(True)
-    else:
-        selected = F.lit(False) if k <= 0 else F.col("draw_key") >= kth_largest(keyed, "draw_key", k)
-    return keyed.select(F.col("id").alias(id_col), "weight", "draw_key", selected.alias("selected"))
+        cells = weighed.where("good is not null").groupBy(F.round(_WEIGHT, 2).alias("w")).agg(F.sum(F.col("good").cast("int")).alias("g"), F.sum((~F.col("good")).cast("int")).alias("b")).collect()
+        k = weighed.where(F.col(_WEIGHT) >= best_threshold([(c.w, c.g, c.b) for c in cells])).count()
+    least = -math.inf if k >= total else math.inf if k <= 0 else kth_largest(keyed, "draw_key", k)
+    return keyed, ratios, least

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The answer for a text without letters.
 UNDETERMINED = "und"
@@ -135,18 +136,17 @@ def learn_profiles(docs: DataFrame, config: ProfileConfig = ProfileConfig(), id_
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
     """The same rows with lang_pred and score; the prediction reads nothing but the text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             judged = [profiles.judge(t or "") for t in batch.column(text_col).to_pylist()]
-            keep = [n for n in batch.schema.names if n not in ("lang_pred", "score")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in keep), pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.float64())],
-                names=[*keep, "lang_pred", "score"],
+                [*batch.columns, pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.float64())],
+                names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    return docs.drop("lang_pred", "score").mapInArrow(run, f"{schema}, lang_pred string, score double")
+    base = docs.drop("lang_pred", "score")
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify_languages(docs: DataFrame, config: ProfileConfig = ProfileConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -185,3 +185,17 @@ def near_duplicates(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_c
     return alone.union(grouped).select(
         F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def keep_one_of_each(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents of which near_duplicates() keeps, with all their columns.
+
+    Of rows that repeat id and text one stays; defined cases otherwise as in near_duplicates().
+    """
+    judged = Staging(docs.sparkSession).write(near_duplicates(docs, config, id_col, text_col))
+    kept = docs.join(judged.where(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    repeated = judged.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, id_col, "left_anti").select(docs.columns)
+    return once.union(kept.join(repeated, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))

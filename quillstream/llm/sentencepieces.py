@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices
+from .common import ragged_parts, slices
+from .tokens import mix
 
 _BLANK = "▁"
 _NO_EDGE = np.int64(1) << 40
@@ -36,6 +38,7 @@ class PieceModel:
     unknown: int
     dummy_prefix: bool
     texts: list[bytes]
+    memo_size: int = 400_000
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -66,6 +69,8 @@ class PieceModel:
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces))
+        none = np.zeros(0, np.int64)
+        self.memo = Memo(none.astype(np.uint64), none, none, none.astype(np.int32))
         chars = sorted({c for p in self.pieces for c in p})
         #: Symbols: 0 ends a segment, 1 is a character of no piece, then the characters of pieces.
         self.symbol = np.ones(0x110000, np.uint16)
@@ -226,18 +231,67 @@ def encode_batch(texts: list[str | None], model: PieceModel) -> tuple[np.ndarray
     if model.cuts:
         cut[1:] |= blank[1:] & ~blank[:-1]
     seg = np.flatnonzero(cut)
-    seg_size = np.diff(np.append(seg, len(points)))
-    # Equal segments are matched once.
-    known: dict[bytes, int] = {}
-    raw = points.tobytes()
-    bounds = (4 * seg).tolist() + [4 * len(points)]
-    which = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(bounds, bounds[1:], strict=False)])
-    _, sample = np.unique(which, return_index=True)
-    size = seg_size[sample]
+    size = np.diff(np.append(seg, len(points)))
+    # Equal segments are matched once, and those met in earlier batches not again.
+    name, sample, which = np.unique(_segment_hashes(points, seg, size), return_index=True, return_inverse=True)
+    memo = model.memo
+    if len(memo.names):
+        place = np.minimum(np.searchsorted(memo.names, name), len(memo.names) - 1)
+        known = memo.names[place] == name
+    else:
+        place, known = np.zeros(len(name), np.int64), np.zeros(len(name), bool)
+    fresh = sample[~known]
+    new_ids, new_ptr = _encode_segments(points, seg[fresh], size[fresh], model)
+    flat = np.concatenate((memo.ids, new_ids))
+    begin, count = np.empty(len(name), np.int64), np.empty(len(name), np.int64)
+    begin[known], count[known] = memo.begin[place[known]], memo.count[place[known]]
+    begin[~known], count[~known] = new_ptr[:-1] + len(memo.ids), np.diff(new_ptr)
+    out = flat[_ranges(begin[which], count[which])]
+    if len(fresh) and len(memo.names) < model.memo_size:
+        memo.add(name[~known], new_ids, new_ptr, model.memo_size)
+    total = np.concatenate(([0], np.cumsum(count[which])))
+    return out, np.concatenate(([0], total[np.searchsorted(seg, ends)]))
+
+
+_code_of: list[np.ndarray] = []
+
+
+def _segment_hashes(points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every segment of code points."""
+    if not _code_of:
+        _code_of.append(np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    within = np.arange(len(points)) - np.repeat(start, size)
+    power = np.multiply.accumulate(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    return mix(np.add.reduceat(_code_of[0][points] * power[within], start) + size.astype(np.uint64))
+
+
+@dataclass
+class Memo:
+    """Tokens of segments met before: a bounded number, the first met."""
+
+    names: np.ndarray
+    begin: np.ndarray
+    count: np.ndarray
+    ids: np.ndarray
+
+    def add(self, names: np.ndarray, ids: np.ndarray, ptr: np.ndarray, limit: int) -> None:
+        few = slice(0, limit - len(self.names))
+        n = len(names[few])
+        begin, ids_kept = ptr[:-1][few] + len(self.ids), ids[: ptr[n]]
+        every = np.concatenate((self.names, names[few]))
+        order = np.argsort(every, kind="stable")
+        self.begin = np.concatenate((self.begin, begin))[order]
+        self.count = np.concatenate((self.count, np.diff(ptr)[few]))[order]
+        self.names, self.ids = every[order], np.concatenate((self.ids, ids_kept))
+
+
+def _encode_segments(points: np.ndarray, begin: np.ndarray, size: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of some segments of the points, and offsets into them."""
+    if not len(begin):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
     start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-    text = np.full(int((size + 1).sum()), 0, np.uint32)
-    inside = np.repeat(seg[sample] - start, size) + _ranges(start, size)
-    text[_ranges(start, size)] = points[inside]
+    text = np.zeros(int((size + 1).sum()), np.uint32)
+    text[_ranges(start, size)] = points[_ranges(begin, size)]
     symbols = model.symbol[text]
     symbols[start + size] = 0
     at, piece = relax(match_edges(symbols, model), start, size, len(symbols), model)
@@ -252,11 +306,7 @@ def encode_batch(texts: list[str | None], model: PieceModel) -> tuple[np.ndarray
     ids[place[:-1]] = piece
     for k, v in spelled.items():
         ids[place[k] : place[k + 1]] = v
-    token_ptr = place[np.append(np.searchsorted(at, start), len(at))]
-    per = np.diff(token_ptr)[which]
-    out = ids[np.repeat(token_ptr[:-1][which] - np.concatenate(([0], np.cumsum(per)[:-1])), per) + np.arange(per.sum())]
-    total = np.concatenate(([0], np.cumsum(per)))
-    return out, np.concatenate(([0], total[np.searchsorted(seg, ends)]))
+    return ids, place[np.append(np.searchsorted(at, start), len(at))]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -291,31 +341,27 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", text_c
     tokens is replaced; repeated rows are encoded alike; an empty table gives no rows.
     """
     base = docs.drop("tokens")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col, 2 << 20):
+            for batch in slices(whole, text_col, 6 << 20):
                 ids, ptr = encode_batch(batch.column(text_col).to_pylist(), _model(model))
                 tokens = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns, tokens], names=[*batch.schema.names, "tokens"])
 
-    return base.mapInArrow(run, f"{fields}, tokens array<int>")
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_documents(rows: DataFrame, model: str = "piece_bpe_32k.model", tokens_col: str = "tokens") -> DataFrame:
     """The same rows with `decoded`, the text of the tokens; null tokens count as none."""
     base = rows.drop("decoded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import ragged_parts
-
         for batch in batches:
             ids, ptr = ragged_parts(batch.column(tokens_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decode_batch(ids, ptr, _model(model)), pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return base.mapInArrow(run, f"{fields}, decoded string")
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def encode_digests(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,7 +374,7 @@ def encode_digests(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 texts, own = batch.column("text").to_pylist(), _model(model)
                 ids, ptr = encode_batch(texts, own)
                 decoded = decode_batch(ids, ptr, own)
