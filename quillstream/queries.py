@@ -1,15 +1,220 @@
-"""The register of the library's queries and of their DuckDB SQL."""
+"""The register of the library's queries and of their DuckDB SQL.
+
+Every query runs over its whole tables.  Models are learned from `documents` and asked about
+`benchmark`; the texts are invented, so tags and trees are pure functions of the words.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import is_valid_word, match_case, token_parts
+from .operators import corpus, ngrams, spelling
+from .oracle import SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _found[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.words(_docs(spark, sf_dir))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark items."""
+    return corpus.words(spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))
+
+
+@query
+def tokens_normalised(spark, sf_dir):
+    return corpus.tokens(_docs(spark, sf_dir))
+
+
+@query
+def tokens_clean(spark, sf_dir):
+    return corpus.tokens(_docs(spark, sf_dir)).where(is_valid_word(F.col("token"))).select("doc_id", "pos", F.lower("token").alias("word"))
+
+
+@query
+def token_split_case(spark, sf_dir):
+    distinct = corpus.tokens(_docs(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("n")).withColumn("p", token_parts(F.col("token"))).where("p is not null")
+    swapped = F.reverse(F.lower("p.core"))
+    return distinct.select("token", "n", "p.leading", "p.core", "p.trailing", match_case(F.col("p.core"), swapped).alias("cased"))
+
+
+@query
+def sentence_boundaries(spark, sf_dir):
+    return corpus.sentences(_docs(spark, sf_dir)).groupBy("doc_id", "sent").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n_tokens"))
+
+
+@query
+def gold_spans(spark, sf_dir):
+    return corpus.spans(_words(spark, sf_dir))
+
+
+@query
+def unigrams(spark, sf_dir):
+    return corpus.vocabulary(_words(spark, sf_dir))
+
+
+@query
+def bigrams(spark, sf_dir):
+    return spelling.bigram_counts(_words(spark, sf_dir))
+
+
+def _histories(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    return ngrams.histories(ngrams.closed(w, ngrams.known_words(w)))
+
+
+@query
+def ngram_counts_3(spark, sf_dir):
+    return ngrams.ngram_counts(_histories(spark, sf_dir), 3)
+
+
+@query
+def context_tables(spark, sf_dir):
+    return ngrams.context_tables(ngrams.ngram_counts(_histories(spark, sf_dir), 3), 3)
+
+
+@query
+def kn_continuation(spark, sf_dir):
+    return ngrams.continuation_counts(ngrams.ngram_counts(_histories(spark, sf_dir), 3), 3)
+
+
+@query
+def char_bigrams(spark, sf_dir):
+    return ngrams.char_bigrams(_words(spark, sf_dir))
+
+
+@query
+def length_percentile(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    out = None
+    for share in (0.5, 0.9, 0.999, 1.0):
+        row = corpus.length_at(w, share).select(F.lit(share).alias("share"), "length")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return corpus.stratified_split(_docs(spark, sf_dir).select("doc_id", "source"))
+
+
+@query
+def corpus_profile(spark, sf_dir):
+    return corpus.corpus_profile(_docs(spark, sf_dir))
+
+
+@query
+def merge_injection(spark, sf_dir):
+    return corpus.inject_merges(_words(spark, sf_dir))
+
+
+@query
+def symdel_candidates(spark, sf_dir):
+    asked = _asked(spark, sf_dir).select(F.col("word").alias("query")).distinct()
+    return spelling.candidates(asked, corpus.vocabulary(_words(spark, sf_dir)), "B")
+
+
+@query
+def correct_nonword(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    vocab = corpus.vocabulary(w)
+    return spelling.correct_nonwords(spelling.test_words(w, vocab), vocab)
+
+
+@query
+def spell_accuracy_by_edit(spark, sf_dir):
+    right = F.col("is_right").cast("long")
+    return correct_nonword(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n_tests"), F.sum(right).alias("n_right"), F.round(F.avg(right), 6).alias("accuracy"))
+
+
+def _real(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    return spelling.realword_scores(_asked(spark, sf_dir), corpus.vocabulary(w), spelling.bigram_counts(w))
+
+
+@query
+def realword_scores(spark, sf_dir):
+    return _real(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query
+def correct_realword(spark, sf_dir):
+    return spelling.correct_realwords(_real(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("own_score", "best_score")})
+
+
+@query
+def realword_threshold_sweep(spark, sf_dir):
+    best = spelling.correct_realwords(_real(spark, sf_dir))
+    grid = F.explode(F.array(*(F.lit(t) for t in (2.0, 1.5, 1.1, 1.0, 0.5, 0.1)))).alias("threshold")
+    gain = F.round(F.col("best_score") - F.col("own_score"), 9) > F.col("threshold")
+    return best.select("*", grid).groupBy("threshold").agg(F.count_if(gain).alias("n_changed"), F.count("*").alias("n_words"))
+
+
+@query
+def sliding_windows(spark, sf_dir):
+    return ngrams.windows(_words(spark, sf_dir), 10).withColumn("words", F.array_join("words", " "))
+
+
+@query
+def coverage(spark, sf_dir):
+    return ngrams.coverage(_asked(spark, sf_dir), ngrams.known_words(_words(spark, sf_dir))).withColumn("coverage", F.round("coverage", 6))
+
+
+def _looked_up(spark, sf_dir):
+    model = ngrams.NgramModel(_words(spark, sf_dir))
+    return model, model.looked_up(_asked(spark, sf_dir))
+
+
+@query
+def lm_witten_bell(spark, sf_dir):
+    model, rows = _looked_up(spark, sf_dir)
+    return rows.select("h2", "h1", "word", "times", F.round(F.log(model.probability("witten_bell")), 6).alias("logp"))
+
+
+@query
+def lm_addk(spark, sf_dir):
+    model, rows = _looked_up(spark, sf_dir)
+    return rows.select("h2", "h1", "word", "times", F.round(F.log(model.probability("addk")), 6).alias("logp"))
+
+
+@query
+def lm_kneser_ney(spark, sf_dir):
+    model = ngrams.NgramModel(_words(spark, sf_dir))
+    return model.continuation_probability(_asked(spark, sf_dir)).select("h2", "h1", "word", "times", F.round(F.log("p"), 6).alias("logp"))
+
+
+@query
+def lm_perplexity(spark, sf_dir):
+    model, rows = _looked_up(spark, sf_dir)
+    return ngrams.perplexity(rows.withColumn("p", model.probability("witten_bell"))).withColumns({c: F.round(c, 4) for c in ("logp", "perplexity")})
+
+
+@query
+def addk_sweep(spark, sf_dir):
+    model, rows = _looked_up(spark, sf_dir)
+    each = rows.select("*", F.explode(F.array(*(F.lit(k) for k in (0.001, 0.01, 0.1, 0.5, 1.0)))).alias("k")).withColumn("p", model.probability("addk", F.col("k")))
+    return each.groupBy("k").agg(F.round(F.exp(-F.sum(F.log("p") * F.col("times")) / F.sum("times")), 4).alias("perplexity"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: SQL[name] for name in _found if name in SQL}
