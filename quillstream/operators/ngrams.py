@@ -151,18 +151,20 @@ def nearest_rank(df: DataFrame, column: str, fractions: list[float]) -> list[flo
 
     Each round counts 1,024 parts of the range that holds the answer, until it holds one value; the
     driver sees the counts only."""
-    n, least, most = df.where(F.col(column).isNotNull()).agg(F.count("*"), F.min(column), F.max(column)).first()
+    values = df.select(F.col(column).alias("x")).where("x is not null").persist()
+    n, least, most = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
     out: list[float | None] = []
     for f in fractions:
         k, low, high = round(f * (n - 1)) if n else 0, least, most
         while n and low < high:
             step = (high - low) / 1024
-            part = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(step)), F.lit(1023))
-            cells = df.where(F.col(column).between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).collect()
+            part = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(step)), F.lit(1023))
+            cells = values.where(F.col("x").between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()
             for c in sorted(cells, key=lambda c: c.part):
                 if k < c.n:
                     low, high = c.a, c.b
                     break
                 k -= c.n
         out.append(low if n else None)
+    values.unpersist()
     return out

@@ -178,11 +178,11 @@ class SpellingCorrector:
                             now[i] = top[1]
                             fixed += 1
                     out.append((ident, [n if n is not None else None for n in now], sum(x["now"] is not None and x["now"] != x["word"] for x in items), fixed))
-                yield pd.DataFrame(out, columns=["id", "now", "n_nonword", "n_realword"])
+                yield pd.DataFrame(out, columns=["id", "after", "n_nonword", "n_realword"])
 
         kind = sentences.schema["id"].dataType.simpleString()
-        folded = whole.select("id", "items", "pairs").mapInPandas(fold, f"id {kind}, now array<string>, n_nonword long, n_realword long")
-        final = rows.join(folded, "id").withColumn("new", F.try_element_at("now", (F.col("pos") + 1).cast("int")))
+        folded = whole.select("id", "items", "pairs").mapInPandas(fold, f"id {kind}, after array<string>, n_nonword long, n_realword long")
+        final = rows.join(folded, "id").withColumn("new", F.try_element_at("after", (F.col("pos") + 1).cast("int")))
         text = F.when(F.col("p").isNull(), F.col("token")).otherwise(
             F.concat("p.leading", F.when(F.col("new") == F.col("word"), F.col("p.core")).otherwise(match_case(F.col("p.core"), F.col("new"))), "p.trailing")
         )

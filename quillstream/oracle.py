@@ -176,3 +176,216 @@ SQL["corpus_profile"] = corpus(
 JOIN (SELECT split, count(*) AS n_docs, sum(s) AS n_sentences FROM (SELECT split, doc_id, count(DISTINCT sent) AS s FROM sw GROUP BY ALL) GROUP BY split) USING (split)""",
     f"spl AS ({SQL['stratified_split']}), sw AS (SELECT w.*, split FROM w JOIN spl USING (doc_id))",
 )
+
+# The second half: notations, segmentation, tagging, parsing, grammar, live stream.
+
+GOLD = """CASE WHEN n <= 2 THEN 'DET' WHEN l IN ('a', 'e', 'i', 'o', 'u') THEN CASE WHEN p <= 2 THEN 'NOUN' ELSE 'VERB' END
+  WHEN l IN ('n', 'r', 't') THEN CASE WHEN p <= 3 THEN 'ADJ' ELSE 'ADV' END ELSE 'NOUN' END"""
+
+
+def gold(name: str, source: str) -> str:
+    """Common table `name` (doc_id, sent, i, word, tag, gender, num, morph): pseudo_gold.tagged()."""
+    return f"""{name}0 AS (SELECT *, length(word) AS n, substr(word, -1, 1) AS l, coalesce(lag(length(word)) OVER (PARTITION BY doc_id, sent ORDER BY i), 0) AS p FROM {source}),
+{name} AS (SELECT *, concat_ws('-', tag, gender, CASE WHEN num = 'Plur' THEN 'Pl' ELSE 'Sg' END) AS morph FROM (SELECT doc_id, sent, i, word, {GOLD} AS tag,
+  CASE WHEN l IN ('a', 'e', 't') THEN 'Fem' WHEN l IN ('o', 'n', 'r') THEN 'Masc' END AS gender, CASE WHEN l = 's' THEN 'Plur' ELSE 'Sing' END AS num FROM {name}0))"""
+
+
+def tag_grams(column: str = "tag") -> str:
+    return f"""te AS (SELECT doc_id, sent, i, {column} AS tag FROM tg UNION ALL SELECT doc_id, sent, max(i) + 1, '<eos>' FROM tg GROUP BY doc_id, sent),
+tt AS (SELECT *, lag(tag, 1, '<bos>') OVER s AS h1, lag(tag, 2, '<bos>') OVER s AS h2 FROM te WINDOW s AS (PARTITION BY doc_id, sent ORDER BY i)),
+a1 AS (SELECT tag, count(*) AS cnt FROM tt GROUP BY ALL), a2 AS (SELECT h1, tag, count(*) AS cnt FROM tt GROUP BY ALL), a3 AS (SELECT h2, h1, tag, count(*) AS cnt FROM tt GROUP BY ALL),
+s2 AS (SELECT h1, sum(cnt) AS total FROM a2 GROUP BY ALL), s3 AS (SELECT h2, h1, sum(cnt) AS total FROM a3 GROUP BY ALL), s1 AS (SELECT sum(cnt) AS total FROM a1),
+rat AS (SELECT a3.cnt, CASE WHEN s1.total > 1 THEN (a1.cnt - 1) / (s1.total - 1) ELSE -1 END AS r1, CASE WHEN s2.total > 1 THEN (a2.cnt - 1) / (s2.total - 1) ELSE -1 END AS r2,
+  CASE WHEN s3.total > 1 THEN (a3.cnt - 1) / (s3.total - 1) ELSE -1 END AS r3 FROM a3 JOIN a2 USING (h1, tag) JOIN a1 USING (tag) JOIN s2 USING (h1) JOIN s3 USING (h2, h1), s1),
+vot AS (SELECT o.n, coalesce(sum(rat.cnt) FILTER (CASE WHEN r3 > r2 AND r3 > r1 THEN 3 WHEN r2 > r1 THEN 2 ELSE 1 END = o.n), 0) AS votes FROM (VALUES (1), (2), (3)) o(n), rat GROUP BY o.n),
+flo AS (SELECT n, greatest(votes / (SELECT sum(votes) FROM vot), 0.001) AS raw FROM vot), lam AS (SELECT n, raw / (SELECT sum(raw) FROM flo) AS weight FROM flo),
+trn AS (SELECT s3.h2, s3.h1, a1.tag, l1.weight * a1.cnt / s1.total + l2.weight * coalesce(a2.cnt, 0) / s2.total + l3.weight * coalesce(a3.cnt, 0) / s3.total AS p
+  FROM s3 JOIN s2 USING (h1) CROSS JOIN a1 LEFT JOIN a2 ON a2.h1 = s3.h1 AND a2.tag = a1.tag LEFT JOIN a3 ON a3.h2 = s3.h2 AND a3.h1 = s3.h1 AND a3.tag = a1.tag, s1,
+  (SELECT weight FROM lam WHERE n = 1) l1, (SELECT weight FROM lam WHERE n = 2) l2, (SELECT weight FROM lam WHERE n = 3) l3)"""
+
+
+def _quoted(rows) -> str:
+    one = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(one(x) for x in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
+
+
+TG, BG = gold("tg", "w"), gold("bg", "bw")
+SUFFIX = """rare AS (SELECT word FROM tg GROUP BY word HAVING count(*) <= 10), rt AS (SELECT word, tag, count(*) AS c FROM tg WHERE word IN (SELECT word FROM rare) GROUP BY ALL),
+sfx AS (SELECT CASE WHEN k = 0 THEN '' ELSE right(word, k::INT) END AS suffix, tag, sum(c)::BIGINT AS cnt FROM (SELECT *, unnest(range(0, least(5, length(word)) + 1)) AS k FROM rt) GROUP BY ALL)"""
+BASELINE = """bt AS (SELECT word, min({'o': -cnt, 't': tag}).t AS tag FROM (SELECT tag, word, count(*) AS cnt FROM tg GROUP BY ALL) GROUP BY word),
+pre AS (SELECT bg.*, coalesce(bt.tag, 'NOUN') AS pred FROM bg LEFT JOIN bt USING (word))"""
+GREEDY = """strs AS (SELECT doc_id, sent, string_agg(word, '' ORDER BY i) AS chars FROM bw GROUP BY doc_id, sent), uniq AS (SELECT DISTINCT chars FROM strs),
+lng AS (SELECT chars, st, max(size) AS size FROM (SELECT chars, st, unnest(range(1, least(20, length(chars) - st + 1) + 1)) AS size FROM (SELECT chars, unnest(range(1, length(chars) + 1)) AS st FROM uniq)) JOIN known ON known.word = substr(chars, st::INT, size::INT) GROUP BY ALL),
+walk AS (SELECT chars, 1::BIGINT AS st, ''::VARCHAR AS words FROM uniq UNION ALL
+  SELECT k.chars, k.st + coalesce(l.size, 1), k.words || CASE WHEN k.st > 1 THEN ' ' ELSE '' END || substr(k.chars, k.st::INT, coalesce(l.size, 1)::INT) FROM walk k LEFT JOIN lng l ON l.chars = k.chars AND l.st = k.st WHERE k.st <= length(k.chars)),
+seg AS (SELECT chars, words FROM walk WHERE st > length(chars))"""
+SPANS = GREEDY + """,
+gsp AS (SELECT doc_id || '/' || sent AS key, word, i, doc_id, sent, e - length(word) AS span_start, e AS span_end FROM (SELECT *, sum(length(word)) OVER (PARTITION BY doc_id, sent ORDER BY i) AS e FROM bw)),
+psp AS (SELECT key, word, e - length(word) AS span_start, e AS span_end FROM (SELECT key, word, sum(length(word)) OVER (PARTITION BY key ORDER BY i) AS e FROM
+  (SELECT doc_id || '/' || sent AS key, unnest(string_split(words, ' ')) AS word, generate_subscripts(string_split(words, ' '), 1) AS i FROM strs JOIN seg USING (chars))))"""
+
+
+def recursive(body: str, *more: str) -> str:
+    return "WITH RECURSIVE " + corpus(body, *more)[5:]
+
+
+WINDOWS = """wn AS (SELECT doc_id || '/' || sent || '/' || i AS key, unnest(l) AS word, generate_subscripts(l, 1) AS k FROM (SELECT *, list(word) OVER (PARTITION BY doc_id, sent ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM bw) WHERE len(l) = 10),
+wx AS (SELECT key AS doc_id, 0 AS sent, k AS i, word FROM wn)"""
+
+
+def _sentence(kind: str, k: str, name: str, text: str, keys: str) -> str:
+    """Common table `name` (keys, logp, n_words) from look and th."""
+    return f"{name} AS (SELECT {keys}, sum(ln({_prob(kind, k)})) AS logp, count(*) - 1 AS n_words FROM {text} JOIN look USING (h2, h1, word) GROUP BY {keys})"
+
+
+PPL = f"SELECT doc_id AS key, round(exp(-logp / (n_words + 1)), 4) AS perplexity FROM sl"
+METHOD = f"""SELECT b.doc_id || '/' || b.sent AS id, b.n_words, b.logp / (b.n_words + 1) AS bp, t.logp / (t.n_words + 1) AS tp, cov FROM b2 b JOIN t2s t USING (doc_id, sent)
+  JOIN (SELECT doc_id, sent, avg(CASE WHEN word IN (SELECT word FROM known) THEN 1.0 ELSE 0.0 END) AS cov FROM bw GROUP BY ALL) USING (doc_id, sent)"""
+VERDICT = "CASE WHEN cov >= 0.8 THEN CASE WHEN tp < -9.5 THEN 'ungrammatical' WHEN tp < -8.5 THEN 'borderline' ELSE 'grammatical' END ELSE CASE WHEN bp < -9 THEN 'ungrammatical' WHEN bp < -8 THEN 'borderline' ELSE 'grammatical' END END"
+METHOD_CTES = (BENCH, GRAMS, scoring("bw"), _sentence("witten_bell", "0.01::DOUBLE", "b2", "th", "doc_id, sent"), _sentence("addk", "0.01::DOUBLE", "t2s", "th", "doc_id, sent"))
+RULES = """fl AS (SELECT *, lead(tag) OVER s AS n1, lead(tag, 2) OVER s AS n2, count(*) OVER (PARTITION BY doc_id, sent) AS n FROM tg WINDOW s AS (PARTITION BY doc_id, sent ORDER BY i)),
+rul AS (SELECT CASE WHEN n = 1 THEN 'S+' || tag ELSE tag END AS lhs, word AS b, NULL AS c FROM fl
+  UNION ALL SELECT CASE WHEN i = 1 THEN 'S' ELSE 'S|<' || tag || '-' || n1 || '>' END, tag, CASE WHEN n2 IS NULL THEN n1 ELSE 'S|<' || n1 || '-' || n2 || '>' END FROM fl WHERE n1 IS NOT NULL),
+gra AS (SELECT lhs, b, c, cnt, ln(cnt / sum(cnt) OVER (PARTITION BY lhs)) AS logp FROM (SELECT lhs, b, c, count(*) AS cnt FROM rul GROUP BY ALL) WHERE cnt >= 2)"""
+
+
+def _chart(longest: int) -> str:
+    out = ["ch1 AS (SELECT doc_id || '/' || sent AS id, i, i AS j, tag AS symbol, 0.0::DOUBLE AS logp FROM bg)"]
+    for s in range(2, longest + 1):
+        halves = " UNION ALL ".join(f"SELECT l.id, l.i, r.j, l.symbol AS b, r.symbol AS c, l.logp + r.logp AS p FROM ch{k} l JOIN ch{s - k} r ON l.id = r.id AND r.i = l.j + 1" for k in range(1, s))
+        out.append(f"ch{s} AS (SELECT id, i, j, lhs AS symbol, max(p + logp) AS logp FROM ({halves}) x JOIN gra USING (b, c) GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+CLEAN12 = "length(clean)"
+SQL |= {
+    "corpus_stats": corpus(
+        f"""SELECT count(*) AS n_raw, count(*) FILTER (r = 'kept') AS n_kept, count(*) FILTER (r = 'empty') AS n_empty, count(*) FILTER (r = 'too_long') AS n_too_long, count(*) FILTER (r = 'dropped_tag') AS n_dropped_tag,
+  count(*) FILTER (r = 'kept' AND lower(token) <> clean) AS n_altered FROM (SELECT *, CASE WHEN clean = '' THEN 'empty' WHEN {CLEAN12} > 12 THEN 'too_long' WHEN {CLEAN12} = 1 THEN 'dropped_tag' ELSE 'kept' END AS r FROM tok)"""
+    ),
+    "window_perplexity": corpus(PPL, BENCH, GRAMS, WINDOWS, scoring("wx"), _sentence("addk", "0.001::DOUBLE", "sl", "th", "doc_id")),
+    "calibration_percentiles": corpus(
+        f"SELECT share, (SELECT perplexity FROM (SELECT perplexity, row_number() OVER (ORDER BY perplexity) - 1 AS r FROM ppl) WHERE r = round_even(share * ((SELECT count(*) FROM ppl) - 1), 0)) AS perplexity FROM (VALUES (0.02::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) t(share)",
+        BENCH, GRAMS, WINDOWS, scoring("wx"), _sentence("addk", "0.001::DOUBLE", "sl", "th", "doc_id"), f"ppl AS ({PPL})",
+    ),
+    "lm_normalisation": corpus(
+        """SELECT h1, round(sum((coalesce(g2.cnt, 0) + types * (coalesce(g1.cnt, 0) + 0.01::DOUBLE) / (n_all + 0.01::DOUBLE * v)) / (total + types)), 6) AS total FROM
+(SELECT word AS h1 FROM bw WHERE i = 1 AND word IN (SELECT word FROM known) GROUP BY word ORDER BY count(*) DESC, word LIMIT 3) c JOIN x2 USING (h1),
+(SELECT word FROM known UNION ALL VALUES ('<unk>'), ('</s>')) k LEFT JOIN g1 USING (word) LEFT JOIN g2 ON g2.h1 = c.h1 AND g2.word = k.word, size GROUP BY h1""".replace("FROM\n(SELECT word AS h1", "FROM (SELECT c.h1, k.word, total, types FROM (SELECT word AS h1").replace(") k LEFT JOIN g1 USING (word) LEFT JOIN g2 ON g2.h1 = c.h1 AND g2.word = k.word, size", ") k) z LEFT JOIN g1 USING (word) LEFT JOIN g2 USING (h1, word), size"),
+        BENCH, GRAMS,
+    ),
+    "edits1_candidates": corpus(
+        "SELECT query, cand FROM pairs WHERE query <> cand AND regexp_full_match(cand, '[a-z]+')", VOCAB, BENCH, "asked AS (SELECT DISTINCT word AS q FROM bw WHERE regexp_full_match(word, '[a-z]+'))", symdel("asked", "q")
+    ),
+    "method_ab_diff": corpus(
+        "SELECT count(*) AS n_a, count(*) AS n_b, 0::BIGINT AS n_different FROM pairs WHERE query <> cand AND regexp_full_match(cand, '[a-z]+')", VOCAB, BENCH, "asked AS (SELECT DISTINCT word AS q FROM bw WHERE regexp_full_match(word, '[a-z]+'))", symdel("asked", "q")
+    ),
+    "greedy_segment": recursive("SELECT chars, words FROM seg", BENCH, GRAMS, GREEDY),
+    "segmentation_scores": recursive(
+        """SELECT sum(g)::BIGINT AS n_gold, sum(p)::BIGINT AS n_pred, sum(m)::BIGINT AS n_matched, round(sum(m) / sum(p), 6) AS precision, round(sum(m) / sum(g), 6) AS recall, round(2 * sum(m) / (sum(g) + sum(p)), 6) AS f1,
+  round(2 * sum(m - 1 + 1 - 1 + bm - m + 1) / (sum(g - 1) + sum(p - 1)), 6) AS boundary_f1, count(*) AS n_keys, count(*) FILTER (g = p AND g = m) AS n_exact FROM
+(SELECT key, count(*) AS g FROM gsp GROUP BY key) JOIN (SELECT key, count(*) AS p FROM psp GROUP BY key) USING (key)
+LEFT JOIN (SELECT key, count(p.word) AS m FROM gsp g LEFT JOIN psp p USING (key, span_start, span_end) GROUP BY key) USING (key)
+LEFT JOIN (SELECT g.key, count(p.word) - 1 AS bm FROM gsp g LEFT JOIN psp p ON g.key = p.key AND g.span_end = p.span_end GROUP BY g.key) USING (key)""".replace("sum(m - 1 + 1 - 1 + bm - m + 1)", "sum(bm)"),
+        BENCH, GRAMS, SPANS,
+    ),
+    "overlap_errors": recursive(
+        """SELECT g.key, g.word AS gold_word, g.span_start::BIGINT AS span_start, g.span_end::BIGINT AS span_end, string_agg(p.word, ' ' ORDER BY p.span_start) AS found FROM gsp g JOIN psp p ON g.key = p.key AND p.span_start < g.span_end AND p.span_end > g.span_start
+WHERE NOT EXISTS (SELECT 1 FROM psp q WHERE q.key = g.key AND q.span_start = g.span_start AND q.span_end = g.span_end) GROUP BY ALL""", BENCH, GRAMS, SPANS
+    ),
+    "hmm_emissions": corpus("SELECT tag, word, count(*) AS cnt FROM tg GROUP BY ALL", TG),
+    "hmm_transitions": corpus("SELECT h2, h1, tag, cnt FROM a3", TG, tag_grams()),
+    "deleted_interpolation": corpus("SELECT n, round(weight, 6) AS weight FROM lam", TG, tag_grams()),
+    "suffix_model": corpus("SELECT suffix, tag, cnt FROM sfx", TG, SUFFIX),
+    "suffix_dist": corpus(
+        """SELECT word, tag, round(p5, 6) AS p FROM d5""", TG, BENCH, SUFFIX,
+        """tags AS (SELECT DISTINCT tag FROM tg), bas AS (SELECT tag, (coalesce(cnt, 0) + 1) / (SELECT (SELECT sum(cnt) FROM sfx WHERE suffix = '') + (SELECT count(*) FROM tags)) AS p FROM tags LEFT JOIN (SELECT * FROM sfx WHERE suffix = '') USING (tag)),
+the AS (SELECT sum((p - 1 / (SELECT count(*) FROM tags)) * (p - 1 / (SELECT count(*) FROM tags))) / ((SELECT count(*) FROM tags) - 1) AS theta FROM bas),
+stot AS (SELECT suffix, sum(cnt) AS total FROM sfx WHERE suffix <> '' GROUP BY suffix), d0 AS (SELECT word, tag, p AS p0, true AS o0, theta FROM (SELECT DISTINCT word FROM bw), bas, the)"""
+        + "".join(
+            f""",
+d{k} AS (SELECT d.word, d.tag, o{k - 1} AND t.total IS NOT NULL AS o{k}, CASE WHEN o{k - 1} AND t.total IS NOT NULL THEN (coalesce(s.cnt, 0) / t.total + theta * p{k - 1}) / (1 + theta) ELSE p{k - 1} END AS p{k}, theta
+  FROM d{k - 1} d LEFT JOIN stot t ON length(d.word) >= {k} AND t.suffix = right(d.word, {k}) LEFT JOIN sfx s ON s.suffix = t.suffix AND s.tag = d.tag)"""
+            for k in range(1, 6)
+        ),
+    ),
+    "transition_prob": corpus("SELECT h2, h1, tag, round(p, 6) AS p FROM trn", TG, tag_grams()),
+    "sequence_logprob": corpus(
+        """SELECT doc_id, sent, round(sum(coalesce(lp, 0)), 5) AS logp, count(*) FILTER (lp IS NULL) AS n_unseen FROM (
+SELECT b.doc_id, b.sent, CASE WHEN p > 0 THEN ln(p) END + CASE WHEN b.tag = '<eos>' THEN 0 WHEN em.cnt IS NOT NULL THEN ln(em.cnt / et.total) END AS lp FROM bt2 b LEFT JOIN trn USING (h2, h1, tag)
+  LEFT JOIN em ON em.tag = b.tag AND em.word = b.word LEFT JOIN et ON et.tag = b.tag) GROUP BY doc_id, sent""",
+        TG, BENCH, BG, tag_grams(),
+        """bte AS (SELECT doc_id, sent, i, tag, word FROM bg UNION ALL SELECT doc_id, sent, max(i) + 1, '<eos>', NULL FROM bg GROUP BY doc_id, sent),
+bt2 AS (SELECT *, lag(tag, 1, '<bos>') OVER s AS h1, lag(tag, 2, '<bos>') OVER s AS h2 FROM bte WINDOW s AS (PARTITION BY doc_id, sent ORDER BY i)),
+em AS (SELECT tag, word, count(*) AS cnt FROM tg GROUP BY ALL), et AS (SELECT tag, count(*) AS total FROM tg GROUP BY tag)""",
+    ),
+    "baseline_tags": corpus("SELECT doc_id, sent, i, word, tag, pred FROM pre", TG, BENCH, BG, BASELINE),
+    "tag_scores": corpus(
+        """SELECT count(*) AS n_tokens, sum(ok)::BIGINT AS n_right, sum(k)::BIGINT AS n_known, sum(ok * k)::BIGINT AS n_known_right, (SELECT count(*) FROM (SELECT DISTINCT doc_id, sent FROM x)) AS n_sentences,
+  (SELECT count(*) FROM (SELECT doc_id, sent FROM x GROUP BY ALL HAVING min(ok) = 1)) AS n_exact, round(avg(ok), 6) AS accuracy, round(sum(ok * k) / sum(k), 6) AS known_accuracy, round(coalesce(sum(ok * (1 - k)) / nullif(sum(1 - k), 0), 0), 6) AS unknown_accuracy, round(1 - avg(k), 6) AS oov_rate FROM x""",
+        TG, BENCH, BG, BASELINE, "x AS (SELECT doc_id, sent, (tag = pred)::INT AS ok, (word IN (SELECT word FROM w))::INT AS k FROM pre)",
+    ),
+    "confusion": corpus("SELECT tag AS gold, pred, count(*) AS cnt FROM pre GROUP BY ALL", TG, BENCH, BG, BASELINE),
+    "confusion_matrix_rows": corpus(
+        """SELECT tag, n_gold, n_pred, n_right, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT *, CASE WHEN n_pred > 0 THEN n_right / n_pred ELSE 0 END AS p, CASE WHEN n_gold > 0 THEN n_right / n_gold ELSE 0 END AS r FROM (
+SELECT t AS tag, count(*) FILTER (pre.tag = t) AS n_gold, count(*) FILTER (pred = t) AS n_pred, count(*) FILTER (pre.tag = t AND pred = t) AS n_right FROM pre, (SELECT tag AS t FROM pre UNION SELECT pred FROM pre) GROUP BY t))""",
+        TG, BENCH, BG, BASELINE,
+    ),
+    "confusion_square": corpus(
+        """SELECT tag AS gold, count(*) FILTER (pred = 'NOUN') AS "as_NOUN", count(*) FILTER (pred = 'VERB') AS "as_VERB", count(*) FILTER (pred = 'ADJ') AS "as_ADJ", count(*) FILTER (pred NOT IN ('NOUN', 'VERB', 'ADJ')) AS other, round(avg((pred = tag)::INT), 6) AS recall
+FROM pre WHERE tag IN ('NOUN', 'VERB', 'ADJ') GROUP BY tag""", TG, BENCH, BG, BASELINE
+    ),
+    "agreement": corpus(
+        """SELECT context, count(*) AS n_pairs, count(*) FILTER (ok) AS n_reproduced, count(*) FILTER (ok AND rgt) AS n_correct FROM (
+SELECT tag || '+' || rtag AS context, (gs IS NULL OR coalesce(pg = rpg, false)) AND (ns IS NULL OR coalesce(pn = rpn, false)) AS ok, (gs IS NULL OR coalesce(pg = gs, false)) AND (ns IS NULL OR coalesce(pn = ns, false)) AS rgt
+FROM (SELECT *, CASE WHEN gender = rgender THEN gender END AS gs, CASE WHEN num = rnum THEN CASE WHEN num = 'Plur' THEN 'Pl' ELSE 'Sg' END END AS ns FROM pr) WHERE rtag IS NOT NULL AND (gs IS NOT NULL OR ns IS NOT NULL)) GROUP BY ROLLUP (context)""",
+        TG, BENCH, BG,
+        """mf AS (SELECT word, min({'o': -cnt, 't': morph}).t AS m FROM (SELECT word, morph, count(*) AS cnt FROM tg GROUP BY ALL) GROUP BY word),
+mp AS (SELECT bg.*, nullif(regexp_extract(coalesce(m, 'NOUN-Sg'), '-(Fem|Masc)', 1), '') AS pg, nullif(regexp_extract(coalesce(m, 'NOUN-Sg'), '-(Sg|Pl)', 1), '') AS pn FROM bg LEFT JOIN mf USING (word)),
+pr AS (SELECT *, lead(tag) OVER s AS rtag, lead(gender) OVER s AS rgender, lead(num) OVER s AS rnum, lead(pg) OVER s AS rpg, lead(pn) OVER s AS rpn FROM mp WINDOW s AS (PARTITION BY doc_id, sent ORDER BY i))""",
+    ),
+    "agreement_bias": corpus(
+        """SELECT h1 AS head_tag, round(coalesce(sum(p) FILTER (k = 'a'), 0), 6) AS agreeing, round(coalesce(sum(p) FILTER (k = 'c'), 0), 6) AS clashing, round(coalesce(sum(p) FILTER (k = 'u'), 0), 6) AS underspecified FROM (
+SELECT h1, p, CASE WHEN NOT regexp_matches(tag, '-(Fem|Masc)-(Sg|Pl)$') THEN 'u' WHEN substr(tag, 5) = substr(h1, 6) THEN 'a' ELSE 'c' END AS k FROM trn JOIN (
+  SELECT tag AS h1 FROM a1 WHERE regexp_matches(tag, '^NOUN-(Fem|Masc)-(Sg|Pl)$') ORDER BY cnt DESC, tag LIMIT 4) USING (h1) WHERE h2 = 'DET' || substr(h1, 5) AND starts_with(tag, 'ADJ')) GROUP BY h1""",
+        TG, tag_grams("morph"),
+    ),
+    "pipeline_scores": recursive(
+        """SELECT count(*) AS n_tokens, count(*) FILTER (pred = tag) AS n_right, count(*) FILTER (pred IS NULL) AS n_lost, count(*) FILTER (pred <> tag) AS n_mistagged, round(count(*) FILTER (pred = tag) / count(*), 6) AS accuracy FROM gsp
+JOIN bg USING (doc_id, sent, i) LEFT JOIN (SELECT key, span_start, span_end, coalesce(bt.tag, 'NOUN') AS pred FROM psp LEFT JOIN bt USING (word)) USING (key, span_start, span_end)""",
+        GRAMS, TG, BENCH, BG, BASELINE, SPANS,
+    ),
+    "las": corpus(
+        """SELECT count(*) AS n_tokens, count(*) FILTER (head = i + 1) AS n_heads, count(*) FILTER (head = i + 1 AND tag = 'NOUN') AS n_right, round(100 * count(*) FILTER (head = i + 1) / count(*), 4) AS uas, round(100 * count(*) FILTER (head = i + 1 AND tag = 'NOUN') / count(*), 4) AS las
+FROM (SELECT *, CASE WHEN coalesce(lead(length(word)) OVER (PARTITION BY doc_id, sent ORDER BY i), 0) > length(word) THEN i + 1 ELSE 0 END AS head FROM bg)""", BENCH, BG
+    ),
+    "pcfg_rules": corpus("SELECT lhs, b, c, cnt, round(logp, 6) AS logp FROM gra", TG, RULES),
+    "cky_relational": corpus(" UNION ALL ".join(f"SELECT id, i, j, symbol, round(logp, 6) AS logp FROM ch{k}" for k in range(1, 5)), TG, RULES, BENCH, BG, _chart(4)),
+    "method_choice": corpus(
+        f"SELECT id, n_words, round(bp, 4) AS bigram_per_word, round(tp, 4) AS trigram_per_word, round(cov, 6) AS coverage, CASE WHEN cov >= 0.8 THEN 'trigram' ELSE 'bigram' END AS method, {VERDICT} AS verdict FROM ({METHOD})", *METHOD_CTES
+    ),
+    "agreement_2x2": corpus(
+        f"""SELECT count(*) AS sentences, count(*) FILTER (f AND v) AS both_flagged, count(*) FILTER (f AND NOT v) AS live_only, count(*) FILTER (NOT f AND v) AS final_only, count(*) FILTER (NOT f AND NOT v) AS neither,
+  round(count(*) FILTER (f = v) / count(*), 6) AS agreement FROM (SELECT cov < 0.9 AS f, {VERDICT} <> 'grammatical' AS v FROM ({METHOD}))""", *METHOD_CTES
+    ),
+    "count_triggers": f"SELECT doc_id, count(*) AS n_tokens, (count(*) // 10)::BIGINT AS n_triggers, count(DISTINCT sent) AS n_sentences FROM ({SQL['merge_injection']}) GROUP BY doc_id",
+    "merge_sweep": "SELECT share, n_tokens, n_merged FROM (" + " UNION ALL ".join(
+        f"SELECT {s}::DOUBLE AS share, count(*) AS n_tokens, sum(merged - 1)::BIGINT AS n_merged FROM ({SQL['merge_injection'].replace(str(int(0.08 * (1 << 28))), str(int(s * (1 << 28))))})" for s in (0.0, 0.04, 0.08, 0.16)
+    ) + ")",
+    "sample_passages": corpus(
+        f"""SELECT doc_id, sent, i, word FROM w JOIN (SELECT doc_id, {hashed('doc_id', '1')} % greatest(max(sent) - 6 + 2, 1) AS s FROM w GROUP BY doc_id) USING (doc_id) WHERE sent BETWEEN s AND s + 5"""
+    ),
+}
+
+
+def notation_sql(brown: list[str], feats: list[tuple[str, str]], penn: dict[str, str], morphology: dict[str, dict[str, str]]) -> dict[str, str]:
+    """SQL of the two queries whose inputs are lists."""
+    t = "upper(trim(raw))"
+    for suffix in ("-HL", "-TL", "-NC", "-TL-HL", "-NC-TL"):
+        t = f"regexp_replace({t}, '{suffix}$', '')"
+    t = f"regexp_replace(split_part({t}, '+', 1), '(.)\\*$', '\\1')"
+    short = lambda f: f"(SELECT s FROM (VALUES {_quoted(morphology[f].items())}) m(v, s) WHERE v = regexp_extract(feats, '{f}=([^,|]*)', 1))"
+    return {
+        "brown_tag_map": f"SELECT raw, tag, coalesce(penn, 'X') AS penn FROM (SELECT raw, CASE WHEN {t} = '' THEN 'X' ELSE {t} END AS tag FROM (VALUES {_quoted(brown)}) r(raw)) LEFT JOIN (VALUES {_quoted(penn.items())}) p(tag, penn) USING (tag)",
+        "feats_morph_tag": f"SELECT upos, feats, concat_ws('-', upos, gender, number) AS morph, upos AS coarse, gender, number FROM (SELECT upos, feats, {short('Gender')} AS gender, {short('Number')} AS number FROM (VALUES {_quoted(feats)}) f(upos, feats))",
+    }

@@ -11,9 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import tags
 from .functions.text import is_valid_word, match_case, token_parts
-from .operators import corpus, ngrams, spelling
-from .oracle import SQL
+from .operators import analysis, corpus, grammar, ngrams, parsing, segmentation, spelling, tagging
+from .oracle import SQL, notation_sql
+from .plans import experiments, pseudo_gold
+from .sources.corpora import corpus_stats as stats_of
+from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -212,9 +216,344 @@ def addk_sweep(spark, sf_dir):
     return each.groupBy("k").agg(F.round(F.exp(-F.sum(F.log("p") * F.col("times")) / F.sum("times")), 4).alias("perplexity"))
 
 
+#: Inputs of the two queries about notations.
+BROWN_SAMPLE = [t + suffix for t in tags.BROWN_TO_PENN for suffix in ("", "-TL", "-HL", "-NC", "-TL-HL", "*", "+BEZ")] + ["", "zz", "nn-tl"]
+FEATURE_SAMPLE = [(p, f) for p in ("NOUN", "ADJ", "VERB") for f in ("_", "", "Gender=Fem|Number=Sing", "Number=Plur", "Gender=Masc,Neut|Number=Ptan|X", "Case=Nom|Gender=Odd|Number=Coll", "Number=Dual|Person=3")]
+
+
+@query
+def brown_tag_map(spark, sf_dir):
+    raw = spark.createDataFrame([(t,) for t in BROWN_SAMPLE], "raw string")
+    return raw.select("raw", tags.normalise_brown_tag(F.col("raw")).alias("tag"), tags.brown_to_penn(F.col("raw")).alias("penn"))
+
+
+@query
+def feats_morph_tag(spark, sf_dir):
+    raw = spark.createDataFrame(FEATURE_SAMPLE, "upos string, feats string").withColumn("morph", tags.morph_tag(F.col("upos"), tags.parse_features(F.col("feats"))))
+    return raw.select("upos", "feats", "morph", tags.coarse_tag(F.col("morph")).alias("coarse"), tags.tag_feature(F.col("morph"), "Gender").alias("gender"), tags.tag_feature(F.col("morph"), "Number").alias("number"))
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    t = corpus.tokens(_docs(spark, sf_dir))
+    return stats_of(t.select(F.col("token").alias("form"), F.when(F.length("clean") == 1, "SYM").otherwise("X").alias("tag")), longest=12)
+
+
+def _asked_windows(spark, sf_dir):
+    """Every window of ten benchmark words, as sentences of their own."""
+    w = ngrams.windows(_asked(spark, sf_dir), 10).withColumn("key", F.concat_ws("/", "doc_id", "sent", "i"))
+    return w.select("key", F.posexplode("words").alias("k", "word")).select(F.col("key").alias("doc_id"), F.lit(0).alias("sent"), (F.col("k") + 1).alias("i"), "word")
+
+
+def _sentence_scores(model, text, smoothing, *keys):
+    """(keys, logp): of each sentence of `text`, ends included."""
+    looked = model.looked_up(text).withColumn("p", model.probability(smoothing))
+    h = ngrams.histories(ngrams.closed(text, model.known), model.order)
+    return h.join(looked.select("h2", "h1", "word", "p"), ["h2", "h1", "word"]).groupBy(*keys).agg(F.sum(F.log("p")).alias("logp"), (F.count("*") - 1).alias("n_words"))
+
+
+@query
+def window_perplexity(spark, sf_dir):
+    model = ngrams.NgramModel(_words(spark, sf_dir), k=0.001)
+    scored = _sentence_scores(model, _asked_windows(spark, sf_dir), "addk", "doc_id")
+    return scored.select(F.col("doc_id").alias("key"), F.round(F.exp(-F.col("logp") / (F.col("n_words") + 1)), 4).alias("perplexity"))
+
+
+@query
+def calibration_percentiles(spark, sf_dir):
+    rows = window_perplexity(spark, sf_dir)
+    shares = [0.02, 0.1, 0.5, 0.9, 0.95]
+    return spark.createDataFrame(list(zip(shares, ngrams.nearest_rank(rows, "perplexity", shares), strict=True)), "share double, perplexity double")
+
+
+@query
+def lm_normalisation(spark, sf_dir):
+    """The sum of P(word | context) over the vocabulary, for the contexts of the benchmark's first words."""
+    w = _words(spark, sf_dir)
+    model = ngrams.NgramModel(w, order=2)
+    contexts = _asked(spark, sf_dir).where("i = 1").join(model.known, "word", "left_semi").groupBy("word").count().orderBy(F.desc("count"), "word").limit(3)
+    # Three contexts, a report's limit; every word of the vocabulary is summed for each.
+    vocab = model.known.union(spark.createDataFrame([("<unk>",), ("</s>",)], "word string"))
+    rows = vocab.join(F.broadcast(contexts.select(F.col("word").alias("h1"))))
+    one = model.gram[1].withColumnRenamed("cnt", "c1")
+    totals = ngrams.context_tables(model.gram[2], 2).select("h1", F.col("total").alias("t2"), F.col("types").alias("d2"))
+    rows = rows.join(one, "word", "left").join(model.gram[2].withColumnRenamed("cnt", "c2"), ["h1", "word"], "left").join(totals, "h1", "left").fillna(0).join(F.broadcast(model.size))
+    return rows.groupBy("h1").agg(F.round(F.sum(model.probability("witten_bell")), 6).alias("total"))
+
+
+@query
+def edits1_candidates(spark, sf_dir):
+    ascii_ = "^[a-z]+$"
+    asked = _asked(spark, sf_dir).select(F.col("word").alias("query")).distinct().where(F.col("query").rlike(ascii_))
+    return spelling.candidates(asked, corpus.vocabulary(_words(spark, sf_dir)).where(F.col("word").rlike(ascii_)), "A")
+
+
+@query
+def method_ab_diff(spark, sf_dir):
+    ascii_ = "^[a-z]+$"
+    asked = _asked(spark, sf_dir).select(F.col("word").alias("query")).distinct().where(F.col("query").rlike(ascii_))
+    vocab = corpus.vocabulary(_words(spark, sf_dir)).where(F.col("word").rlike(ascii_))
+    a, b = (spelling.candidates(asked, vocab, m).withColumn(m, F.lit(True)) for m in "AB")
+    both = a.join(b, ["query", "cand"], "full")
+    return both.agg(F.count("A").alias("n_a"), F.count("B").alias("n_b"), F.count_if(F.col("A").isNull() | F.col("B").isNull()).alias("n_different"))
+
+
+@query
+def correct_sentence(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
+    return spelling.SpellingCorrector(corpus.vocabulary(w), spelling.bigram_counts(w)).correct(items)
+
+
+def _strings(w):
+    chars = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), "")
+    return w.groupBy("doc_id", "sent").agg(chars.alias("chars"))
+
+
+@query
+def greedy_segment(spark, sf_dir):
+    return segmentation.greedy(_strings(_asked(spark, sf_dir)), ngrams.known_words(_words(spark, sf_dir)))
+
+
+def _greedy_spans(spark, sf_dir):
+    asked = _asked(spark, sf_dir)
+    strings = _strings(asked).withColumn("key", F.concat_ws("/", "doc_id", "sent"))
+    found = segmentation.word_spans(segmentation.greedy(strings, ngrams.known_words(_words(spark, sf_dir)))).join(strings.select("key", "chars"), "chars")
+    return corpus.spans(asked).withColumn("key", F.concat_ws("/", "doc_id", "sent")), found
+
+
+@query
+def segmentation_scores(spark, sf_dir):
+    return segmentation.segmentation_scores(*_greedy_spans(spark, sf_dir))
+
+
+@query
+def overlap_errors(spark, sf_dir):
+    return segmentation.overlap_errors(*_greedy_spans(spark, sf_dir))
+
+
+@query
+def dp_segment(spark, sf_dir):
+    return segmentation.segment(_strings(_asked(spark, sf_dir)), _words(spark, sf_dir), segmentation.DecoderConfig(beam_width=4, max_word_len=19)).select("chars", "words", F.round("score", 6).alias("score"))
+
+
+def _gold(spark, sf_dir):
+    return pseudo_gold.tagged(_words(spark, sf_dir))
+
+
+def _asked_gold(spark, sf_dir):
+    return pseudo_gold.tagged(_asked(spark, sf_dir))
+
+
+@query
+def hmm_emissions(spark, sf_dir):
+    return tagging.emissions(_gold(spark, sf_dir))
+
+
+@query
+def hmm_transitions(spark, sf_dir):
+    return tagging.tag_ngrams(tagging.tag_histories(_gold(spark, sf_dir)), 3)
+
+
+@query
+def deleted_interpolation(spark, sf_dir):
+    return tagging.interpolation_weights(tagging.tag_histories(_gold(spark, sf_dir))).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def suffix_model(spark, sf_dir):
+    return tagging.suffix_counts(_gold(spark, sf_dir))
+
+
+@query
+def suffix_dist(spark, sf_dir):
+    g = _gold(spark, sf_dir)
+    suffixes = tagging.suffix_counts(g)
+    asked = _asked(spark, sf_dir).select("word").distinct()
+    return tagging.suffix_distribution(asked, suffixes, tagging.suffix_base(suffixes, g)).withColumn("p", F.round("p", 6))
+
+
+@query
+def transition_prob(spark, sf_dir):
+    h = tagging.tag_histories(_gold(spark, sf_dir))
+    return tagging.transition_table(h, tagging.interpolation_weights(h)).withColumn("p", F.round("p", 6))
+
+
+@query
+def sequence_logprob(spark, sf_dir):
+    return tagging.sequence_logprob(_asked_gold(spark, sf_dir), _gold(spark, sf_dir)).withColumn("logp", F.round("logp", 5))
+
+
+def _baseline(spark, sf_dir):
+    return tagging.baseline_tag(_asked_gold(spark, sf_dir), tagging.baseline_fit(_gold(spark, sf_dir)))
+
+
+@query
+def baseline_tags(spark, sf_dir):
+    return _baseline(spark, sf_dir).select("doc_id", "sent", "i", "word", "tag", "pred")
+
+
+@query
+def viterbi_tags(spark, sf_dir):
+    return tagging.viterbi_tags(_asked(spark, sf_dir), _gold(spark, sf_dir))
+
+
+@query
+def tag_scores(spark, sf_dir):
+    return tagging.tag_scores(_baseline(spark, sf_dir), _words(spark, sf_dir).select("word").distinct())
+
+
+@query
+def confusion(spark, sf_dir):
+    return tagging.confusion(_baseline(spark, sf_dir))
+
+
+@query
+def confusion_matrix_rows(spark, sf_dir):
+    return tagging.confusion_rows(_baseline(spark, sf_dir))
+
+
+@query
+def confusion_square(spark, sf_dir):
+    return tagging.confusion_square(_baseline(spark, sf_dir), ["NOUN", "VERB", "ADJ"])
+
+
+@query
+def agreement(spark, sf_dir):
+    fitted = tagging.baseline_fit(_gold(spark, sf_dir).select("word", F.col("morph").alias("tag")))
+    return tagging.agreement(tagging.baseline_tag(_asked_gold(spark, sf_dir), fitted, "NOUN-Sg"))
+
+
+@query
+def agreement_bias(spark, sf_dir):
+    return tagging.agreement_bias(tagging.tag_histories(_gold(spark, sf_dir).select("doc_id", "sent", "i", F.col("morph").alias("tag"))))
+
+
+@query
+def pipeline_scores(spark, sf_dir):
+    """Gold words of the benchmark against greedy segmentation and baseline tags: right, lost by segmentation, wrongly tagged."""
+    gold, found = _greedy_spans(spark, sf_dir)
+    gold = pseudo_gold.tagged(gold).select("key", "span_start", "span_end", "tag")
+    pred = tagging.baseline_tag(found, tagging.baseline_fit(_gold(spark, sf_dir))).select("key", "span_start", "span_end", "pred")
+    joined = gold.join(pred, ["key", "span_start", "span_end"], "left")
+    out = joined.agg(F.count("*").alias("n_tokens"), F.count_if(F.col("pred") == F.col("tag")).alias("n_right"), F.count_if(F.col("pred").isNull()).alias("n_lost"), F.count_if(F.col("pred") != F.col("tag")).alias("n_mistagged"))
+    return out.withColumn("accuracy", F.round(F.col("n_right") / F.col("n_tokens"), 6))
+
+
+@query
+def oracle_transitions(spark, sf_dir):
+    return parsing.oracle_instances(pseudo_gold.with_heads(_asked_gold(spark, sf_dir)))
+
+
+@query
+def transition_histogram(spark, sf_dir):
+    return parsing.transition_histogram(parsing.oracle_instances(pseudo_gold.with_heads(_gold(spark, sf_dir))))
+
+
+@query
+def las(spark, sf_dir):
+    """The attachment of every word to the next one, scored against the gold heads."""
+    gold = pseudo_gold.with_heads(_asked_gold(spark, sf_dir))
+    guess = gold.select("doc_id", "sent", (F.col("i") + 1).alias("head"), F.col("i").alias("dep"), F.lit("noun").alias("label"))
+    return parsing.attachment(gold, guess)
+
+
+@query
+def dependency_parse(spark, sf_dir):
+    """The parser trained on the documents, scored on the benchmark."""
+    train = parsing.oracle_instances(pseudo_gold.with_heads(_gold(spark, sf_dir)))
+    gold = pseudo_gold.with_heads(_asked_gold(spark, sf_dir))
+    names = [r.tag for r in _gold(spark, sf_dir).select("tag").distinct().orderBy("tag").collect()]
+    return parsing.attachment(gold, parsing.parse_sentences(gold, parsing.rankings(parsing.classifier(train), names)))
+
+
+def _grammar(spark, sf_dir):
+    return grammar.rule_probabilities(grammar.productions(pseudo_gold.flat_trees(_gold(spark, sf_dir))))
+
+
+@query
+def pcfg_rules(spark, sf_dir):
+    return _grammar(spark, sf_dir).withColumn("logp", F.round("logp", 6))
+
+
+def _asked_ids(spark, sf_dir):
+    return _asked_gold(spark, sf_dir).select(F.concat_ws("/", "doc_id", "sent").alias("id"), "i", "word", "tag")
+
+
+@query
+def cky_parse(spark, sf_dir):
+    return grammar.parse_sentences(_asked_ids(spark, sf_dir), _grammar(spark, sf_dir)).withColumn("logp", F.round("logp", 6))
+
+
+@query
+def cky_relational(spark, sf_dir):
+    """All chart cells of up to four tags."""
+    binary, _ = grammar.split_rules(_grammar(spark, sf_dir))
+    leaves = _asked_ids(spark, sf_dir).select("id", "i", F.col("tag").alias("symbol"), F.lit(0.0).alias("logp"))
+    return grammar.cky_joins(leaves, binary, 4).withColumn("logp", F.round("logp", 6))
+
+
+#: Floors of the verdicts, per word: fixed values of the queries.
+FLOORS = {"bigram_p02": -9.0, "bigram_p10": -8.0, "trigram_p02": -9.5, "trigram_p10": -8.5, "pcfg_p02": -9.107, "pcfg_p10": -7.812}
+
+
+def _scored(spark, sf_dir, parsed):
+    asked, train = _asked(spark, sf_dir), _words(spark, sf_dir)
+    model = ngrams.NgramModel(train)
+    two, three = (_sentence_scores(model, asked, s, "doc_id", "sent") for s in ("witten_bell", "addk"))
+    known = ngrams.coverage(asked, model.known).select("doc_id", "sent", "coverage")
+    rows = two.select("doc_id", "sent", "n_words", F.col("logp").alias("bigram_logp")).join(three.select("doc_id", "sent", F.col("logp").alias("trigram_logp")), ["doc_id", "sent"]).join(known, ["doc_id", "sent"])
+    rows = rows.withColumn("id", F.concat_ws("/", "doc_id", "sent"))
+    if parsed is None:
+        return rows.withColumn("pcfg_logp", F.lit(None).cast("double"))
+    return rows.join(parsed.select("id", F.col("logp").alias("pcfg_logp")), "id", "left")
+
+
+@query
+def method_choice(spark, sf_dir):
+    judged = analysis.judge(_scored(spark, sf_dir, None), FLOORS)
+    return judged.select("id", "n_words", F.round("bigram_per_word", 4).alias("bigram_per_word"), F.round("trigram_per_word", 4).alias("trigram_per_word"), F.round("coverage", 6).alias("coverage"), "method", "verdict")
+
+
+@query
+def summary_table(spark, sf_dir):
+    return analysis.summary(analysis.judge(_scored(spark, sf_dir, cky_parse(spark, sf_dir)), FLOORS))
+
+
+@query
+def agreement_2x2(spark, sf_dir):
+    judged = analysis.judge(_scored(spark, sf_dir, None), FLOORS)
+    return analysis.compare_live(judged, judged.select("id", (F.col("coverage") < 0.9).alias("flagged")))
+
+
+@query
+def count_triggers(spark, sf_dir):
+    """How often a check every ten words fires in each document's stream."""
+    stream = live.token_stream(_docs(spark, sf_dir))
+    return stream.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.floor(F.count("*") / 10).alias("n_triggers"), F.count_if("ends").alias("n_sentences"))
+
+
+@query
+def live_alerts(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    stream = live.token_stream(items)
+    return live.run_batch(stream, live.check_tokens(stream, _words(spark, sf_dir)))
+
+
+@query
+def sample_passages(spark, sf_dir):
+    return live.sample_passages(_docs(spark, sf_dir))
+
+
+@query
+def merge_sweep(spark, sf_dir):
+    return experiments.merge_sweep(_words(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: SQL[name] for name in _found if name in SQL}
+    every = SQL | notation_sql(BROWN_SAMPLE, FEATURE_SAMPLE, tags.BROWN_TO_PENN, tags.MORPHOLOGY)
+    return {name: every[name] for name in _found if name in every}
