@@ -42,7 +42,7 @@ class LeakConfig:
 
 
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
-    if len(hashes) < n:
+    if not 0 < n <= len(hashes):
         return hashes[:0]
     return combine(*(hashes[k : len(hashes) - n + 1 + k] for k in range(n)))
 

@@ -102,7 +102,7 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
         nonlocal noise, links, scope
         while len(stack) > to:
             name, bad = stack.pop()
-            if name in BLOCK or bad:
+            if name in BLOCK:
                 flush()
             noise -= bad
             links -= name == "a"
@@ -146,8 +146,6 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
         if name in VOID:
             continue
         bad = _is_noise(name, m["rest"])
-        if bad:
-            flush()
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             if not bad:
