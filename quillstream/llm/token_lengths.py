@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import Staging
+
 #: Lengths to a block of the two-level suffix sums.
 _BLOCK = 1024
 
@@ -53,7 +55,8 @@ def length_histogram(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken",
     rows count each; other columns are ignored; an empty table gives no rows.
     """
     counts = encoded_lengths(docs, tokenizer, text_col).groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
-    counts = counts.withColumn("block", F.floor(F.col("n_tokens") / _BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    # Written once, as two branches below read it and encoding is what costs.
+    counts = Staging(docs.sparkSession).write(counts).withColumn("block", F.floor(F.col("n_tokens") / _BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     # One row a block: the suffix sums of whole blocks run over few rows, those inside a block in parallel.
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
