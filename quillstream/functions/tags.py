@@ -59,12 +59,11 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def normalise_brown_tag(tag: Column) -> Column:
     """Without marks of use, joins and negation; an empty tag is X."""
-    t = F.upper(F.trim(tag))
+    t = F.upper(F.trim(F.coalesce(tag, F.lit(""))))
     for suffix in BROWN_SUFFIXES:
-        t = F.when(F.endswith(t, F.lit(suffix)), F.substring(t, F.lit(1), F.length(t) - len(suffix))).otherwise(t)
-    t = F.substring_index(t, "+", 1)
-    t = F.when((F.length(t) > 1) & F.endswith(t, F.lit("*")), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    return F.when(F.coalesce(t, F.lit("")) == "", "X").otherwise(t)
+        t = F.regexp_replace(t, f"{suffix}$", "")
+    t = F.regexp_replace(F.regexp_replace(t, "\\+.*$", ""), "(.)\\*$", "$1")
+    return F.regexp_replace(t, "^$", "X")
 
 
 def brown_to_penn(tag: Column) -> Column:

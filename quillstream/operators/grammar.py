@@ -26,7 +26,7 @@ def read_tree(text: str) -> Tree | None:
             if len(stack) < 2:
                 return None
             node = stack.pop()
-            stack[-1].append((node[0] if node and isinstance(node[0], str) else "", [x for x in node[1:]]) if node else ("", []))
+            stack[-1].append((node[0], node[1:]) if node and isinstance(node[0], str) else ("", node))
         else:
             stack[-1].append(token)
     top = stack[0]

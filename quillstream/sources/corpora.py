@@ -19,7 +19,7 @@ def read_tagged(spark: SparkSession, path: str, tagset: str = "penn", policy: st
     sentences of a file by their place in it."""
     if tagset not in ("penn", "native"):
         raise ValueError(tagset)
-    files = spark.read.option("wholetext", True).text(path).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), "value")
     lines = F.filter(F.split("value", "\\n"), lambda x: F.trim(x) != "")
     sents = files.select("file", F.posexplode(lines).alias("n", "line"))
     each = sents.select("file", "n", F.posexplode(F.split(F.trim("line"), "\\s+")).alias("pos", "t"))
@@ -34,7 +34,7 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
 
     A line of blanks ends a sentence, # lines are notes; word ranges, empty nodes, lines of fewer than ten columns and ids or
     heads that are not numbers are passed over."""
-    files = spark.read.option("wholetext", True).text(path).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), "value")
     blocks = F.filter(F.split(F.regexp_replace("value", "\\r", ""), "\\n[ \\t]*\\n"), lambda b: F.trim(b) != "")
     sents = files.select("file", F.posexplode(blocks).alias("sent", "block"))
     lines = sents.select("file", "sent", F.explode(F.filter(F.split("block", "\\n"), lambda x: ~F.startswith(x, F.lit("#")))).alias("line"))
