@@ -108,13 +108,12 @@ def rankings(model, tags: list[str]) -> dict[tuple[str, str, str, str], list[str
     if (len(tags) + 2) ** 4 > 1_000_000:
         raise ValueError("the tagset is too large for a table of rankings")
     spark = SparkSession.getActiveSession()
-    values = spark.createDataFrame([(t,) for t in [*tags, NONE, ROOT]], "v string")
+    values = spark.createDataFrame([(t,) for t in [*tags, NONE, ROOT]], "v string").coalesce(1)
     grid = values.withColumnRenamed("v", "s0")
     for name in ("s1", "b0", "b1"):
         grid = grid.crossJoin(values.withColumnRenamed("v", name))  # of the tagset with itself, not of data
     labels = model.stages[2].labels
     scored = model.transform(grid.withColumn("label", F.lit(labels[0])).withColumn("weight", F.lit(1.0))).select("s0", "s1", "b0", "b1", vector_to_array("probability").alias("p"))
-    scored = scored.coalesce(4)
     return {(r.s0, r.s1, r.b0, r.b1): [labels[k] for k in sorted(range(len(labels)), key=lambda k: (-r.p[k], labels[k]))] for r in scored.collect()}
 
 
