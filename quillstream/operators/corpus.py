@@ -16,16 +16,41 @@ def tokens(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", (F.col("at") + 1).alias("pos"), "token", clean_word(F.col("token")).alias("clean"))
 
 
+#: A table of fewer bytes a core than this may sit in too few row groups to keep all cores at work.
+SMALL_SHARE = 32 << 20
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores; a large one as its files are split.  Only the plan's statistics are asked."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * SMALL_SHARE else docs
+
+
+def _sentence_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent from 0, first, tokens): a sentence ends after a token that closes one; `first` is its first pos.
+
+    Sentences are cut inside the row, so that no token is shuffled to be numbered."""
+    cut = _spread(docs.select("doc_id", "text")).select("doc_id", split_words(F.col("text")).alias("t")).where(F.size("t") > 0)
+    ends = F.filter(F.transform("t", lambda x, k: F.when(ends_sentence(x), k + 1)), lambda x: x.isNotNull())
+    cut = cut.select("doc_id", "t", F.array_union(ends, F.array(F.size("t"))).alias("ends"))
+    each = F.transform("ends", lambda stop, k: F.struct((F.when(k == 0, 0).otherwise(F.get("ends", k - 1)) + 1).alias("first"), stop.alias("last")))
+    cut = cut.select("doc_id", "t", each.alias("each"))
+    cut = cut.select("doc_id", F.posexplode(F.transform("each", lambda x: F.struct(x["first"].alias("first"), F.slice("t", x["first"], x["last"] - x["first"] + 1).alias("tokens")))).alias("sent", "s"))
+    return cut.select("doc_id", F.col("sent").cast("long").alias("sent"), "s.first", "s.tokens")
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """tokens() with `sent`, from 0: a sentence ends after a token that closes one."""
-    before = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    return tokens(docs).withColumn("sent", F.coalesce(F.sum(ends_sentence(F.col("token")).cast("long")).over(before), F.lit(0)))
+    each = _sentence_rows(docs).select("doc_id", "sent", "first", F.posexplode("tokens").alias("at", "token"))
+    return each.select("doc_id", (F.col("first") + F.col("at")).alias("pos"), "token", clean_word(F.col("token")).alias("clean"), "sent")
 
 
 def words(docs: DataFrame) -> DataFrame:
     """(doc_id, sent, i from 1, word): the cleaned words of every sentence; tokens without a letter are left out."""
-    place = W.partitionBy("doc_id", "sent").orderBy("pos")
-    return sentences(docs).where("clean <> ''").select("doc_id", "sent", F.row_number().over(place).cast("long").alias("i"), F.col("clean").alias("word"))
+    clean = F.filter(F.transform("tokens", clean_word), lambda x: x != "")
+    each = _sentence_rows(docs).select("doc_id", "sent", F.posexplode(clean).alias("at", "word"))
+    return each.select("doc_id", "sent", (F.col("at") + 1).cast("long").alias("i"), "word")
 
 
 def vocabulary(w: DataFrame) -> DataFrame:

@@ -136,10 +136,11 @@ def parse_sentences(sentences: DataFrame, grammar: DataFrame, longest: int = 25)
     """(id, parse, logp) of rows (id, i, word, tag); a word without a rule is its tag with probability 1.  Sentences of more
     than `longest` words are not parsed: the chart's cost grows with the cube of the length."""
     binary, lexical = split_rules(grammar)
-    if binary.count() > MAX_RULES:
+    held = binary.limit(MAX_RULES + 1).collect()
+    if len(held) > MAX_RULES:
         raise ValueError("the grammar is too large to hold")
     rules: dict[tuple[str, str], list[tuple[str, float]]] = {}
-    for r in sorted(binary.collect()):
+    for r in sorted(held):
         rules.setdefault((r.b, r.c), []).append((r.lhs, r.logp))
     found = lexical.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("lhs", "logp"))).alias("options"))
     joined = sentences.withColumn("key", F.lower("word")).join(found.withColumnRenamed("word", "key"), "key", "left")

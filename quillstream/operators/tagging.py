@@ -16,7 +16,9 @@ BEGIN, END = "<bos>", "<eos>"
 
 
 def emissions(tagged: DataFrame) -> DataFrame:
-    """(tag, word, cnt)."""
+    """(tag, word, cnt); what is such a table already stays as it is."""
+    if "cnt" in tagged.columns:
+        return tagged
     return tagged.groupBy("tag", "word").agg(F.count("*").alias("cnt"))
 
 
@@ -29,7 +31,18 @@ def tag_histories(tagged: DataFrame, order: int = 3) -> DataFrame:
 
 
 def tag_ngrams(histories: DataFrame, order: int) -> DataFrame:
-    return histories.groupBy(*(f"h{k}" for k in range(order - 1, 0, -1)), "tag").agg(F.count("*").alias("cnt"))
+    """(h.., tag, cnt) of rows tag_histories(), or of their counts (summarised())."""
+    cnt = F.sum("cnt") if "cnt" in histories.columns else F.count("*")
+    return histories.groupBy(*(f"h{k}" for k in range(order - 1, 0, -1)), "tag").agg(cnt.alias("cnt"))
+
+
+def summarised(histories: DataFrame) -> DataFrame:
+    """Trigram counts in place of tag_histories(), made once and held; the tagset bounds their number, which is checked."""
+    rows = tag_ngrams(histories, 3)
+    found = rows.limit(MAX_TRANSITIONS + 1).collect()
+    if len(found) > MAX_TRANSITIONS:
+        raise ValueError("the tagset is too large for a transition table")
+    return histories.sparkSession.createDataFrame(found, rows.schema).coalesce(1)
 
 
 def interpolation_weights(histories: DataFrame, floor: float = 1e-3) -> DataFrame:
@@ -55,9 +68,7 @@ def interpolation_weights(histories: DataFrame, floor: float = 1e-3) -> DataFram
 
 def suffix_counts(tagged: DataFrame, rare: int = 10, longest: int = 5) -> DataFrame:
     """(suffix, tag, cnt) over the tokens of rare words; suffix '' holds the base counts."""
-    counts = tagged.groupBy("word", "tag").agg(F.count("*").alias("cnt"))
-    totals = tagged.groupBy("word").agg(F.count("*").alias("total")).where(F.col("total") <= rare).select("word")
-    few = counts.join(totals, "word", "left_semi")
+    few = emissions(tagged).withColumn("total", F.sum("cnt").over(W.partitionBy("word"))).where(F.col("total") <= rare)
     lengths = F.sequence(F.lit(0), F.least(F.lit(longest), F.length("word")))
     each = few.select("tag", "cnt", F.explode(F.transform(lengths, lambda n: F.substring(F.col("word"), F.length("word") - n + 1, n))).alias("suffix"))
     return each.groupBy("suffix", "tag").agg(F.sum("cnt").alias("cnt"))
@@ -121,7 +132,7 @@ def word_candidates(words: DataFrame, tagged: DataFrame, unknown_tags: int = 8)
     seen = distinct.join(counts, "word").join(F.broadcast(per_tag), "tag").select("word", "tag", F.log(F.col("cnt") / F.col("total")).alias("e"), (-F.col("cnt")).alias("o"))
     every = W.partitionBy()  # one row a tag
     prior = per_tag.select("tag", (F.col("total") / F.sum("total").over(every)).alias("prior"))
-    suffixes = suffix_counts(tagged)
+    suffixes = suffix_counts(counts)
     new = distinct.join(counts.select("word").distinct(), "word", "left_anti")
     guessed = suffix_distribution(new, suffixes, suffix_base(suffixes, per_tag)).join(F.broadcast(prior), "tag")
     best = F.row_number().over(W.partitionBy("word").orderBy(F.desc("p"), "tag"))
@@ -196,10 +207,10 @@ def transition_dict(histories: DataFrame, weights: DataFrame) -> dict[tuple[str,
 
 def viterbi_tags(words: DataFrame, tagged: DataFrame, beam: int | None = None) -> DataFrame:
     """(doc_id, sent, i, word, pred): options joined for each distinct word, one pass of Python a sentence."""
-    histories = tag_histories(tagged)
+    histories = summarised(tag_histories(tagged))
     table = transition_dict(histories, interpolation_weights(histories))
-    default = tagged.groupBy("tag").count().orderBy(F.desc("count"), "tag").first()
-    default = default["tag"] if default else "NOUN"
+    often = histories.where(F.col("tag") != END).groupBy("tag").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "tag").first()
+    default = often["tag"] if often else "NOUN"
     joined = words.join(word_candidates(words, tagged), "word", "left")
     rows = joined.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("i", "word", "options"))).alias("items"))
 
@@ -218,7 +229,7 @@ def viterbi_tags(words: DataFrame, tagged: DataFrame, beam: int | None = None) -
 def sequence_logprob(tagged: DataFrame, train: DataFrame) -> DataFrame:
     """(doc_id, sent, logp, n_unseen): the joint log-probability of words and tags, as joins; pairs never seen and contexts
     never seen are counted and not scored."""
-    histories = tag_histories(train)
+    histories = summarised(tag_histories(train))
     table = transition_table(histories, interpolation_weights(histories))
     counts = emissions(train)
     totals = counts.groupBy("tag").agg(F.sum("cnt").alias("total"))
@@ -296,6 +307,7 @@ def agreement(tagged: DataFrame, names: tuple[str, ...] = AGREEMENT) -> DataFram
 def agreement_bias(histories: DataFrame, head: str = "NOUN", dependent: str = "ADJ", determiner: str = "DET", limit: int = 4) -> DataFrame:
     """(head_tag, agreeing, clashing, underspecified): how the transition model divides the dependent's tags after each of the
     most frequent fully marked heads and its matching determiner; contexts never seen give no row."""
+    histories = summarised(histories)
     one = tag_ngrams(histories, 1)
     marks = lambda c: (tag_feature(F.col(c), "Gender"), tag_feature(F.col(c), "Number"))
     gender, number = marks("tag")

@@ -357,7 +357,7 @@ def hmm_transitions(spark, sf_dir):
 
 @query
 def deleted_interpolation(spark, sf_dir):
-    return tagging.interpolation_weights(tagging.tag_histories(_gold(spark, sf_dir))).withColumn("weight", F.round("weight", 6))
+    return tagging.interpolation_weights(tagging.summarised(tagging.tag_histories(_gold(spark, sf_dir)))).withColumn("weight", F.round("weight", 6))
 
 
 @query
@@ -375,7 +375,7 @@ def suffix_dist(spark, sf_dir):
 
 @query
 def transition_prob(spark, sf_dir):
-    h = tagging.tag_histories(_gold(spark, sf_dir))
+    h = tagging.summarised(tagging.tag_histories(_gold(spark, sf_dir)))
     return tagging.transition_table(h, tagging.interpolation_weights(h)).withColumn("p", F.round("p", 6))
 
 
