@@ -38,3 +38,14 @@ def compare_live(judged: DataFrame, live: DataFrame) -> DataFrame:
         F.count_if(~F.col("flagged") & F.col("final")).alias("final_only"), F.count_if(~F.col("flagged") & ~F.col("final")).alias("neither"),
     )
     return out.withColumn("agreement", F.round(F.coalesce(F.try_divide(F.col("both_flagged") + F.col("neither"), F.col("sentences")), F.lit(0.0)), 6))
+
+
+def counters(judged: DataFrame) -> DataFrame:
+    """(method, verdict, n)."""
+    return judged.groupBy("method", "verdict").agg(F.count("*").alias("n"))
+
+
+def improvement(rows: DataFrame) -> DataFrame:
+    """Rows (metric, baseline, model) with the gain and the part of the baseline's errors that the model removes (null: it made none)."""
+    gain = F.col("model") - F.col("baseline")
+    return rows.withColumns({"gain": F.round(gain, 6), "error_reduction": F.round(F.try_divide(gain, 1 - F.col("baseline")), 6)})

@@ -140,6 +140,20 @@ def windows(w: DataFrame, size: int = 10) -> DataFrame:
     return w.select("doc_id", "sent", "i", F.collect_list("word").over(frame).alias("words")).where(F.size("words") == size)
 
 
+def tumbling_windows(w: DataFrame, size: int = 10) -> DataFrame:
+    """(doc_id, win, n, words): a document's words in runs of `size`, across sentences; a last run of one word is dropped."""
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("sent", "i")) - 1
+    rows = w.withColumn("at", place).withColumn("win", F.floor(F.col("at") / size))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])
+    return rows.groupBy("doc_id", "win").agg(F.count("*").alias("n"), words.alias("words")).where("n > 1")
+
+
+def spelled_out(text: DataFrame, known: DataFrame, bigrams: DataFrame, *keys: str) -> DataFrame:
+    """(keys, char_logp): what the spelling of the words that a model does not know adds to its log-probability."""
+    new = text.join(known, "word", "left_anti")
+    return new.join(char_scores(new, bigrams), "word").groupBy(*keys).agg(F.sum("char_logp").alias("char_logp"))
+
+
 def coverage(w: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, sent, n_words, coverage): the part of a sentence's words that the model knows."""
     seen = w.join(known.withColumn("is_known", F.lit(1)), "word", "left")

@@ -377,6 +377,44 @@ FROM (SELECT *, CASE WHEN coalesce(lead(length(word)) OVER (PARTITION BY doc_id,
     ),
 }
 
+SPELLED = f"""cb AS ({SQL['char_bigrams'].rpartition("AS (SELECT word, count(*) AS cnt FROM w GROUP BY word)")[2]}),
+ctot AS (SELECT prev, sum(cnt) AS total FROM cb GROUP BY prev), csz AS (SELECT count(DISTINCT ch) FILTER (ch <> '</s>') + 1 AS cv FROM cb),
+unk AS (SELECT DISTINCT word FROM bw WHERE word NOT IN (SELECT word FROM known)),
+up AS (SELECT word, p[1] AS prev, p[2] AS ch FROM (SELECT word, unnest(list_zip(['<s>'] || l, l || ['</s>'])) AS p FROM (SELECT word, string_split(word, '') AS l FROM unk))),
+cs AS (SELECT word, sum(ln((coalesce(cnt, 0) + 0.1::DOUBLE) / (coalesce(total, 0) + 0.1::DOUBLE * cv))) AS cl FROM up LEFT JOIN cb USING (prev, ch) LEFT JOIN ctot USING (prev), csz GROUP BY word)"""
+
+
+def _floor(name: str, column: str, table: str, share: str) -> str:
+    ranked = f"SELECT {column} AS x, row_number() OVER (ORDER BY {column}) - 1 AS r FROM {table}"
+    return f"SELECT '{name}' AS name, round((SELECT x FROM ({ranked}) WHERE r = round_even({share}::DOUBLE * ((SELECT count(*) FROM {table}) - 1), 0)), 4) AS value"
+
+
+SQL |= {
+    "lm_open_vocab": corpus(
+        "SELECT doc_id, sent, n_words, round(logp + coalesce(x, 0), 5) AS logp FROM b2 LEFT JOIN (SELECT doc_id, sent, sum(cl) AS x FROM bw JOIN cs USING (word) GROUP BY ALL) USING (doc_id, sent)",
+        *METHOD_CTES, VOCAB, SPELLED,
+    ),
+    "tumbling_windows": corpus(
+        "SELECT doc_id, win, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS words FROM (SELECT *, place // 10 AS win FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY sent, i) - 1 AS place FROM w)) GROUP BY doc_id, win HAVING count(*) > 1"
+    ),
+    "symdel_index": corpus(f"SELECT DISTINCT key, word FROM ({KEYS.format(word='word', table='voc')})", VOCAB),
+    "benchmark_words": corpus(
+        f"""(SELECT 'corrupted' AS batch, o AS original, word FROM (SELECT *, {CORRUPT} AS word FROM drawn) WHERE word <> '' AND word NOT IN (SELECT word FROM voc) ORDER BY key, o LIMIT 1000)
+UNION ALL (SELECT 'clean', o, o FROM drawn ORDER BY key, o LIMIT 1000)""",
+        VOCAB, f"""drawn AS (SELECT *, ['deletion', 'insertion', 'replacement', 'transposition'][(key % 4 + 1)::INT] AS kind, (key % greatest(n, 1))::INT AS p,
+  substr('abcdefghijklmnopqrstuvwxyz', ((key // 64) % 26 + 1)::INT, 1) AS letter FROM (SELECT word AS o, length(word) AS n, {hashed('word', "'batch'")} AS key FROM voc))""",
+    ),
+    "experiment_counters": corpus(f"SELECT CASE WHEN cov >= 0.8 THEN 'trigram' ELSE 'bigram' END AS method, {VERDICT} AS verdict, count(*) AS n FROM ({METHOD}) GROUP BY ALL", *METHOD_CTES),
+    "lm_calibration": " UNION ALL ".join([
+        "SELECT * FROM (" + corpus(" UNION ALL ".join(_floor(f"{m}_p{s}", c, "mt", f"0.{s}") for m, c in (("bigram", "bp"), ("trigram", "tp")) for s in ("02", "10")), *METHOD_CTES, f"mt AS ({METHOD})") + ")",
+        "SELECT * FROM (" + corpus(" UNION ALL ".join(_floor(f"window_ppl_p{s}", "perplexity", "ppl", f"0.{s}") for s in ("90", "95")), BENCH, GRAMS, WINDOWS, scoring("wx"), _sentence("addk", "0.001::DOUBLE", "sl", "th", "doc_id"), f"ppl AS ({PPL})") + ")",
+    ]),
+    "tag_improvement": corpus(
+        "SELECT 'tag accuracy' AS metric, b AS baseline, m AS model, round(m - b, 6) AS gain, round((m - b) / (1 - b), 6) AS error_reduction FROM (SELECT round(avg((tag = 'NOUN')::INT), 6) AS b, round(avg((tag = pred)::INT), 6) AS m FROM pre)",
+        TG, BENCH, BG, BASELINE,
+    ),
+}
+
 
 def notation_sql(brown: list[str], feats: list[tuple[str, str]], penn: dict[str, str], morphology: dict[str, dict[str, str]]) -> dict[str, str]:
     """SQL of the two queries whose inputs are lists."""

@@ -281,6 +281,31 @@ def lm_normalisation(spark, sf_dir):
     return rows.groupBy("h1").agg(F.round(F.sum(model.probability("witten_bell")), 6).alias("total"))
 
 
+@query
+def lm_open_vocab(spark, sf_dir):
+    """Sentence log-probabilities in which an unknown word costs its spelling too."""
+    w, asked = _words(spark, sf_dir), _asked(spark, sf_dir)
+    model = ngrams.NgramModel(w)
+    spelled = ngrams.spelled_out(asked, model.known, ngrams.char_bigrams(w), "doc_id", "sent")
+    rows = _sentence_scores(model, asked, "witten_bell", "doc_id", "sent").join(spelled, ["doc_id", "sent"], "left")
+    return rows.select("doc_id", "sent", "n_words", F.round(F.col("logp") + F.coalesce("char_logp", F.lit(0.0)), 5).alias("logp"))
+
+
+@query
+def tumbling_windows(spark, sf_dir):
+    return ngrams.tumbling_windows(_words(spark, sf_dir), 10).withColumn("words", F.array_join("words", " "))
+
+
+@query
+def symdel_index(spark, sf_dir):
+    return spelling.symdel_index(corpus.vocabulary(_words(spark, sf_dir)))
+
+
+@query
+def benchmark_words(spark, sf_dir):
+    return spelling.benchmark_words(corpus.vocabulary(_words(spark, sf_dir)))
+
+
 @query
 def edits1_candidates(spark, sf_dir):
     ascii_ = "^[a-z]+$"
@@ -515,6 +540,30 @@ def method_choice(spark, sf_dir):
     return judged.select("id", "n_words", F.round("bigram_per_word", 4).alias("bigram_per_word"), F.round("trigram_per_word", 4).alias("trigram_per_word"), F.round("coverage", 6).alias("coverage"), "method", "verdict")
 
 
+@query
+def experiment_counters(spark, sf_dir):
+    return analysis.counters(analysis.judge(_scored(spark, sf_dir, None), FLOORS))
+
+
+@query
+def lm_calibration(spark, sf_dir):
+    """The floors of both language models' per-word scores and the alert levels of the windows' perplexity."""
+    judged = analysis.judge(_scored(spark, sf_dir, None), FLOORS).select("bigram_per_word", "trigram_per_word").persist()
+    found = [(f"{m}_p{round(100 * s):02d}", v) for m in ("bigram", "trigram") for s, v in zip((0.02, 0.1), ngrams.nearest_rank(judged, f"{m}_per_word", [0.02, 0.1]), strict=True)]
+    judged.unpersist()
+    windows = window_perplexity(spark, sf_dir)
+    found += [(f"window_ppl_p{round(100 * s)}", v) for s, v in zip((0.9, 0.95), ngrams.nearest_rank(windows, "perplexity", [0.9, 0.95]), strict=True)]
+    return spark.createDataFrame(found, "name string, value double").withColumn("value", F.round("value", 4))
+
+
+@query
+def tag_improvement(spark, sf_dir):
+    """The most frequent tag of each word against one tag for all."""
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    rows = _baseline(spark, sf_dir).agg(share(F.col("tag") == "NOUN").alias("baseline"), share(F.col("tag") == F.col("pred")).alias("model"))
+    return analysis.improvement(rows.select(F.lit("tag accuracy").alias("metric"), "baseline", "model"))
+
+
 @query
 def summary_table(spark, sf_dir):
     return analysis.summary(analysis.judge(_scored(spark, sf_dir, cky_parse(spark, sf_dir)), FLOORS))

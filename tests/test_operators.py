@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.operators import analysis, corpus, grammar, ngrams, parsing, segmentation, spelling, tagging
-from quillstream.plans import pseudo_gold
+from quillstream.plans import experiments, pseudo_gold
 
 TEXT = ["the cat sat. the dog ran. the cat ran.", "a dog sat on the mat. the cats sat.", None, "", "the mat. the cat sat on the mat."]
 
@@ -190,3 +190,26 @@ def test_verdicts_and_agreement(spark):
     r = analysis.compare_live(judged, live).first()
     assert (r.both_flagged, r.live_only, r.final_only, r.neither) == (1, 1, 1, 0)
     assert len(analysis.summary(judged).columns) == 9
+
+
+def test_improvement_and_counters(spark):
+    rows = spark.createDataFrame([("a", 0.5, 0.75), ("b", 1.0, 1.0)], "metric string, baseline double, model double")
+    assert [(r.gain, r.error_reduction) for r in analysis.improvement(rows).orderBy("metric").collect()] == [(0.25, 0.5), (0.0, None)]
+    judged = spark.createDataFrame([("bigram", "grammatical")] * 2 + [("bigram", None)], "method string, verdict string")
+    assert sorted(r.n for r in analysis.counters(judged).collect()) == [1, 2]
+
+
+def test_tuning_grid_takes_the_first_best(spark):
+    rows = [(s, 0, i + 1, x) for s in range(6) for i, x in enumerate(("the", "big", "dog") if s % 2 else ("a", "red", "cat"))]
+    few = spark.createDataFrame(rows, "doc_id long, sent long, i long, word string")
+    found = experiments.tune_segmentation(few, few, penalties=(0.0, -8.0), beams=(4, 8)).collect()
+    best = max(found[:2], key=lambda r: r.f1).penalty
+    assert [(r.penalty, r.beam) for r in found] == [(0.0, 8), (-8.0, 8), (best, 4)]
+    assert max(r.f1 for r in found) == 1.0
+
+
+def test_sentences_are_cut_in_the_row(spark):
+    rows = [(1, 'One two. Three "four five!" J. Smith said so.'), (2, ""), (3, None), (4, "No end"), (5, "Ends. 12 .")]
+    found = corpus.sentences(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "pos").collect()
+    assert [(r.doc_id, r.pos, r.sent) for r in found if r.doc_id == 1] == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 1), (1, 5, 1), (1, 6, 2), (1, 7, 2), (1, 8, 2), (1, 9, 2)]
+    assert [(r.doc_id, r.sent) for r in found if r.doc_id > 1] == [(4, 0), (4, 0), (5, 0), (5, 1), (5, 1)]
