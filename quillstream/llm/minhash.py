@@ -26,13 +26,15 @@ class MinMaxConfig:
     """shingle: words in a shingle.  percent: similarity that links, in hundredths.
     bands x rows values make the signature, two for each permutation.
     At 0.85 a pair is missed by all bands with a chance of 8e-5 (20 bands of 6).
-    block: sets compared in one task; larger clusters are dealt out as pairs of blocks."""
+    block, mass: sets and shingles in a block, about; larger clusters are dealt out as pairs of blocks,
+    one pair a task, so that a cluster of very long texts fits as well as one of very many."""
 
     shingle: int = 3
     percent: int = 85
     bands: int = 20
     rows: int = 6
     block: int = 512
+    mass: int = 1 << 20
     seed: int = 11
 
 
@@ -131,21 +133,22 @@ def near_duplicates(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_c
     Words are runs of anything but blanks, A-Z lower-cased; a document's set are its distinct
     shingles; fewer words than a shingle make one shingle.  Defined cases: null, empty and blank
     texts have an empty set and link with nothing; a null id is never linked, its component is
-    null and it is kept; rows that repeat an id are judged each by its own text; other columns
-    are ignored; an empty table gives no rows.
+    null and it is kept; rows that repeat an id have each its own set, and the id is linked by any of
+    them; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     staging = Staging(spark)
     rows = staging.write(sketches(docs, config, id_col, text_col))
     whole = rows.where("n_shingles > 0 and id is not null")
-    classes = staging.write(whole.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys")))
+    classes = staging.write(whole.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys")))
     bands = classes.select("rep", F.explode("keys").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     proposed = bands.join(hubs, "key").where("rep <> hub").select("rep", "hub").distinct()
     clusters = connected_components(proposed, staging, "rep", "hub")
 
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / config.block).cast("int").alias("parts"))
-    member = classes.select(F.col("rep").alias("node"), "h1", "h2").join(clusters, "node").join(sizes, "label")
+    member = classes.select(F.col("rep").alias("node"), "h1", "h2", "n_shingles").join(clusters, "node")
+    parts = F.ceil(F.greatest(F.count("*") / config.block, F.sum("n_shingles") / config.mass)).cast("int")
+    member = member.join(member.groupBy("label").agg(parts.alias("parts")), "label").drop("n_shingles")
     member = member.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
 
@@ -156,20 +159,22 @@ def near_duplicates(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_c
                 h1, h2 = _set_hashes(sets, ptr)
                 same = (h1.view(np.int64) == batch.column("h1").to_numpy()) & (h2.view(np.int64) == batch.column("h2").to_numpy())
                 out = pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("label", "node", "part", "parts")), ragged(signed(sets), ptr)],
-                    names=["label", "node", "part", "parts", "shingles"],
+                    [*(batch.column(c) for c in ("label", "node", "part", "parts", "h1")), ragged(signed(sets), ptr)],
+                    names=["label", "node", "part", "parts", "h1", "shingles"],
                 )
                 yield out.filter(pa.array(same))
 
     full = member.join(texts, "node").select("label", "node", "part", "parts", "h1", "h2", "text").mapInArrow(
-        shingled, "label long, node long, part int, parts int, shingles array<long>"
+        shingled, "label long, node long, part int, parts int, h1 long, shingles array<long>"
     )
     dealt = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "label", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "shingles"
+        "label", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "h1", "shingles"
     )
 
     def confirm(group: pa.Table) -> pa.Table:
-        node, first = np.unique(group.column("node").to_numpy(), return_index=True)
+        texts = np.stack([group.column(c).to_numpy() for c in ("node", "h1")], axis=1)
+        texts, first = np.unique(texts, axis=0, return_index=True)
+        node = texts[:, 0]
         flat, ptr = ragged_parts(group.column("shingles").take(pa.array(first)))
         pairs = linked(flat.view(np.uint64), ptr, config.percent)
         a, b = (node[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64) for k in (0, 1))

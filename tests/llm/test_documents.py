@@ -45,7 +45,7 @@ def expected_components(rows, n, percent):
     return {i: find(i) for i in keys}, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("config", [minhash.MinMaxConfig(), minhash.MinMaxConfig(shingle=5, percent=80, bands=30, rows=5, block=4)])
+@pytest.mark.parametrize("config", [minhash.MinMaxConfig(), minhash.MinMaxConfig(shingle=5, percent=80, bands=30, rows=5, block=4), minhash.MinMaxConfig(mass=64)])
 def test_near_duplicates_match_brute_force(clashing, corpus_rows, config):
     component, size = expected_components(corpus_rows, config.shingle, config.percent)
     out = minhash.near_duplicates(clashing, config).collect()
@@ -57,6 +57,13 @@ def test_near_duplicates_match_brute_force(clashing, corpus_rows, config):
             assert (r.component_id, r.n_shingles, r.kept) == (component[r.doc_id], size[r.doc_id], component[r.doc_id] == r.doc_id)
 
 
+def test_an_id_of_several_texts_is_linked_by_each_of_them(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (5, b), (7, a + " more"), (9, b + " more"), (8, "c d e f"), (11, "")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(5, 5, True)] * 3 + [(7, 5, False), (8, 8, True), (9, 5, False), (11, 11, True)]
+
+
 def test_one_of_each_group_stays_with_all_columns(docs, corpus_rows):
     kept = minhash.keep_one_of_each(docs, minhash.MinMaxConfig())
     component, _ = expected_components(corpus_rows, 3, 85)
