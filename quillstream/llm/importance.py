@@ -1,11 +1,13 @@
 """Quality by importance resampling of hashed n-grams.
 
 Two generative models over hashed n-grams (words, and word pairs if asked for), one of target text
-(labelled good) and one of raw text (all labelled), give each n-gram the logarithm of their ratio.  The weight of a document is that of
+(labelled good) and one of raw text (all labelled), give each n-gram the logarithm of their ratio, from the
+number of documents that hold it; an n-gram of few documents says nothing, or else the longer a text, the
+likelier it has a few that only bad documents happen to hold.  The weight of a document is that of
 its least target-like window of tokens: over a whole long text a short foul passage would drown.
 Documents are then drawn without replacement by Gumbel top-k: the k largest of weight/temperature
 plus Gumbel noise, k being the number of documents whose weight passes the threshold that best
-parts the labelled good from the labelled bad.
+parts the labelled good from the labelled bad, each weighed by the models without itself.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from .tokens import SHAPE_CLASSES, combine, mix, row_of, token_hashes
 _REPEATS = mix(np.arange(3, 16, dtype=np.uint64))
 _SLICE = 4096
 _WEIGHT = "quillstream_weight"
+_HELD_OUT = "quillstream_held_out"
 
 
 @dataclass(frozen=True)
 class ImportanceConfig:
     """bits: log2 of the hash buckets, of words and of pairs each.  pairs: whether word pairs count
     too.  window: tokens.  smoothing: the count added to each target bucket (to raw buckets in
-    proportion).  max_labelled: about so many labelled documents, chosen by a hash of the id, make
+    proportion).  least_docs: documents that must hold a bucket for it to count; fewer where there are
+    few bad documents, one for each bad_docs of them.  max_labelled: about so many labelled documents, chosen by a hash of the id, make
     the models: the good ones the target, all of them the raw text.  temperature: of the draw;
     k: documents drawn, or None for the calibrated number."""
 
@@ -40,6 +44,8 @@ class ImportanceConfig:
     pairs: bool = False
     window: int = 4
     smoothing: float = 0.2
+    least_docs: int = 5
+    bad_docs: int = 25
     max_labelled: int = 100_000
     temperature: float = 0.1
     k: int | None = None
@@ -95,7 +101,8 @@ def labelled_sample(labels: DataFrame, config: ImportanceConfig, id_col: str, qu
 
 
 def fit_ratios(docs: DataFrame, config: ImportanceConfig) -> np.ndarray:
-    """The log ratio of every bucket, from rows (id, text, good); the counts on the driver are bounded by the buckets."""
+    """The log ratio of every bucket from rows (id, text, good), by all of them, by all but one good and by all but one bad
+    document that holds the bucket; the counts on the driver are bounded by the buckets."""
     size = 2 << config.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +110,12 @@ def fit_ratios(docs: DataFrame, config: ImportanceConfig) -> np.ndarray:
         for whole in batches:
             for batch in slices(whole, "text"):
                 one, two, ptr = features(batch.column("text"), config)
-                good = batch.column("good").fill_null(False).to_numpy(zero_copy_only=False)[row_of(ptr)]
-                for kind, of in ((0, good), (1, slice(None))):
-                    totals[kind] += np.bincount(one[of], minlength=size) + np.bincount(two[of], minlength=size)
+                good = batch.column("good").fill_null(False).to_numpy(zero_copy_only=False)
+                for found in (one, two)[: 1 + config.pairs]:
+                    held = np.unique(row_of(ptr) * size + found)  # each bucket once a document
+                    doc, bucket = held // size, held % size
+                    totals[0] += np.bincount(bucket[good[doc]], minlength=size)
+                    totals[1] += np.bincount(bucket, minlength=size)
         if not totals.any():
             return
         rows = [(k * (size // _SLICE) + s, pack(totals[k, s * _SLICE : (s + 1) * _SLICE].astype(np.uint64))) for k in (0, 1) for s in range(size // _SLICE)]
@@ -120,31 +130,41 @@ def fit_ratios(docs: DataFrame, config: ImportanceConfig) -> np.ndarray:
     for r in docs.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
         found[r.part] = unpack(r.counts)
     target, raw = found.reshape(2, size)
-    out = np.zeros(size)
+    least = min(config.least_docs, max(1, docs.where("not good").count() // config.bad_docs))
+    out = np.zeros((3, size >> (not config.pairs)), np.float32)
     for half in (slice(0, size // 2), slice(size // 2, size))[: 1 + config.pairs]:
         t, r = target[half], raw[half]
-        a = config.smoothing
-        b = a * max(r.sum(), 1.0) / max(t.sum(), 1.0)
-        out[half] = np.log((t + a) / (t.sum() + a * len(t))) - np.log((r + b) / (r.sum() + b * len(r)))
+        share = max(t.sum(), 1.0) / max(r.sum(), 1.0)
+        a, b = config.smoothing, config.smoothing / share
+        for k, (own_t, own_r) in enumerate(((0, 0), (1, 1), (0, 1))):
+            some = r - own_r >= least
+            out[k, half][some] = np.log((np.maximum(t[some] - own_t, 0) + a) / (r[some] - own_r + b) / share)
     return out
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, config: ImportanceConfig, text_col: str = "text") -> DataFrame:
-    """The same rows with their weight."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))  # 4 bytes a bucket
-
-    def ratio(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        words = shared.value[one].astype(float)
-        return words + shared.value[two] if config.pairs else words
+def weigh(docs: DataFrame, ratios: np.ndarray, config: ImportanceConfig, text_col: str = "text", good_col: str | None = None) -> DataFrame:
+    """The same rows with their weight and, given the column of labels, with that by the models without the row itself (null without a label)."""
+    # 4 bytes a bucket and model; each executor and the driver keep a copy on disk.
+    shared = docs.sparkSession.sparkContext.broadcast(ratios if good_col else ratios[:1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
                 one, two, ptr = features(batch.column(text_col), config)
-                weight = window_weights(ratio(one, two), ptr, config.window)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names=[*batch.schema.names, _WEIGHT])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(_WEIGHT, T.DoubleType())]))
+                def weights(model: int | np.ndarray) -> np.ndarray:
+                    words = shared.value[model, one].astype(float)
+                    return window_weights(words + shared.value[model, two] if config.pairs else words, ptr, config.window)
+
+                added = [pa.array(weights(0))]
+                if good_col:
+                    good = batch.column(good_col)
+                    model = np.where(good.fill_null(False).to_numpy(zero_copy_only=False), 1, 2)
+                    added.append(pa.array(weights(model[row_of(ptr)]), mask=good.is_null().to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
+
+    names = [_WEIGHT, _HELD_OUT] if good_col else [_WEIGHT]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def best_threshold(cells: list[tuple[float, int, int]]) -> float:
@@ -217,12 +237,12 @@ def _draw(docs: DataFrame, labels: DataFrame, config: ImportanceConfig, id_col:
     sample = F.broadcast(labelled_sample(labels, config, id_col, quality_col, toxic_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id", "left").select("id", "text", "good")
     ratios = fit_ratios(rows.where("good is not null"), config)
-    weighed = staging.write(weigh(rows, ratios, config).drop("text"))
+    weighed = staging.write(weigh(rows, ratios, config, good_col="good").drop("text"))
     keyed = weighed.withColumn("draw_key", _key(F.col("id"), config))
     k, total = config.k, weighed.count()
     if k is None:
         # Rounded to hundredths and bounded by max_labelled.
-        cells = weighed.where("good is not null").groupBy(F.round(_WEIGHT, 2).alias("w")).agg(F.sum(F.col("good").cast("int")).alias("g"), F.sum((~F.col("good")).cast("int")).alias("b")).collect()
+        cells = weighed.where("good is not null").groupBy(F.round(_HELD_OUT, 2).alias("w")).agg(F.sum(F.col("good").cast("int")).alias("g"), F.sum((~F.col("good")).cast("int")).alias("b")).collect()
         k = weighed.where(F.col(_WEIGHT) >= best_threshold([(c.w, c.g, c.b) for c in cells])).count()
     least = -math.inf if k >= total else math.inf if k <= 0 else kth_largest(keyed, "draw_key", k)
     return keyed, ratios, least

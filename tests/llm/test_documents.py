@@ -251,6 +251,31 @@ def test_importance_keeps_clean_and_drops_foul(spark):
     assert kept.columns == df.columns and kept.count() == sum(r.selected for r in out)
 
 
+def test_rare_words_of_bad_documents_do_not_drop_long_clean_ones(spark):
+    import random
+
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    rows, labels = [], []
+    for k in range(300):
+        w = words(60)
+        if k % 3 == 0:  # foul by one word, and each holds four words that no other does
+            w[10:14] = [f"r{k}x{j}" for j in range(4)]
+            w[rng.randrange(20, 60)] = rng.choice(["slur", "filth"])
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(k % 3 == 0)))
+    for k in range(300, 360):
+        w = words(3000)
+        w[1000:1004] = [f"r{3 * (k - 300)}x{j}" for j in range(4)]
+        if k % 2:
+            w[2000] = "slur"
+        rows.append((k, " ".join(w)))
+    out = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    lost = [r.doc_id for r in out if r.doc_id >= 300 and r.doc_id % 2 == 0 and not r.selected]
+    kept = [r.doc_id for r in out if r.doc_id >= 300 and r.doc_id % 2 and r.selected]
+    assert len(lost) <= 1 and len(kept) <= 1, (lost, kept)
+
+
 def test_kth_largest_is_exact(spark):
     values = [1.5, 1.5, -2.0, 7.25, 7.25, 7.25, 1e9, 0.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
