@@ -2,7 +2,7 @@
 
 Markup is stripped to lines, one for each block of text; what stands in menus, forms, scripts and
 the like has length 0, as has a line that is mostly links.  The lengths are summed over a sliding
-window of lines.  The text starts where the sum surges and ends where it dives, and all lines of
+window of lines.  The text starts where the sum first surges and ends where it last dives, and all lines of
 some length between these points are kept, short ones too.
 """
 
@@ -166,7 +166,7 @@ def main_lines(lines: list[Line], config: LineBlockConfig = LineBlockConfig()) -
     """The lines between the surge and the dive points.
 
     Where the page marks an article, lines outside of it weigh nothing and any weight is a surge.
-    Otherwise the run of windows over the surge length with the most text is taken.
+    Otherwise all is taken from the first run of windows over the surge length to the last one.
     """
     marked = any(x.inside and x.weight for x in lines)
     weight = [x.weight if x.inside or not marked else 0 for x in lines]
@@ -196,7 +196,7 @@ def main_lines(lines: list[Line], config: LineBlockConfig = LineBlockConfig()) -
         if not runs and any(weight):
             up = [k for k in range(n) if weight[k]]
             runs = [(up[0], up[-1] + 1)]
-        runs = sorted(runs, key=lambda r: (-sum(weight[r[0] : r[1]]), r))[:1]
+        runs = [(runs[0][0], runs[-1][1])] if runs else []
     return [x.text for a, b in runs for x, w in zip(lines[a:b], weight[a:b], strict=True) if w]
 
 

@@ -68,6 +68,15 @@ def test_surge_and_dive_without_an_article():
     assert "Entry" not in text and "Yes." in text and text.count("paragraph") == 6 and "Bye" not in text
 
 
+def test_text_broken_by_short_items_is_kept_whole():
+    items = [f"Entry number {k} of six."[:20] for k in range(6)]
+    lines = ["a" * 300, *items, "b" * 280, "c" * 200]
+    menu = "".join(f"<div><a href=/{k}>Go {k}</a></div>" for k in range(8))
+    html = "<body>" + menu + f"<p>{lines[0]}</p><ul>" + "".join(f"<li>{x}</li>" for x in items) + f"</ul><p>{lines[7]}</p><p>{lines[8]}</p>" + menu + "</body>"
+    assert line_blocks.main_text(html) == "\n".join(lines)
+    assert line_blocks.main_text(f"<p>{lines[0]}</p>{menu}<p>{lines[8]}</p>") == lines[0] + "\n" + lines[8]
+
+
 def test_extraction_query(spark):
     rows = [(k, f"http://u/{k}", h) for k, h in enumerate(PAGES)] + [(None, None, None), (3, "http://u/3", "<p>twice</p>"), (3, "http://u/3", "<p>twice</p>"), (99, "u", "<article>" + "<p>long text</p>" * 20000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("id", "text", "n_chars")})
