@@ -1,7 +1,8 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of text; what stands in menus, forms, scripts and
-the like has length 0, as has a line that is mostly links.  The lengths are summed over a sliding
+the like has length 0, as have, outside of a marked article, lines that are mostly links where
+several follow each other.  The lengths are summed over a sliding
 window of lines.  The text starts where the sum first surges and ends where it last dives, and all lines of
 some length between these points are kept, short ones too.
 """
@@ -12,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +52,7 @@ _WORD = re.compile(r"[a-z]+")
 class LineBlockConfig:
     """window: lines summed.  surge: the sum, in characters, at which the text starts, and below
     which it ends, on a page that marks no article.  links: the share of a line's characters in
-    links from which it counts as a menu."""
+    links from which it counts as a menu, if `window` such lines at least stand in a row."""
 
     window: int = 3
     surge: int = 80
@@ -60,8 +62,8 @@ class LineBlockConfig:
 @dataclass
 class Line:
     text: str
-    weight: int
     inside: bool  # of an element that marks the article
+    linked: bool  # mostly links
 
 
 def _is_noise(name: str, rest: str) -> bool:
@@ -94,7 +96,7 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
             text = " ".join("".join(pieces).split())
             if text:
                 share = len(" ".join("".join(linked).split())) / len(text)
-                out.append(Line(text, 0 if share >= config.links else len(text), scope > 0))
+                out.append(Line(text, scope > 0, share >= config.links))
             pieces.clear()
             linked.clear()
 
@@ -165,11 +167,19 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
 def main_lines(lines: list[Line], config: LineBlockConfig = LineBlockConfig()) -> list[str]:
     """The lines between the surge and the dive points.
 
-    Where the page marks an article, lines outside of it weigh nothing and any weight is a surge.
+    Where the page marks an article, lines outside of it weigh nothing and any weight is a surge; an
+    article of links only is one if the text outside of it is not longer.
     Otherwise all is taken from the first run of windows over the surge length to the last one.
     """
-    marked = any(x.inside and x.weight for x in lines)
-    weight = [x.weight if x.inside or not marked else 0 for x in lines]
+    inside = sum(len(x.text) for x in lines if x.inside)
+    marked = any(x.inside and not x.linked for x in lines) or inside > 0 and inside >= sum(len(x.text) for x in lines if not x.linked)
+    if marked:
+        weight = [len(x.text) if x.inside else 0 for x in lines]
+    else:
+        weight = []
+        for linked, group in groupby(lines, key=lambda x: x.linked):
+            row = [len(x.text) for x in group]
+            weight += [0] * len(row) if linked and len(row) >= config.window else row
     need, n = 1 if marked else config.surge, len(lines)
     sums = [sum(weight[k : k + config.window]) for k in range(n)]
     if marked:

@@ -77,6 +77,18 @@ def test_text_broken_by_short_items_is_kept_whole():
     assert line_blocks.main_text(f"<p>{lines[0]}</p>{menu}<p>{lines[8]}</p>") == lines[0] + "\n" + lines[8]
 
 
+def test_linked_text_of_an_article_is_kept():
+    page = "<article><h1><a href=/>Headline</a></h1><p>Text.</p><p><a href=/>One linked sentence.</a></p><ul>{}</ul></article>"
+    refs = [f"Reference {k}" for k in range(5)]
+    html = page.format("".join(f"<li><a href=/{k}>{x}</a></li>" for k, x in enumerate(refs)))
+    assert line_blocks.main_text(f"<div><a href=/>Home</a></div>{html}") == "\n".join(["Headline", "Text.", "One linked sentence.", *refs])
+    assert line_blocks.main_text("<article><h1><a href=/>Headline</a></h1></article><p>(c)</p>") == "Headline"
+    teaser = "<article><a href=/>Teaser</a></article>"
+    assert line_blocks.main_text(f"{teaser * 3}<p>{'a' * 100}</p>") == "a" * 100
+    long, menu = "a" * 100, "".join(f"<div><a href=/{k}>Go {k}</a></div>" for k in range(3))
+    assert line_blocks.main_text(f"{menu}<p>{long}</p><p>see <a href=/>a long title</a></p><p>{long}</p>{menu}") == f"{long}\nsee a long title\n{long}"
+
+
 def test_extraction_query(spark):
     rows = [(k, f"http://u/{k}", h) for k, h in enumerate(PAGES)] + [(None, None, None), (3, "http://u/3", "<p>twice</p>"), (3, "http://u/3", "<p>twice</p>"), (99, "u", "<article>" + "<p>long text</p>" * 20000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("id", "text", "n_chars")})
