@@ -36,6 +36,13 @@ NOISE_WORDS = frozenset(
     " disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup"
     " promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words that name no content: a class or id of these and of noise words, one of those at least, is noise ("ad-box"; not "share-price").
+PLAIN_WORDS = frozenset(
+    "area articles bar block bottom box button buttons container form icon icons inner item items left link links list outer panel posts primary right"
+    " secondary site slot stories top unit wrap wrapper".split()
+)
+#: Inside a marked article these are text whatever their class or id.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: An open element of the first name ends where one of the others begins.
 CLOSED_BY = {
@@ -45,7 +52,7 @@ CLOSED_BY = {
 
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -66,7 +73,16 @@ class Line:
     linked: bool  # mostly links
 
 
-def _is_noise(name: str, rest: str) -> bool:
+def _names_noise(value: str) -> bool:
+    """Whether one of the names in a class or id is a noise word, or made of such words and plain ones."""
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        if words & NOISE_WORDS and words <= NOISE_WORDS | PLAIN_WORDS:
+            return True
+    return False
+
+
+def _is_noise(name: str, rest: str, inside: bool) -> bool:
     if name in NOISE:
         return True
     if not rest or name in ("html", "body"):
@@ -74,7 +90,7 @@ def _is_noise(name: str, rest: str) -> bool:
     for key, a, b, c in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id"):
-            if any(w in NOISE_WORDS for w in _WORD.findall(value)) and not (name in SCOPE):
+            if name not in SCOPE and not (inside and name in TEXT) and _names_noise(value):
                 return True
         elif key == "role" and value.strip() in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -147,7 +163,7 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
             add(" ")
         if name in VOID:
             continue
-        bad = _is_noise(name, m["rest"])
+        bad = _is_noise(name, m["rest"], scope > 0)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             if not bad:

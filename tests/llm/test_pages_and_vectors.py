@@ -89,6 +89,15 @@ def test_linked_text_of_an_article_is_kept():
     assert line_blocks.main_text(f"{menu}<p>{long}</p><p>see <a href=/>a long title</a></p><p>{long}</p>{menu}") == f"{long}\nsee a long title\n{long}"
 
 
+def test_classes_that_only_contain_a_noise_word_are_text():
+    text = ["<h2 id='search'>A</h2>", "<section id='related-work'>B</section>", "<p class='section-header'>C</p>", "<div class='share-price'>D</div>", "<div class='skip-intro'>E</div>", "<p class='notice'>F</p>", "<div id='réseau-social'>G</div>", "<div class='lead-story social-history'>H</div>"]
+    noise = ["<div class='ad-box'>no</div>", "<div class='wide related-posts'>no</div>", "<div id='ad_3'>no</div>", "<section class=comments>no</section>", "<div class='share-buttons'>no</div>", "<div class='nav__item'>no</div>"]
+    html = "".join(a + b for a, b in zip(text, noise + ["", ""]))
+    assert line_blocks.main_text(f"<article>{html}</article>") == "\n".join("ABCDEFGH")
+    body = "a" * 100
+    assert line_blocks.main_text(f"<p class='notice'>no</p><div class='share-price'>{body}</div><p class='ad-box'>no</p>") == body
+
+
 def test_extraction_query(spark):
     rows = [(k, f"http://u/{k}", h) for k, h in enumerate(PAGES)] + [(None, None, None), (3, "http://u/3", "<p>twice</p>"), (3, "http://u/3", "<p>twice</p>"), (99, "u", "<article>" + "<p>long text</p>" * 20000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("id", "text", "n_chars")})
