@@ -277,6 +277,12 @@ SQL |= {
     "edits1_candidates": corpus(
         "SELECT query, cand FROM pairs WHERE query <> cand AND regexp_full_match(cand, '[a-z]+')", VOCAB, BENCH, "asked AS (SELECT DISTINCT word AS q FROM bw WHERE regexp_full_match(word, '[a-z]+'))", symdel("asked", "q")
     ),
+    "edits1_candidates_all": corpus(
+        """SELECT query, cand FROM (SELECT *, list_filter(range(1, length(query) + 1), lambda k: substr(query, k, 1) <> substr(cand, k, 1)) AS d FROM pairs WHERE query <> cand)
+WHERE CASE length(cand) - length(query) WHEN 0 THEN len(d) = 2 OR regexp_full_match(substr(cand, d[1], 1), '[a-z]')
+  WHEN 1 THEN len(list_filter(range(1, length(cand) + 1), lambda k: substr(cand, 1, k - 1) || substr(cand, k + 1) = query AND regexp_full_match(substr(cand, k, 1), '[a-z]'))) > 0 ELSE true END""",
+        VOCAB, BENCH, "asked AS (SELECT DISTINCT word AS q FROM bw)", symdel("asked", "q")
+    ),
     "method_ab_diff": corpus(
         "SELECT count(*) AS n_a, count(*) AS n_b, 0::BIGINT AS n_different FROM pairs WHERE query <> cand AND regexp_full_match(cand, '[a-z]+')", VOCAB, BENCH, "asked AS (SELECT DISTINCT word AS q FROM bw WHERE regexp_full_match(word, '[a-z]+'))", symdel("asked", "q")
     ),

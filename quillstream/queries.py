@@ -313,6 +313,13 @@ def edits1_candidates(spark, sf_dir):
     return spelling.candidates(asked, corpus.vocabulary(_words(spark, sf_dir)).where(F.col("word").rlike(ascii_)), "A")
 
 
+@query
+def edits1_candidates_all(spark, sf_dir):
+    """The a-z edits of every benchmark word among all words, accented ones too."""
+    asked = _asked(spark, sf_dir).select(F.col("word").alias("query")).distinct()
+    return spelling.candidates(asked, corpus.vocabulary(_words(spark, sf_dir)), "A")
+
+
 @query
 def method_ab_diff(spark, sf_dir):
     ascii_ = "^[a-z]+$"

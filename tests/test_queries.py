@@ -30,6 +30,24 @@ def test_query_equals_sql(spark, duck, name):
     assert order(df.collect(), df.columns) == order(want.fetchall(), want.columns)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_candidates_of_all_words_are_the_a_to_z_edits(spark, duck):
+    import string
+
+    from quillstream.operators import corpus
+
+    got = {tuple(r) for r in register.queries()["edits1_candidates_all"](spark, SF).select("query", "cand").collect()}
+    words = lambda t, key: {r.word for r in corpus.words(spark.read.parquet(f"{SF}/{t}.parquet").withColumnRenamed(key, "doc_id")).select("word").distinct().collect()}
+    vocab, want = words("documents", "doc_id"), set()
+    for q in words("benchmark", "item_id"):
+        cuts = [(q[:k], q[k:]) for k in range(len(q) + 1)]
+        made = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+        made |= {a + c + b[n:] for a, b in cuts for c in string.ascii_lowercase for n in (0, 1) if len(b) >= n}
+        want |= {(q, c) for c in made & vocab if c != q}
+    assert got == want and any(not q.isascii() for q, _ in got)
+    assert got == set(duck.sql(register.oracle_sql()["edits1_candidates_all"]).fetchall())
+
+
 def test_every_query_that_sql_can_express_has_sql():
     without = set(register.queries()) - set(register.oracle_sql())
     assert without == {"correct_sentence", "dp_segment", "viterbi_tags", "oracle_transitions", "transition_histogram", "dependency_parse", "cky_parse", "summary_table", "live_alerts"}
