@@ -9,43 +9,79 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, a folder of our own if
+    driver and executors are one process, and an error otherwise, as no local folder is shared."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="quillstream-"))
     return _own_dir[0]
 
 
 class Staging:
-    """Tables written to the shared folder, so that a lost executor costs no more than one stage."""
+    """Tables written to the shared folder, so that a lost executor costs no more than one stage.
+
+    What is left of them when the application ends is deleted then."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quillstream/{uuid.uuid4().hex}"
         self.made = 0
+        path, files = self._files(self.root)
+        files.deleteOnExit(path)
+
+    def _files(self, where: str):
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def path(self) -> str:
+        """A new place below the folder."""
+        self.made += 1
+        return f"{self.root}/{self.made}"
 
     def write(self, df: DataFrame) -> DataFrame:
         """The same rows, read back from a Parquet table."""
-        path = f"{self.root}/{self.made}"
-        self.made += 1
+        path = self.path()
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table made by write()."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *made: DataFrame) -> None:
+        """Deletes tables made by write()."""
+        for df in made:
+            path, files = self._files(df._staged_at)
+            files.delete(path, True)
+
+
+#: Rows of one key from which a join on it is dealt out.
+HOT = 1 << 17
+_SHARES = 64
+
+
+def join_hot(many: DataFrame, n: int, one: DataFrame, key: str, row: Column, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """many.join(one, key, how), `many` having n rows and `one` one row a key: the rows of a key that has `hot` rows or
+    more are dealt out by a hash of `row`, and that key's row of `one` goes to every share.
+
+    Tables of up to `hot` rows have no such key.  The hot keys are at most n / hot, so they may be broadcast."""
+    if n <= hot:
+        return many.join(one, key, how)
+    heavy = F.broadcast(many.groupBy(key).agg(F.count("*").alias("quillstream_n")).where(F.col("quillstream_n") >= hot).withColumn("quillstream_hot", F.lit(True)).drop("quillstream_n"))
+    share, shares = F.pmod(F.xxhash64(row), F.lit(_SHARES)).cast("int"), F.sequence(F.lit(0), F.lit(_SHARES - 1))
+    left = many.join(heavy, key, "left").withColumn("quillstream_share", F.when(F.col("quillstream_hot"), share).otherwise(0)).drop("quillstream_hot")
+    right = one.join(heavy, key, "left").withColumn("quillstream_share", F.explode(F.when(F.col("quillstream_hot"), shares).otherwise(F.array(F.lit(0))))).drop("quillstream_hot")
+    return left.join(right, [key, "quillstream_share"], how).drop("quillstream_share")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import HOT, Staging, join_hot
 
 
-def connected_components(edges: DataFrame, staging: Staging, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, staging: Staging, a: str = "a", b: str = "b", hot: int = HOT) -> DataFrame:
     """(node, label) for every node of an edge, label being the smallest node reachable.
 
     Each round gives a node the smallest label among itself and its neighbours, then follows the
     label's own label, so chains shorten by doubling.  Labels only fall, and the loop ends when
-    a round changes none.  Nothing but one count per round reaches the driver.  An edge with a
-    null end is ignored; a loop makes its node a component of its own; no edges give no rows.
+    a round changes none.  Nothing but counts reaches the driver.  A node of very many edges, and a label
+    of very many nodes, are dealt out (join_hot).  An edge with a null end is ignored; a loop makes its node a
+    component of its own; repeated edges count once; no edges give no rows.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     both = staging.write(e.union(e.select("b", "a")).distinct())
     labels = staging.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    n_edges, n_nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = join_hot(both, n_edges, labels.withColumnRenamed("node", "b"), "b", F.col("a"), hot=hot).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        made = [labels]
+        if n_nodes > hot:  # read twice below
+            lower = staging.write(lower)
+            made.append(lower)
         at = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = staging.write(
-            lower.join(at, "low", "left").select("node", F.least("low", "jump").alias("new"), "label")
-        )
+        new = staging.write(join_hot(lower, n_nodes, at, "low", F.col("node"), "left", hot).select("node", F.least("low", "jump").alias("new"), "label"))
         changed = new.where("new <> label").count()
-        staging.drop(labels)
+        staging.drop(*made)
         labels = new.select("node", F.col("new").alias("label"))
         labels._staged_at = new._staged_at
         if not changed:

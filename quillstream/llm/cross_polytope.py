@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, ragged, ragged_parts, signed
+from .common import Staging, join_hot, ragged, ragged_parts, signed
 from .components import connected_components
 from .tokens import combine, mix
 
@@ -108,8 +108,9 @@ def link_vectors(vectors: DataFrame, config: PolytopeConfig = PolytopeConfig(),
     Two vectors are linked if their labels are equal and not null (any, without a label column) and
     their cosine is at least the threshold.  Defined cases: a null or zero vector, one with null or
     non-finite components, and a null id or label link with nothing; vectors of different lengths
-    never link; rows that repeat an id count as different vectors; a null id is kept and its
-    component is null; an empty table gives no rows.
+    never link; rows that repeat an id are different vectors, each with the links and the component of its
+    own, whose id is the smallest of any vector in it; other columns are ignored; a null id is kept and its component is
+    null; an empty table gives no rows.
     """
     staging = Staging(vectors.sparkSession)
     value = F.col(vector_col).cast("array<double>")
@@ -119,7 +120,10 @@ def link_vectors(vectors: DataFrame, config: PolytopeConfig = PolytopeConfig(),
     )
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.when(fine, value).alias("v"))
     usable = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull()
-    classes = staging.write(rows.where(usable).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    # A class of equal vectors has a number of its own, fixed once it is written; ids may repeat.
+    classes = staging.write(
+        rows.where(usable).groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id())
+    )
     n = classes.count()
     longest = classes.agg(F.max(F.size("v"))).first()[0] or 2
     width = config.width or max(2, math.ceil(math.log(max(n, 2)) / math.log(2 * longest)))
@@ -148,7 +152,7 @@ def link_vectors(vectors: DataFrame, config: PolytopeConfig = PolytopeConfig(),
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .select("rep", "label", "d", "code", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         .select("rep", "label", "d", "code", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
-        .join(kept.select("rep", F.col("label").alias("own"), "copies", "v", "codes"), "rep").where("label = own").drop("own")
+        .join(kept.select("rep", "copies", "v", "codes"), "rep")
     )
 
     def confirm(group: pa.Table) -> pa.Table:
@@ -183,11 +187,15 @@ def link_vectors(vectors: DataFrame, config: PolytopeConfig = PolytopeConfig(),
     found = staging.write(dealt.groupBy("label", "d", "code", "lo", "hi").applyInArrow(confirm, "a long, b long, n long"))
     counts = found.groupBy("a").agg(F.sum("n").alias("others"))
     component = connected_components(found.where("b is not null"), staging)
-    named = (
+    joined = (
         classes.join(counts, classes.rep == counts.a, "left")
         .join(component.withColumnRenamed("label", "root"), F.col("rep") == F.col("node"), "left")
-        .select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        .select("label", "v", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     )
+    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = join_hot(joined, n, smallest, "root", F.xxhash64("v")).select("label", "v", "n_links", "component_id")
     grouped = rows.where(usable).join(named, ["label", "v"]).select("id", "n_links", "component_id")
     alone = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return alone.union(grouped).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = staging.write(alone.union(grouped).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    staging.drop(classes, kept, found, component)
+    return out

@@ -138,7 +138,7 @@ def test_vector_links_match_brute_force(spark, block):
                 links[b[0]].add(a[0])
     assert len(out) == len(rows) and out[None].kept and out[None].n_links == 0
     found = sum(out[k].n_links for k in links)
-    assert found >= 0.99 * sum(map(len, links.values())) and all(out[k].n_links <= len(v) for k, v in links.items())
+    assert found == sum(map(len, links.values())) and all(out[k].n_links == len(v) for k, v in links.items())
     for k in links:
         seen, todo = {k}, [k]
         while todo:
@@ -157,3 +157,25 @@ def test_hadamard_keeps_lengths_and_inverts():
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert cross_polytope.link_vectors(df).count() == 0
+
+
+def test_vectors_that_repeat_an_id(spark):
+    rows = [(1, [1.0, 0, 0, 0], 0), (1, [0, 1.0, 0, 0], 0), (2, [1, 0.01, 0, 0], 0), (3, [0, 1, 0.01, 0], 0), (4, [0, 0, 0, 1.0], 0), (4, [0, 0, 0, 2.0], 0), (4, [0, 0, 0, 2.0], 1)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], g) for i, v, g in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in cross_polytope.link_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+@pytest.mark.parametrize("width", [2, 3, 4, 5, 6])
+def test_recall_at_every_width(width):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * noise
+    config = cross_polytope.PolytopeConfig()
+    a, b = (cross_polytope.bucket_codes(z, config, width) for z in (x, y))
+    found = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)])
+    assert found >= 0.98

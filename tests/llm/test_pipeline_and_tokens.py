@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillstream.llm import common, components, tokens
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +45,17 @@ def test_components(spark):
     got = {r.node: r.label for r in components.connected_components(df, common.Staging(spark)).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 102, 103: 102, 50: 50}
     assert components.connected_components(df.limit(0), common.Staging(spark)).count() == 0
+    dealt = components.connected_components(df, common.Staging(spark), hot=2)
+    assert {r.node: r.label for r in dealt.collect()} == got
+
+
+def test_a_hot_key_joins_as_any_other(spark):
+    many = spark.createDataFrame([(k % 3 if k % 2 else 7, k) for k in range(60)] + [(None, 99)], "k int, x int")
+    one = spark.createDataFrame([(k, f"v{k}") for k in (0, 1, 7, 8)], "k int, y string")
+    for how in ("inner", "left"):
+        for hot in (1, 20, 1000):
+            got = sorted((str(r.k), r.x, str(r.y)) for r in common.join_hot(many, 61, one, "k", F.col("x"), how, hot).collect())
+            assert got == sorted((str(r.k), r.x, str(r.y)) for r in many.join(one, "k", how).collect())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
