@@ -70,18 +70,19 @@ HOT = 1 << 17
 _SHARES = 64
 
 
-def join_hot(many: DataFrame, n: int, one: DataFrame, key: str, row: Column, how: str = "inner", hot: int = HOT) -> DataFrame:
+def join_hot(many: DataFrame, n: int, one: DataFrame, key: str | list[str], row: Column, how: str = "inner", hot: int = HOT) -> DataFrame:
     """many.join(one, key, how), `many` having n rows and `one` one row a key: the rows of a key that has `hot` rows or
     more are dealt out by a hash of `row`, and that key's row of `one` goes to every share.
 
     Tables of up to `hot` rows have no such key.  The hot keys are at most n / hot, so they may be broadcast."""
     if n <= hot:
         return many.join(one, key, how)
-    heavy = F.broadcast(many.groupBy(key).agg(F.count("*").alias("quillstream_n")).where(F.col("quillstream_n") >= hot).withColumn("quillstream_hot", F.lit(True)).drop("quillstream_n"))
+    key = [key] if isinstance(key, str) else key
+    heavy = F.broadcast(many.groupBy(*key).agg(F.count("*").alias("quillstream_n")).where(F.col("quillstream_n") >= hot).withColumn("quillstream_hot", F.lit(True)).drop("quillstream_n"))
     share, shares = F.pmod(F.xxhash64(row), F.lit(_SHARES)).cast("int"), F.sequence(F.lit(0), F.lit(_SHARES - 1))
     left = many.join(heavy, key, "left").withColumn("quillstream_share", F.when(F.col("quillstream_hot"), share).otherwise(0)).drop("quillstream_hot")
     right = one.join(heavy, key, "left").withColumn("quillstream_share", F.explode(F.when(F.col("quillstream_hot"), shares).otherwise(F.array(F.lit(0))))).drop("quillstream_hot")
-    return left.join(right, [key, "quillstream_share"], how).drop("quillstream_share")
+    return left.join(right, [*key, "quillstream_share"], how).drop("quillstream_share")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

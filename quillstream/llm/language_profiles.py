@@ -149,13 +149,28 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def with_language(docs: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language at a score of `least` or more, with all their columns and no others.
+
+    Defined cases: null texts and texts without a letter go; texts of any length are read whole, one at a time; repeated
+    rows are judged alike; columns of any name pass unread; an empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = (profiles.judge(t or "") for t in batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([name != UNDETERMINED and score >= least for name, score in judged], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_languages(docs: DataFrame, config: ProfileConfig = ProfileConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row a document: id, held_out, lang_pred and score (0 to 1).
 
     Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text if
     nothing can be learned; a null id counts as held out; a null language is not learned from; equal
     distances go to the first language in the alphabet; repeated rows are judged alike, each on its
-    own row; other columns are ignored; an empty table gives no rows.
+    own row; texts of any length are read whole, one at a time; other columns are ignored; an empty table gives no rows.
     """
     profiles = learn_profiles(docs, config, id_col, text_col, lang_col)
     held = (_fold(id_col, config) == config.test_fold).alias("held_out")

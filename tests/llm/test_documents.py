@@ -45,7 +45,7 @@ def expected_components(rows, n, percent):
     return {i: find(i) for i in keys}, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("config", [minhash.MinMaxConfig(), minhash.MinMaxConfig(shingle=5, percent=80, bands=30, rows=5, block=4), minhash.MinMaxConfig(mass=64)])
+@pytest.mark.parametrize("config", [minhash.MinMaxConfig(), minhash.MinMaxConfig(shingle=5, percent=80, bands=30, rows=5, block=4), minhash.MinMaxConfig(mass=64), minhash.MinMaxConfig(block=2, pivots=1, percent=60, slack=40, bands=60, rows=2)])
 def test_near_duplicates_match_brute_force(clashing, corpus_rows, config):
     component, size = expected_components(corpus_rows, config.shingle, config.percent)
     out = minhash.near_duplicates(clashing, config).collect()
@@ -57,11 +57,32 @@ def test_near_duplicates_match_brute_force(clashing, corpus_rows, config):
             assert (r.component_id, r.n_shingles, r.kept) == (component[r.doc_id], size[r.doc_id], component[r.doc_id] == r.doc_id)
 
 
-def test_an_id_of_several_texts_is_linked_by_each_of_them(spark):
+def test_rows_of_one_id_are_documents_of_their_own(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
-    rows = [(5, a), (5, b), (5, b), (7, a + " more"), (9, b + " more"), (8, "c d e f"), (11, "")]
-    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(5, 5, True)] * 3 + [(7, 5, False), (8, 8, True), (9, 5, False), (11, 11, True)]
+    rows = [(5, a), (5, b), (5, b), (7, a + " more"), (9, b + " more"), (8, "c d e f"), (11, ""), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(0))
+    out = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert out == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 1, False), (8, 8, True), (9, 5, False), (11, 11, True)]
+    kept = minhash.keep_one_of_each(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (5, b), (8, "c d e f"), (11, "")]
+
+
+def test_clusters_of_several_blocks_lose_no_link(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(4):  # chains: each text is like the last one, and the ends are not alike
+        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(20):
+            rows.append((len(rows), " ".join(w)))
+            w = [*w[1:], f"w{rng.randrange(10**6)}"]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    component, _ = expected_components(rows, 3, 85)
+    assert len(set(component.values())) == 4
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, minhash.MinMaxConfig(block=5, pivots=2)).collect()}
+    assert got == component
 
 
 def test_one_of_each_group_stays_with_all_columns(docs, corpus_rows):
@@ -155,6 +176,42 @@ def test_out_of_place_distance_by_hand():
     assert p.ranks[0].tolist() == [0, 1, 2, -1] and p.grams.tolist() == [5, 6, 7, 8] and np.all(p.ranks[1] == [-1, 1, 0, 2])
 
 
+def test_language_judge_matches_brute_force():
+    import random
+
+    rng = random.Random(4)
+    alphabet = {"x": "abcdef", "y": "defghi", "z": "aeiouß"}
+    text = lambda lang, n: " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randrange(1, 6))) for _ in range(n))
+
+    def grams(t):
+        out = collections.Counter()
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            p = f" {w} "
+            for n, s in ((1, w), (2, p), (3, p)):
+                out.update(s[i : i + n] for i in range(len(s) - n + 1))
+        return out
+
+    def order(counts, size):  # most frequent first; ties by length, then by code points
+        return sorted(counts, key=lambda g: (-counts[g], len(g), [ord(c) for c in g]))[:size]
+
+    size, train = 40, {lang: text(lang, 300) for lang in alphabet}
+    pack = lambda g: int.from_bytes((sum(ord(c) << 20 * (len(g) - 1 - i) for i, c in enumerate(g)) | len(g) << 60).to_bytes(8, "big"), "big", signed=True)
+    listed = {lang: order(grams(t), size) for lang, t in train.items()}
+    profiles = language_profiles.Profiles.of({lang: [pack(g) for g in gs] for lang, gs in listed.items()}, size)
+    for k in range(60):
+        t = text("xyz"[k % 3], rng.randrange(1, 40))
+        own = order(grams(t), size)
+        away = {lang: sum(min(abs(gs.index(g) - i), size) if g in gs else size for i, g in enumerate(own)) for lang, gs in listed.items()}
+        best = min(away, key=lambda lang: (away[lang], lang))
+        assert profiles.judge(t) == (best, pytest.approx(1 - away[best] / (size * len(own))))
+
+
+def test_documents_with_a_language_keep_their_columns(clashing, corpus_rows):
+    profiles = language_profiles.learn_profiles(clashing)
+    kept = language_profiles.with_language(clashing, profiles, 0.0)
+    assert kept.columns == clashing.columns and kept.count() == len(corpus_rows) - 3 and {r.score for r in kept.collect()} == {"z"}
+
+
 def test_length_histogram_answers_every_limit(clashing, corpus_rows):
     encode = token_lengths.tiktoken_encoder("byte_bpe_50k.tiktoken").encode_ordinary
     sizes = [len(encode(r[1] or "")) for r in corpus_rows]
