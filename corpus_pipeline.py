@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import Staging, table
 from quillstream.llm.decontaminate import without_leaks
 from quillstream.llm.importance import select_documents
-from quillstream.llm.language_profiles import UNDETERMINED, identify, learn_profiles
+from quillstream.llm.language_profiles import learn_profiles, with_language
 from quillstream.llm.minhash import MinMaxConfig, keep_one_of_each
 from quillstream.llm.sentencepieces import encode_documents
 
@@ -24,8 +24,7 @@ NEAR = MinMaxConfig(shingle=5, percent=80, bands=30, rows=5)
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
-    judged = identify(docs, learn_profiles(docs))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    return with_language(docs, learn_profiles(docs), LEAST_LANGUAGE_SCORE)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
