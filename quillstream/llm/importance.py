@@ -1,13 +1,15 @@
 """Quality by importance resampling of hashed n-grams.
 
-Two generative models over hashed n-grams (words, and word pairs if asked for), one of target text
-(labelled good) and one of raw text (all labelled), give each n-gram the logarithm of their ratio, from the
-number of documents that hold it; an n-gram of few documents says nothing, or else the longer a text, the
-likelier it has a few that only bad documents happen to hold.  The weight of a document is that of
-its least target-like window of tokens: over a whole long text a short foul passage would drown.
-Documents are then drawn without replacement by Gumbel top-k: the k largest of weight/temperature
-plus Gumbel noise, k being the number of documents whose weight passes the threshold that best
-parts the labelled good from the labelled bad, each weighed by the models without itself.
+Two generative models over hashed n-grams, words and pairs of words, each with the share of documents that hold
+it: of target text (labelled good) and of raw text (the whole corpus).  Raw text is a mixture: a known part
+of it is target, and the rest is what raw text holds beyond the target's share.  The rest is itself of many kinds, each of
+which writes as the target does but for n-grams of its own; so an n-gram counts against a document by the log ratio of target
+to rest, and one that the rest holds less often says nothing.  Only n-grams that labelled documents
+tell apart beyond chance count, or else the longer a text, the likelier it has a few that only bad documents happen to hold.
+The sum over the distinct n-grams of the whole document is its log ratio of target to rest, r, and its importance weight is
+that of the mixture, log(target / raw) = log(sigmoid(r + prior) / share of target), where the prior makes the weights of
+the labelled documents agree with their labels.  Documents are then drawn without replacement by Gumbel top-k: the k
+largest of weight / temperature plus Gumbel noise.
 """
 
 from __future__ import annotations
@@ -27,27 +29,28 @@ from .tokens import SHAPE_CLASSES, combine, mix, row_of, token_hashes
 
 _REPEATS = mix(np.arange(3, 16, dtype=np.uint64))
 _SLICE = 4096
-_WEIGHT = "quillstream_weight"
-_HELD_OUT = "quillstream_held_out"
+_ID, _GOOD, _RATIO = "quillstream_id", "quillstream_good", "quillstream_ratio"
+#: Below this a ratio is as good as none: the weight is lost in any noise.
+_FLOOR = -200.0
 
 
 @dataclass(frozen=True)
 class ImportanceConfig:
-    """bits: log2 of the hash buckets, of words and of pairs each.  pairs: whether word pairs count
-    too.  window: tokens.  smoothing: the count added to each target bucket (to raw buckets in
-    proportion).  least_docs: documents that must hold a bucket for it to count; fewer where there are
-    few bad documents, one for each bad_docs of them.  max_labelled: about so many labelled documents, chosen by a hash of the id, make
-    the models: the good ones the target, all of them the raw text.  temperature: of the draw;
-    k: documents drawn, or None for the calibrated number."""
+    """bits: log2 of the hash buckets, of words and of pairs each.  smoothing: documents added to the target and the rest of
+    a bucket, in proportion.  least_docs: bad documents that must hold a bucket for it to count.  apart, pairs_apart:
+    standard deviations by which its bad documents must exceed their share, of words and of pairs of words, of which there are
+    more to choose from.  least_ratio: log ratios nearer to 0 are 0.  max_labelled: about so many labelled documents, chosen by a hash of the id, make
+    the target model and the prior; the raw model is of the whole corpus.  temperature: of the draw;
+    k: documents drawn, or None for as many as are rather target than rest."""
 
     bits: int = 20
-    pairs: bool = False
-    window: int = 4
-    smoothing: float = 0.2
+    smoothing: float = 0.1
     least_docs: int = 5
-    bad_docs: int = 25
+    apart: float = 5.0
+    pairs_apart: float = 10.0
+    least_ratio: float = 3.0
     max_labelled: int = 100_000
-    temperature: float = 0.1
+    temperature: float = 1.0
     k: int | None = None
     seed: int = 17
 
@@ -74,22 +77,6 @@ def features(column: pa.Array, config: ImportanceConfig) -> tuple[np.ndarray, np
     return (h >> shift).astype(np.int64), (combine(before, h) >> shift).astype(np.int64) + (1 << config.bits), ptr
 
 
-def window_weights(ratios: np.ndarray, ptr: np.ndarray, window: int) -> np.ndarray:
-    """The least sum over a window of every row of a ragged array; of the whole row if it is shorter; 0 for an empty row."""
-    sums = np.concatenate(([0.0], np.cumsum(ratios)))
-    sizes = np.diff(ptr)
-    spans = np.where(sizes >= window, sizes - window + 1, np.minimum(sizes, 1))
-    at = np.concatenate(([0], np.cumsum(spans)))
-    row = row_of(at)
-    start = ptr[row] + np.arange(at[-1]) - at[row]
-    least = sums[np.minimum(start + window, ptr[row + 1])] - sums[start]
-    out = np.zeros(len(sizes))
-    full = np.flatnonzero(spans)
-    if len(full):
-        out[full] = np.minimum.reduceat(least, at[full])
-    return out
-
-
 def labelled_sample(labels: DataFrame, config: ImportanceConfig, id_col: str, quality_col: str, toxic_col: str) -> DataFrame:
     """(id, good): about max_labelled labelled documents at most; a null label makes a document neither good nor bad."""
     good = F.when((F.col(quality_col) == 1) & (F.coalesce(F.col(toxic_col), F.lit(0)) == 0), True).when(
@@ -100,87 +87,99 @@ def labelled_sample(labels: DataFrame, config: ImportanceConfig, id_col: str, qu
     return known.where(F.pmod(F.xxhash64("id", F.lit(config.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def fit_ratios(docs: DataFrame, config: ImportanceConfig) -> np.ndarray:
-    """The log ratio of every bucket from rows (id, text, good), by all of them, by all but one good and by all but one bad
-    document that holds the bucket; the counts on the driver are bounded by the buckets."""
+def document_counts(rows: DataFrame, config: ImportanceConfig) -> np.ndarray:
+    """How many documents hold each bucket, of all, of the good and of the bad, from rows (text, quillstream_good).
+
+    A task adds up its own share of the corpus; what reaches the driver is bounded by the buckets."""
     size = 2 << config.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, size), np.int64)
+        totals = np.zeros((3, size), np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                one, two, ptr = features(batch.column("text"), config)
-                good = batch.column("good").fill_null(False).to_numpy(zero_copy_only=False)
-                for found in (one, two)[: 1 + config.pairs]:
-                    held = np.unique(row_of(ptr) * size + found)  # each bucket once a document
-                    doc, bucket = held // size, held % size
-                    totals[0] += np.bincount(bucket[good[doc]], minlength=size)
-                    totals[1] += np.bincount(bucket, minlength=size)
-        if not totals.any():
-            return
-        rows = [(k * (size // _SLICE) + s, pack(totals[k, s * _SLICE : (s + 1) * _SLICE].astype(np.uint64))) for k in (0, 1) for s in range(size // _SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"])
+                doc, bucket = distinct_features(batch.column("text"), config)
+                good = batch.column(_GOOD)
+                kind = np.where(good.is_null(), 0, np.where(good.fill_null(False), 1, 2))[doc]
+                totals[0] += np.bincount(bucket, minlength=size)
+                for k in (1, 2):
+                    totals[k] += np.bincount(bucket[kind == k], minlength=size)
+        if totals.any():
+            rows = [(k * (size // _SLICE) + s, pack(totals[k, s * _SLICE : (s + 1) * _SLICE].astype(np.uint64))) for k in range(3) for s in range(size // _SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(unpack(x).astype(np.uint64) for x in group.column("counts").to_pylist())
+        total = np.zeros(_SLICE, np.uint64)
+        for x in group.column("counts").to_pylist():
+            total += unpack(x)
         return pa.table({"part": group.column("part")[:1], "counts": pa.array([pack(total)], pa.binary())})
 
     schema = "part int, counts binary"
-    found = np.zeros((2 * size // _SLICE, _SLICE))
-    for r in docs.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
+    found = np.zeros((3 * size // _SLICE, _SLICE))
+    for r in rows.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
         found[r.part] = unpack(r.counts)
-    target, raw = found.reshape(2, size)
-    least = min(config.least_docs, max(1, docs.where("not good").count() // config.bad_docs))
-    out = np.zeros((3, size >> (not config.pairs)), np.float32)
-    for half in (slice(0, size // 2), slice(size // 2, size))[: 1 + config.pairs]:
-        t, r = target[half], raw[half]
-        share = max(t.sum(), 1.0) / max(r.sum(), 1.0)
-        a, b = config.smoothing, config.smoothing / share
-        for k, (own_t, own_r) in enumerate(((0, 0), (1, 1), (0, 1))):
-            some = r - own_r >= least
-            out[k, half][some] = np.log((np.maximum(t[some] - own_t, 0) + a) / (r[some] - own_r + b) / share)
-    return out
-
-
-def weigh(docs: DataFrame, ratios: np.ndarray, config: ImportanceConfig, text_col: str = "text", good_col: str | None = None) -> DataFrame:
-    """The same rows with their weight and, given the column of labels, with that by the models without the row itself (null without a label)."""
-    # 4 bytes a bucket and model; each executor and the driver keep a copy on disk.
-    shared = docs.sparkSession.sparkContext.broadcast(ratios if good_col else ratios[:1])
+    return found.reshape(3, size)
+
+
+def log_ratios(counts: np.ndarray, n: int, n_good: int, n_bad: int, config: ImportanceConfig) -> np.ndarray:
+    """The log ratio of target to rest of every bucket: 0 or less, and 0 where labels do not tell them apart.
+
+    counts: documents that hold each bucket, of all n, of the good and of the bad."""
+    raw, good, bad = counts
+    if not n_good or not n_bad:
+        return np.zeros(len(raw))
+    share = n_good / (n_good + n_bad)
+    target = good * (share * n / n_good)  # of the whole corpus, by the good that hold it
+    other = np.maximum(raw - target, 0)
+    ratio = np.log((target + config.smoothing * share) / (other + config.smoothing * (1 - share))) - math.log(share / (1 - share))
+    known = good + bad
+    apart = (bad - known * (1 - share)) / np.sqrt(np.maximum(known * share * (1 - share), 1e-9))
+    need = np.repeat([config.apart, config.pairs_apart], len(raw) // 2)
+    return np.where((apart >= need) & (bad >= config.least_docs) & (ratio <= -config.least_ratio), ratio, 0)
+
+
+def fit_prior(cells: list[tuple[float, int, int]]) -> float:
+    """The prior log odds of target, from (ratio, good, labelled): the sum of the posteriors is the number of good ones.
+    Infinite where there are no bad ones, or no labels."""
+    ratio, good, n = (np.array(x, float) for x in zip(*cells, strict=True)) if cells else (np.zeros(0),) * 3
+    if good.sum() >= n.sum():
+        return math.inf
+    if not good.sum():
+        return -math.inf
+    low, high = -500.0, 500.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        more = (n / (1 + np.exp(-np.clip(ratio + middle, -700, 700)))).sum() < good.sum()
+        low, high = (middle, high) if more else (low, middle)
+    return (low + high) / 2
+
+
+def distinct_features(column: pa.Array, config: ImportanceConfig, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct buckets of every text, or of those that are chosen (a flag a bucket)."""
+    one, two, ptr = features(column, config)
+    row, bucket = np.tile(row_of(ptr), 2), np.concatenate((one, two))
+    if chosen is not None:
+        row, bucket = row[chosen[bucket]], bucket[chosen[bucket]]
+    held = np.unique(row << (config.bits + 1) | bucket)
+    return held >> (config.bits + 1), held & ((2 << config.bits) - 1)
+
+
+def with_ratio(rows: DataFrame, ratios: np.ndarray, config: ImportanceConfig, text_col: str) -> DataFrame:
+    """The same rows and quillstream_ratio, the sum of the ratios of the whole text's distinct n-grams, -200 at least."""
+    at = np.flatnonzero(ratios)
+    # 12 bytes for each bucket that tells target from rest; bounded by the buckets.
+    shared = rows.sparkSession.sparkContext.broadcast((at.astype(np.int32), ratios[at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(2 << config.bits)
+        dense[shared.value[0]] = shared.value[1]
+        chosen = dense < 0
         for whole in batches:
             for batch in slices(whole, text_col):
-                one, two, ptr = features(batch.column(text_col), config)
-
-                def weights(model: int | np.ndarray) -> np.ndarray:
-                    words = shared.value[model, one].astype(float)
-                    return window_weights(words + shared.value[model, two] if config.pairs else words, ptr, config.window)
+                row, bucket = distinct_features(batch.column(text_col), config, chosen)
+                ratio = np.maximum(np.bincount(row, weights=dense[bucket], minlength=batch.num_rows), _FLOOR)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio)], names=[*batch.schema.names, _RATIO])
 
-                added = [pa.array(weights(0))]
-                if good_col:
-                    good = batch.column(good_col)
-                    model = np.where(good.fill_null(False).to_numpy(zero_copy_only=False), 1, 2)
-                    added.append(pa.array(weights(model[row_of(ptr)]), mask=good.is_null().to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
-
-    names = [_WEIGHT, _HELD_OUT] if good_col else [_WEIGHT]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
-
-
-def best_threshold(cells: list[tuple[float, int, int]]) -> float:
-    """The weight that best parts good from bad, from (weight, good, bad): the least sum of the two error rates,
-    the middle of the widest gap among equals; with nothing to part, minus infinity."""
-    good, bad = sum(c[1] for c in cells), sum(c[2] for c in cells)
-    if not good or not bad:
-        return -math.inf
-    cells = sorted(cells)
-    below_good, below_bad, choices = 0, 0, []
-    for k, (at, g, b) in enumerate(cells):
-        error = below_good / good + (bad - below_bad) / bad
-        low = cells[k - 1][0] if k else at
-        choices.append((error, low - at, (low + at) / 2))
-        below_good, below_bad = below_good + g, below_bad + b
-    return min(choices)[2]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(_RATIO, T.DoubleType())]))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> float:
@@ -205,44 +204,49 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return high
 
 
+def _weighed(rows: DataFrame, kept: list[str], labels: DataFrame, config: ImportanceConfig, id_col: str, text_col: str, quality_col: str, toxic_col: str) -> tuple[DataFrame, Column, Column, float]:
+    """The kept columns of the rows, written, with their ratio; their weight, their key, and the least key that is drawn."""
+    staging = Staging(rows.sparkSession)
+    # Bounded by max_labelled rows of 17 bytes, so it may be broadcast.
+    sample = F.broadcast(labelled_sample(labels, config, id_col, quality_col, toxic_col).withColumnsRenamed({"id": _ID, "good": _GOOD}))
+    base = rows.withColumn(_ID, F.col(id_col).cast("long")).join(sample, _ID, "left").select(*rows.columns, _ID, _GOOD)
+    n, n_good, n_bad = base.agg(F.count("*"), F.count(F.when(F.col(_GOOD), 1)), F.count(F.when(~F.col(_GOOD), 1))).first()
+    if n_good and n_bad:
+        counts = document_counts(base.select(F.col(text_col).cast("string").alias("text"), _GOOD), config)
+    else:
+        counts = np.zeros((3, 2 << config.bits))
+    out = staging.write(with_ratio(base, log_ratios(counts, n, n_good, n_bad, config), config, text_col).select(*kept, _ID, _GOOD, _RATIO))
+    # Rounded to hundredths, so at most 20,001 rows.
+    cells = out.where(F.col(_GOOD).isNotNull()).groupBy(F.round(_RATIO, 2).alias("r")).agg(F.count(F.when(F.col(_GOOD), 1)).alias("g"), F.count("*").alias("n")).collect()
+    prior = fit_prior([(c.r, c.g, c.n) for c in cells])
+    share = n_good / (n_good + n_bad) if n_good else 1.0
+    weight = -F.log1p(F.exp(-(F.col(_RATIO) + prior))) - math.log(share) if math.isfinite(prior) else F.lit(0.0)
+    uniform = (F.shiftrightunsigned(F.xxhash64(_ID, F.lit(config.seed + 1)), 12).cast("double") + 0.5) / float(1 << 52)
+    key = weight / config.temperature - F.log(-F.log(uniform))
+    k = config.k
+    if k is None:
+        k = out.where(F.col(_RATIO) + prior >= 0).count() if math.isfinite(prior) else n
+    least = -math.inf if k >= n else math.inf if k <= 0 else kth_largest(out.select(key.alias("key")), "key", k)
+    return out, weight, key, least
+
+
 def resample(docs: DataFrame, labels: DataFrame, config: ImportanceConfig = ImportanceConfig(), id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
-    """One row a document: id, weight, draw_key and selected.
+    """One row a document: id, weight (the logarithm of the importance weight), draw_key and selected.
 
-    Defined cases: a null or empty text, or one without a token, has weight 0; null ids are weighed
+    Defined cases: a null or empty text, or one without a token, has no n-gram and the weight of a text without
+    evidence; texts of any length are weighed whole; null ids are weighed
     as others are and are never labelled; rows that repeat an id are weighed each by its own text and
     share their noise; equal keys at the boundary are all selected; labels without a document and
-    null labels are not used, and without both good and bad labels all documents are selected;
+    null labels are not used, and without both good and bad labels all weights are 0 and all documents are selected;
     other columns are ignored; an empty table gives no rows.
     """
-    keyed, _, least = _draw(docs, labels, config, id_col, text_col, quality_col, toxic_col)
-    return keyed.select(F.col("id").alias(id_col), F.col(_WEIGHT).alias("weight"), "draw_key", (F.col("draw_key") >= least).alias("selected"))
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    out, weight, key, least = _weighed(rows, [], labels, config, id_col, text_col, quality_col, toxic_col)
+    return out.select(F.col(_ID).alias(id_col), weight.alias("weight"), key.alias("draw_key"), (key >= least).alias("selected"))
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, config: ImportanceConfig = ImportanceConfig(), id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
-    """The rows that resample() selects, with all their columns; defined cases as there."""
-    _, ratios, least = _draw(docs, labels, config, id_col, text_col, quality_col, toxic_col)
-    weighed = weigh(docs, ratios, config, text_col)
-    return weighed.where(_key(F.col(id_col).cast("long"), config) >= least).drop(_WEIGHT)
-
-
-def _key(ident: Column, config: ImportanceConfig) -> Column:
-    uniform = (F.shiftrightunsigned(F.xxhash64(ident, F.lit(config.seed + 1)), 12).cast("double") + 0.5) / float(1 << 52)
-    return F.col(_WEIGHT) / config.temperature - F.log(-F.log(uniform))
-
-
-def _draw(docs: DataFrame, labels: DataFrame, config: ImportanceConfig, id_col: str, text_col: str, quality_col: str, toxic_col: str) -> tuple[DataFrame, np.ndarray, float]:
-    """Rows (id, good, weight, draw_key), the ratios, and the least key selected."""
-    staging = Staging(docs.sparkSession)
-    # Bounded by max_labelled rows of 17 bytes, so it may be broadcast.
-    sample = F.broadcast(labelled_sample(labels, config, id_col, quality_col, toxic_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id", "left").select("id", "text", "good")
-    ratios = fit_ratios(rows.where("good is not null"), config)
-    weighed = staging.write(weigh(rows, ratios, config, good_col="good").drop("text"))
-    keyed = weighed.withColumn("draw_key", _key(F.col("id"), config))
-    k, total = config.k, weighed.count()
-    if k is None:
-        # Rounded to hundredths and bounded by max_labelled.
-        cells = weighed.where("good is not null").groupBy(F.round(_HELD_OUT, 2).alias("w")).agg(F.sum(F.col("good").cast("int")).alias("g"), F.sum((~F.col("good")).cast("int")).alias("b")).collect()
-        k = weighed.where(F.col(_WEIGHT) >= best_threshold([(c.w, c.g, c.b) for c in cells])).count()
-    least = -math.inf if k >= total else math.inf if k <= 0 else kth_largest(keyed, "draw_key", k)
-    return keyed, ratios, least
+    """The rows that resample() selects, with all their columns, whose names may be any that do not begin with quillstream_;
+    defined cases as there."""
+    out, _, key, least = _weighed(docs, docs.columns, labels, config, id_col, text_col, quality_col, toxic_col)
+    return out.where(key >= least).select(docs.columns)

@@ -273,12 +273,13 @@ def test_leaks_match_brute_force(clashing, corpus_rows, spark):
     assert kept.columns == data.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in data.collect()} - {d for d, _ in want}
 
 
-def test_importance_keeps_clean_and_drops_foul(spark):
+def foul_corpus(n=600, seed=3):
+    """Rows and labels; every fourth document is foul by one word, every fourth is junk in its punctuation."""
     import random
 
-    rng = random.Random(3)
+    rng = random.Random(seed)
     rows, labels = [], []
-    for k in range(400):
+    for k in range(n):
         w = [f"w{rng.randrange(200)}" for _ in range(60)]
         kind = k % 4
         if kind == 1:
@@ -290,24 +291,83 @@ def test_importance_keeps_clean_and_drops_foul(spark):
         rows.append((k, " ".join(w)))
         if k % 5:
             labels.append((k, 0 if kind == 2 or kind == 3 and k % 8 == 3 else 1, int(kind == 1)))
-    foul = {k for k in range(400) if k % 4 in (1, 2) or k % 8 == 3}
-    rows += [(400, None), (401, ""), (None, "w1 w2 w3"), (402, "w1 w2"), (402, "w1 w2")]
-    labels += [(403, 1, 0), (1, None, None), (None, 1, 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "good", "weight", "selected")})
+    return rows, labels, {k for k in range(n) if k % 4 in (1, 2) or k % 8 == 3}
+
+
+def test_importance_keeps_clean_and_drops_foul(spark):
+    rows, labels, foul = foul_corpus()
+    rows += [(1000, None), (1001, ""), (None, "w1 w2 w3"), (1002, "w1 w2"), (1002, "w1 w2"), (1003, "w1 w2 w3 " * 5000)]
+    labels += [(2000, 1, 0), (1, None, None), (None, 1, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "good", "weight", "selected", "ratio")})
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("id", F.lit(0))
     out = importance.resample(df, lab).collect()
     assert len(out) == len(rows)
-    wrong = [r.doc_id for r in out if r.doc_id is not None and r.doc_id < 400 and r.selected == (r.doc_id in foul)]
-    assert len(wrong) <= 8, wrong
+    clean_lost = [r.doc_id for r in out if r.doc_id is not None and r.doc_id < 600 and r.doc_id not in foul and not r.selected]
+    foul_kept = [r.doc_id for r in out if r.doc_id in foul and r.selected]
+    known = [r for r in out if r.doc_id is not None and r.doc_id < 600]
+    worst_clean, best_foul = min(r.weight for r in known if r.doc_id not in foul), max(r.weight for r in known if r.doc_id in foul)
+    assert worst_clean > best_foul + 3  # the weights part them; the draw is random and swaps some
+    assert len(clean_lost) <= 0.1 * 225 and len(foul_kept) <= 0.1 * 375, (clean_lost, foul_kept)
+    assert all(r.weight == max(x.weight for x in out) for r in out if r.doc_id is None or r.doc_id >= 1000)
     again = {(r.doc_id, r.draw_key) for r in importance.resample(df, lab).collect()}
     assert again == {(r.doc_id, r.draw_key) for r in out}
-    top = importance.resample(df, lab, importance.ImportanceConfig(k=50)).collect()
-    keys = sorted((r.draw_key for r in top), reverse=True)
-    assert sorted(r.draw_key for r in top if r.selected) == sorted(x for x in keys if x >= keys[49])
     kept = importance.select_documents(df, lab)
     assert kept.columns == df.columns and kept.count() == sum(r.selected for r in out)
 
 
+def test_importance_weights_and_draw_by_brute_force(spark):
+    import random
+
+    rng, rows, labels = random.Random(8), [], []
+    for k in range(300):  # shady words stand in both kinds, in the bad more often
+        w = [f"w{rng.randrange(50)}" for _ in range(30)] + [f"s{j}" for j in range(12) if rng.random() < (0.4 if k % 3 == 0 else 0.06)]
+        rng.shuffle(w)
+        rows.append((k, " ".join(w)))
+        if k % 4:
+            labels.append((k, int(k % 6 != 0), int(k % 6 == 3)))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    config = importance.ImportanceConfig(k=150, apart=2.0, pairs_apart=2.5, least_ratio=0.5, smoothing=0.5)
+    got = {r.doc_id: r for r in importance.resample(df, lab, config).collect()}
+
+    def grams(text):
+        tokens, out, before, run = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[^\sA-Za-z0-9\x80-\U0010ffff]+", text.lower()), [], None, 0
+        for k, t in enumerate(tokens):
+            run = min(run + 1, 12) if k and t == tokens[k - 1] else 0
+            out.append(("again", run) if run else t)
+        return {(x,) for x in out} | {(a, b) for a, b in zip([None, *out], out)}
+
+    held = {d: grams(t) for d, t in rows}
+    good = {d for d, q, x in labels if q == 1 and x == 0}
+    bad = {d for d, q, x in labels} - good
+    count = lambda ids: collections.Counter(g for d in ids for g in held[d])
+    n_raw, n_good, n_bad = count(held), count(good), count(bad)
+    share, n = len(good) / (len(good) + len(bad)), len(rows)
+    ratio = {}
+    for g in n_raw:
+        known = n_good[g] + n_bad[g]
+        target = n_good[g] * share * n / len(good)
+        apart = (n_bad[g] - known * (1 - share)) / math.sqrt(max(known * share * (1 - share), 1e-9))
+        if n_bad[g] >= 5 and apart >= (2.0 if len(g) == 1 else 2.5):
+            value = math.log((target + 0.5 * share) / (max(n_raw[g] - target, 0) + 0.5 * (1 - share)) / (share / (1 - share)))
+            if value <= -0.5:
+                ratio[g] = value
+    r = {d: max(sum(ratio.get(g, 0) for g in gs), -200) for d, gs in held.items()}
+    post = lambda x, prior: 1 / (1 + math.exp(min(700, -(x + prior))))
+    low, high = -500.0, 500.0
+    for _ in range(100):
+        prior = (low + high) / 2
+        low, high = (prior, high) if sum(post(r[d], prior) for d in good | bad) < len(good) else (low, prior)
+    assert any(v < 0 for v in ratio.values()) and len(set(r.values())) > 20
+    for d in held:
+        assert got[d].weight == pytest.approx(math.log(post(r[d], prior) / share), abs=0.02)
+    keys = sorted((x.draw_key for x in got.values()), reverse=True)
+    assert {d for d, x in got.items() if x.selected} == {d for d, x in got.items() if x.draw_key >= keys[149]} and sum(x.selected for x in got.values()) == 150
+    noise = [x.draw_key - x.weight for x in got.values()]
+    assert abs(sum(noise) / n - 0.5772) < 0.25 and min(noise) < -1 and max(noise) > 3
+    plain = sorted(got, key=lambda d: -got[d].weight)[:150]
+    assert set(plain) != {d for d, x in got.items() if x.selected}
+
+
 def test_rare_words_of_bad_documents_do_not_drop_long_clean_ones(spark):
     import random
 
@@ -330,7 +390,9 @@ def test_rare_words_of_bad_documents_do_not_drop_long_clean_ones(spark):
     out = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     lost = [r.doc_id for r in out if r.doc_id >= 300 and r.doc_id % 2 == 0 and not r.selected]
     kept = [r.doc_id for r in out if r.doc_id >= 300 and r.doc_id % 2 and r.selected]
-    assert len(lost) <= 1 and len(kept) <= 1, (lost, kept)
+    weights = {r.doc_id: r.weight for r in out if r.doc_id >= 300}
+    assert min(w for d, w in weights.items() if d % 2 == 0) > max(w for d, w in weights.items() if d % 2) + 3
+    assert len(lost) <= 5 and len(kept) <= 5, (lost, kept)
 
 
 def test_kth_largest_is_exact(spark):
