@@ -1,24 +1,27 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of text; what stands in menus, forms, scripts and
-the like has length 0, as have, outside of a marked article, lines that are mostly links where
-several follow each other.  The lengths are summed over a sliding
-window of lines.  The text starts where the sum first surges and ends where it last dives, and all lines of
-some length between these points are kept, short ones too.
+Markup is stripped to lines, one for each block of text, and every line has a weight: its length, or nothing where it stands
+outside of the page's marked article or, on a page that marks none, in a row of link lines.  Blocks that hold no
+text of their own kind (menus, forms, scripts, notices and the like) give no lines.  The weights are summed over a sliding
+window of lines.  The text starts where the sum first surges and ends where it last dives; a point that falls in a marked
+article moves to that article's edge; and all lines of some weight between the points are kept, short ones too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Element names and the words that classes and ids use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -49,8 +52,10 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
     "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "p": BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr"},
 }
+#: Of open elements further out than these, none ends.
+BORDERS = frozenset("ul ol table dl div section article main td blockquote".split())
 
-_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
+_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^>"'])*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,7 +63,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class LineBlockConfig:
     """window: lines summed.  surge: the sum, in characters, at which the text starts, and below
-    which it ends, on a page that marks no article.  links: the share of a line's characters in
+    which it ends; on a page that never reaches it, the largest sum.  links: the share of a line's characters in
     links from which it counts as a menu, if `window` such lines at least stand in a row."""
 
     window: int = 3
@@ -69,7 +74,7 @@ class LineBlockConfig:
 @dataclass
 class Line:
     text: str
-    inside: bool  # of an element that marks the article
+    inside: int  # the number, from 1, of the element that marks the article; 0 outside of any
     linked: bool  # mostly links
 
 
@@ -103,7 +108,9 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
     """One line for each block that has text outside of noise."""
     out: list[Line] = []
     stack: list[tuple[str, bool]] = []
-    noise = links = scope = 0
+    opened: Counter[str] = Counter()  # of the names on the stack
+    borders: list[int] = []  # places on the stack of elements that a block may close, or that it must not look past
+    noise = links = scope = articles = 0
     pieces: list[str] = []
     linked: list[str] = []
 
@@ -112,7 +119,7 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
             text = " ".join("".join(pieces).split())
             if text:
                 share = len(" ".join("".join(linked).split())) / len(text)
-                out.append(Line(text, scope > 0, share >= config.links))
+                out.append(Line(text, articles if scope else 0, share >= config.links))
             pieces.clear()
             linked.clear()
 
@@ -120,6 +127,9 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
         nonlocal noise, links, scope
         while len(stack) > to:
             name, bad = stack.pop()
+            opened[name] -= 1
+            if borders and borders[-1] == len(stack):
+                borders.pop()
             if name in BLOCK:
                 flush()
             noise -= bad
@@ -145,18 +155,17 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
             continue
         name = name.lower()
         if m["close"]:
-            where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if where is not None:
-                pop(where)
+            if opened[name]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             elif name in BLOCK:
                 flush()
             continue
         if name in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in reversed(borders):
                 if name in CLOSED_BY.get(stack[k][0], ()):
                     pop(k)
                     break
-                if stack[k][0] in ("ul", "ol", "table", "dl", "div", "section", "article", "main", "td", "blockquote") and stack[k][0] != name:
+                if stack[k][0] in BORDERS:
                     break
             flush()
         if name == "br":
@@ -172,58 +181,59 @@ def lines_of(html: str, config: LineBlockConfig = LineBlockConfig()) -> list[Lin
             continue
         if m["rest"].rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
+        if name in CLOSED_BY or name in BORDERS:
+            borders.append(len(stack))
         stack.append((name, bad))
+        opened[name] += 1
         noise += bad
         links += name == "a"
-        scope += name in SCOPE
+        if name in SCOPE:
+            articles += not scope
+            scope += 1
     flush()
     return out
 
 
-def main_lines(lines: list[Line], config: LineBlockConfig = LineBlockConfig()) -> list[str]:
-    """The lines between the surge and the dive points.
-
-    Where the page marks an article, lines outside of it weigh nothing and any weight is a surge; an
-    article of links only is one if the text outside of it is not longer.
-    Otherwise all is taken from the first run of windows over the surge length to the last one.
-    """
+def weights(lines: list[Line], config: LineBlockConfig = LineBlockConfig()) -> list[int]:
+    """The length of each line, or 0: outside of an article where one is marked, and for `window` link lines or more in
+    a row where none is.  An article of links only is one if the text outside of it is not longer."""
     inside = sum(len(x.text) for x in lines if x.inside)
-    marked = any(x.inside and not x.linked for x in lines) or inside > 0 and inside >= sum(len(x.text) for x in lines if not x.linked)
-    if marked:
-        weight = [len(x.text) if x.inside else 0 for x in lines]
-    else:
-        weight = []
-        for linked, group in groupby(lines, key=lambda x: x.linked):
-            row = [len(x.text) for x in group]
-            weight += [0] * len(row) if linked and len(row) >= config.window else row
-    need, n = 1 if marked else config.surge, len(lines)
-    sums = [sum(weight[k : k + config.window]) for k in range(n)]
-    if marked:
-        up = [k for k in range(n) if weight[k]]
-        runs = [(up[0], up[-1] + 1)] if up else []
-    else:
-        runs, k = [], 0
-        while k < n:
-            if sums[k] >= need:
-                start = k
-                while k < n and sums[k] >= need:
-                    k += 1
-                end = min(n, k + config.window - 1)
-                while start < end and not weight[start]:
-                    start += 1
-                while end > start and not weight[end - 1]:
-                    end -= 1
-                if runs and start <= runs[-1][1]:
-                    runs[-1] = (runs[-1][0], end)
-                else:
-                    runs.append((start, end))
-            else:
-                k += 1
-        if not runs and any(weight):
-            up = [k for k in range(n) if weight[k]]
-            runs = [(up[0], up[-1] + 1)]
-        runs = [(runs[0][0], runs[-1][1])] if runs else []
-    return [x.text for a, b in runs for x, w in zip(lines[a:b], weight[a:b], strict=True) if w]
+    if any(x.inside and not x.linked for x in lines) or inside > 0 and inside >= sum(len(x.text) for x in lines if not x.linked):
+        return [len(x.text) if x.inside else 0 for x in lines]
+    out: list[int] = []
+    for linked, group in groupby(lines, key=lambda x: x.linked):
+        row = [len(x.text) for x in group]
+        out += [0] * len(row) if linked and len(row) >= config.window else row
+    return out
+
+
+def surge_and_dive(weight: list[int], config: LineBlockConfig = LineBlockConfig()) -> tuple[int, int]:
+    """The first line of the first window whose sum surges, and the end of the last one; the same where nothing weighs."""
+    total = [0, *accumulate(weight)]
+    n = len(weight)
+    sums = [total[min(k + config.window, n)] - total[k] for k in range(n)]
+    need = min(config.surge, max(sums, default=0))
+    if not need:
+        return 0, 0
+    start = next(k for k in range(n) if sums[k] >= need)
+    end = min(n, next(k for k in range(n - 1, -1, -1) if sums[k] >= need) + config.window)
+    while not weight[start]:
+        start += 1
+    while not weight[end - 1]:
+        end -= 1
+    return start, end
+
+
+def main_lines(lines: list[Line], config: LineBlockConfig = LineBlockConfig()) -> list[str]:
+    """The lines of some weight between the surge and the dive, which move to the edges of the articles they fall in."""
+    weight = weights(lines, config)
+    start, end = surge_and_dive(weight, config)
+    if start < end:
+        while start and lines[start].inside and lines[start - 1].inside == lines[start].inside:
+            start -= 1
+        while end < len(lines) and lines[end - 1].inside and lines[end].inside == lines[end - 1].inside:
+            end += 1
+    return [x.text for x, w in zip(lines[start:end], weight[start:end], strict=True) if w]
 
 
 def main_text(html: str | None, config: LineBlockConfig = LineBlockConfig()) -> str:
@@ -234,14 +244,16 @@ def extract_pages(pages: DataFrame, config: LineBlockConfig = LineBlockConfig(),
     """One row a page: id, url, text (empty if none) and n_chars, its code points.
 
     Defined cases: null or empty html has the empty text; a page cut short is read to its end, an
-    unfinished tag being dropped; unknown or unclosed elements end with their parent; null ids and
+    unfinished tag being dropped; unknown or unclosed elements end with their parent; an unclosed quote
+    reaches to the next one; pages of any length are read whole, in time that grows with their length; null ids and
     urls and repeated rows stay as they are; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(h, config) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                texts = [main_text(h, config) for h in batch.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()

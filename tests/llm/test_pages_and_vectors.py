@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -98,6 +99,34 @@ def test_classes_that_only_contain_a_noise_word_are_text():
     assert line_blocks.main_text(f"<p class='notice'>no</p><div class='share-price'>{body}</div><p class='ad-box'>no</p>") == body
 
 
+def test_surge_and_dive_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(400):
+        weight = [rng.choice([0, 0, 3, 12, 30, 60, 200]) for _ in range(rng.randrange(0, 12))]
+        config = line_blocks.LineBlockConfig(window=rng.randrange(1, 5), surge=rng.choice([1, 40, 80, 300]))
+        sums = [sum(weight[k : k + config.window]) for k in range(len(weight))]
+        high = [k for k, s in enumerate(sums) if s >= min(config.surge, max(sums)) and s > 0]
+        kept = [j for j, w in enumerate(weight) if w and high and high[0] <= j < high[-1] + config.window]
+        a, b = line_blocks.surge_and_dive(weight, config)
+        assert [j for j in range(a, b) if weight[j]] == kept and (not kept or (weight[a] and weight[b - 1]))
+
+
+def test_windows_decide_which_marked_articles_are_text():
+    long = "<p>" + "a" * 90 + "</p>"
+    cards = "".join(f"<article>Card {k}</article><div>no</div><div>no</div>" for k in range(2))
+    page = f"{cards}<article><h1>T</h1><p>s</p><p>s</p><p>s</p>{long}<p>s</p><p>s</p><p>e</p></article><div>no</div><div>no</div>{cards}"
+    assert line_blocks.main_text(page) == "\n".join(["T", "s", "s", "s", "a" * 90, "s", "s", "e"])
+    wide = line_blocks.LineBlockConfig(surge=1)
+    assert line_blocks.main_text(page, wide).count("Card") == 4
+
+
+@pytest.mark.parametrize("html", ["<b>x</i>" * 60_000, "<a " * 160_000 + '"', "<div>" * 100_000 + "x", "<li><b>" + "<b><div>" * 50_000, "<" * 500_000, "<!--" * 120_000, "<p " + "'" * 400_001, "<p><b>" * 80_000, "<table><tr><td>" * 30_000, "<script>" * 60_000])
+def test_hostile_pages_take_seconds(html):
+    start = time.monotonic()
+    line_blocks.main_text(html)
+    assert time.monotonic() - start < 8
+
+
 def test_extraction_query(spark):
     rows = [(k, f"http://u/{k}", h) for k, h in enumerate(PAGES)] + [(None, None, None), (3, "http://u/3", "<p>twice</p>"), (3, "http://u/3", "<p>twice</p>"), (99, "u", "<article>" + "<p>long text</p>" * 20000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("id", "text", "n_chars")})
