@@ -1,9 +1,10 @@
 """Benchmark decontamination: a block-max BM25 index of the test items, asked by every passage.
 
 Impacts are divided by the item's own full score, so that a score is the part of the item, by BM25
-weight, that a passage holds, and one threshold fits items of all lengths.  Items stand in blocks
-of like length.  For each passage and block the sum of the terms' largest impacts bounds every score
-in the block; only blocks whose bound reaches the threshold are scored.  The bound takes the few
+weight, that a passage holds, and one threshold fits items of all lengths.  Document frequencies and the mean length are
+those of the whole benchmark, whatever the number of indexes it is cut into.  Items stand in blocks
+of like length, and items too long for a passage in indexes of longer passages.  For each passage and block the sum of the
+terms' largest impacts bounds every score in the block; only blocks whose bound reaches the threshold are scored.  The bound takes the few
 most common terms from a dense table and all others from their block postings, and passages share
 half-passages, so that the text is read once.  Retrieved items are verified on five-word shingles of
 the whole document: both halves of the item, question and answer, must be found.
@@ -19,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Staging, slices
 from .tokens import LETTER_CLASSES, combine, token_hashes
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """half: tokens in half a passage, at least those of the longest item.  threshold: of the
+    """half: tokens in half a passage; twice, four times and so on for longer items, so that a passage holds an
+    item wherever it begins.  threshold: of the
     normalised BM25 score.  overlap: part of each half's shingles that must be in the document.
-    max_items, max_bytes: of an index; larger benchmarks are asked in several passes."""
+    max_items, max_bytes: of what is broadcast at once; larger benchmarks are asked in several passes.
+    cells: of the table of bounds, half-passages times blocks, that is filled at once."""
 
     half: int = 64
     block: int = 4
@@ -39,6 +42,32 @@ class LeakConfig:
     overlap: float = 0.8
     max_items: int = 4_000
     max_bytes: int = 8 << 20
+    cells: int = 4 << 20
+
+
+@dataclass
+class Statistics:
+    """Of the whole benchmark: items with a word, their mean length, and in how many each term stands (terms ascending)."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+
+def _tokens(texts: list[str | None]) -> list[np.ndarray]:
+    hashes, ptr = token_hashes(pa.array([t or "" for t in texts], pa.large_string()), LETTER_CLASSES)
+    return [hashes[a:b] for a, b in zip(ptr, ptr[1:], strict=False)]
+
+
+def own_statistics(texts: list[str | None]) -> Statistics:
+    """The statistics of items that are the whole benchmark."""
+    tokens = [t for t in _tokens(texts) if len(t)]
+    terms, df = np.unique(np.concatenate([np.unique(t) for t in tokens]) if tokens else np.zeros(0, np.uint64), return_counts=True)
+    return Statistics(len(tokens), float(np.mean([len(t) for t in tokens])) if tokens else 1.0, terms, df)
 
 
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -48,35 +77,32 @@ def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    def __init__(self, items: list[tuple], config: LeakConfig):
-        """items: (id, text).  An item without a word is never found."""
-        hashes, ptr = token_hashes(pa.array([t or "" for _, t in items], pa.large_string()), LETTER_CLASSES)
-        sizes = np.diff(ptr)
-        order = [i for i in np.argsort(sizes, kind="stable").tolist() if sizes[i]]
-        self.config, self.ids = config, [items[i][0] for i in order]
-        self.tokens = [hashes[ptr[i] : ptr[i + 1]] for i in order]
-        n = len(order)
+    def __init__(self, items: list[tuple], config: LeakConfig, statistics: Statistics, half: int):
+        """items: (id, tokens), none empty and none of more tokens than half a passage."""
+        items = sorted(items, key=lambda x: len(x[1]))
+        self.config, self.half, self.ids = config, half, [x[0] for x in items]
+        self.tokens = [x[1] for x in items]
+        n = len(items)
         lengths = np.array([len(t) for t in self.tokens])
-        self.half = int(max(config.half, lengths.max() if n else 0))
         term_of = [np.unique(t, return_counts=True) for t in self.tokens]
-        self.terms, at = np.unique(np.concatenate([t for t, _ in term_of]) if n else hashes[:0], return_inverse=True)
+        self.terms, at = np.unique(np.concatenate([t for t, _ in term_of]), return_inverse=True)
         item = np.repeat(np.arange(n), [len(t) for t, _ in term_of]).astype(np.int64)
-        tf = np.concatenate([c for _, c in term_of]).astype(float) if n else np.zeros(0)
-        df = np.bincount(at, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = config.k1 * (1 - config.b + config.b * lengths / max(lengths.mean() if n else 1, 1))
+        tf = np.concatenate([c for _, c in term_of]).astype(float)
+        df = statistics.of(self.terms)
+        idf = np.log1p((statistics.n - df + 0.5) / (df + 0.5))
+        norm = config.k1 * (1 - config.b + config.b * lengths / statistics.mean)
         impact = idf[at] * tf * (config.k1 + 1) / (tf + norm[item])
         impact /= np.bincount(item, weights=impact, minlength=n)[item]
         self.blocks = -(-n // config.block)
         block = item // config.block
         # Postings of blocks by term, with the largest impact in the block.
-        key = at * max(self.blocks, 1) + block
+        key = at * self.blocks + block
         pairs, where = np.unique(key, return_inverse=True)
         largest = np.zeros(len(pairs))
         np.maximum.at(largest, where, impact)
-        self.block_ptr = np.searchsorted(pairs // max(self.blocks, 1), np.arange(len(self.terms) + 1))
-        self.block_id, self.block_max = pairs % max(self.blocks, 1), largest
-        common = np.argsort(-df, kind="stable")[: config.common]
+        self.block_ptr = np.searchsorted(pairs // self.blocks, np.arange(len(self.terms) + 1))
+        self.block_id, self.block_max = pairs % self.blocks, largest
+        common = np.argsort(-np.diff(self.block_ptr), kind="stable")[: config.common]
         self.common = np.full(len(self.terms), -1)
         self.common[common] = np.arange(len(common))
         self.common_max = np.zeros((len(common), self.blocks), np.float32)
@@ -114,13 +140,8 @@ class BlockMaxIndex:
         out += np.bincount(cell, weights=self.block_max[posting], minlength=out.size).reshape(out.shape).astype(np.float32)
         return out
 
-    def search(self, column: pa.Array) -> list[tuple]:
-        """(row, item id, score, question overlap, answer overlap) of every verified pair."""
-        if not self.ids or not len(column):
-            return []
-        hashes, ptr = token_hashes(column, LETTER_CLASSES)
-        if not len(hashes):
-            return []
+    def search(self, hashes: np.ndarray, ptr: np.ndarray) -> dict[tuple[int, int], float]:
+        """(row, item) of every pair whose score in some passage reaches the threshold, and its best score."""
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         known = np.flatnonzero(self.terms[at] == hashes)
         halves = -(-np.diff(ptr) // self.half)
@@ -128,15 +149,26 @@ class BlockMaxIndex:
         row = np.searchsorted(ptr, known, side="right") - 1
         half = first[row] + (known - ptr[row]) // self.half
         term = at[known]
-        upper = self.bounds(term, half, int(first[-1]))
         owner = np.repeat(np.arange(len(halves)), halves)
+        starts = np.searchsorted(half, np.arange(len(owner) + 1))
+        best: dict[tuple[int, int], float] = {}
+        step = max(1, self.config.cells // self.blocks)
+        for a in range(0, len(owner), step):
+            # Passages a to b; the last one's second half is half-passage b, if that is of the same text.
+            b = min(a + step, len(owner))
+            c = min(b + 1, len(owner))
+            part = slice(starts[a], starts[c])
+            self._passages(term[part], half[part] - a, owner[a:c], b - a, best)
+        return best
+
+    def _passages(self, term: np.ndarray, half: np.ndarray, owner: np.ndarray, n: int, best: dict[tuple[int, int], float]) -> None:
+        """Adds the pairs of the first n of these half-passages, each with the next one of its text."""
+        joint = self.bounds(term, half, len(owner))
         follows = np.zeros(len(owner), np.int64)
         follows[:-1] = owner[1:] == owner[:-1]
-        joint = upper
-        joint[:-1] += upper[1:] * follows[:-1, None]
+        joint[:-1] += joint[1:] * follows[:-1, None]
         starts = np.searchsorted(half, np.arange(len(owner) + 1))
-        best: dict[tuple[int, int], float] = {}
-        near = joint >= self.config.threshold - 1e-4
+        near = joint[:n] >= self.config.threshold - 1e-4
         for k in np.flatnonzero(near.any(axis=0)).tolist():
             passage = np.flatnonzero(near[:, k])
             size = starts[passage + 1 + follows[passage]] - starts[passage]
@@ -152,26 +184,72 @@ class BlockMaxIndex:
             for p, i in zip(*np.nonzero(score >= self.config.threshold), strict=True):
                 found = (int(owner[passage[p]]), k * self.config.block + int(i))
                 best[found] = max(best.get(found, 0.0), float(score[p, i]))
+
+
+class Benchmark:
+    """Indexes of some items: one for each length of passage."""
+
+    def __init__(self, items: list[tuple], config: LeakConfig, statistics: Statistics):
+        """items: (id, text).  An item without a word is never found."""
+        self.config = config
+        classes: dict[int, list[tuple]] = {}
+        for (ident, _), tokens in zip(items, _tokens([t for _, t in items]), strict=True):
+            if len(tokens):
+                half = config.half
+                while half < len(tokens):
+                    half *= 2
+                classes.setdefault(half, []).append((ident, tokens))
+        self.indexes = [BlockMaxIndex(own, config, statistics, half) for half, own in sorted(classes.items())]
+
+    def search(self, column: pa.Array) -> list[tuple]:
+        """(row, item id, score, question overlap, answer overlap) of every verified pair."""
+        hashes, ptr = token_hashes(column, LETTER_CLASSES)
         out, runs = [], {}
-        for (r, i), score in sorted(best.items()):
-            found = []
-            for size, wanted in self.parts[i]:
-                if (r, size) not in runs:
-                    runs[r, size] = _runs(hashes[ptr[r] : ptr[r + 1]], size) if size else hashes[:0]
-                found.append(float(np.isin(wanted, runs[r, size]).mean()) if len(wanted) else 1.0)
-            if min(found) >= self.config.overlap:
-                out.append((r, self.ids[i], score, *found))
-        return out
+        for index in self.indexes if len(hashes) else ():
+            for (r, i), score in sorted(index.search(hashes, ptr).items()):
+                found = []
+                for size, wanted in index.parts[i]:
+                    if (r, size) not in runs:
+                        runs[r, size] = _runs(hashes[ptr[r] : ptr[r + 1]], size) if size else hashes[:0]
+                    found.append(float(np.isin(wanted, runs[r, size]).mean()) if len(wanted) else 1.0)
+                if min(found) >= self.config.overlap:
+                    out.append((r, index.ids[i], score, *found))
+        return sorted(out, key=lambda x: x[0])
 
 
-def indexes(items: DataFrame, config: LeakConfig, id_col: str, text_col: str) -> Iterator[BlockMaxIndex]:
-    """Indexes of the whole benchmark, none larger than the bounds, which are proven before a part is collected."""
+def benchmarks(items: DataFrame, config: LeakConfig, id_col: str, text_col: str) -> Iterator[Benchmark]:
+    """The whole benchmark in indexes none larger than the bounds, which are proven before a part is collected; with the
+    statistics of all."""
     chosen = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     n, size = chosen.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     passes = max(1, -(-n // config.max_items), -(-(size or 0) // config.max_bytes))
-    for k in range(passes if n else 0):
-        part = chosen if passes == 1 else chosen.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k)
-        yield BlockMaxIndex(sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is None, r)), config)
+    order = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r))
+    if passes == 1:
+        if found := order(chosen.collect()):
+            yield Benchmark(found, config, own_statistics([t for _, t in found]))
+        return
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, tokens in zip(batch.column("part").to_pylist(), _tokens(batch.column("text").to_pylist()), strict=True):
+                own = np.unique(tokens)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(own), pa.int32()), pa.array(own.view(np.int64)), pa.array(np.where(np.arange(len(own)), 0, len(tokens)))], names=["part", "term", "length"]
+                )
+
+    staging = Staging(items.sparkSession)
+    parted = staging.write(chosen.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(passes)).cast("int")))
+    held = staging.write(parted.mapInArrow(terms, "part int, term long, length long"))  # a length for each item, once
+    total, full = held.agg(F.sum("length"), F.count(F.when(F.col("length") > 0, 1))).first()
+    known = staging.write(held.select("part", "term").distinct().join(held.groupBy("term").agg(F.count("*").alias("df")), "term"))
+    for k in range(passes):
+        # At most one row for each token of the part.
+        rows = known.where(F.col("part") == k).select("term", "df").collect()
+        own = np.array([r.term for r in rows], np.int64).view(np.uint64)
+        by = np.argsort(own)
+        statistics = Statistics(full, total / max(full, 1), own[by], np.array([r.df for r in rows], np.int64)[by])
+        yield Benchmark(order(parted.where(F.col("part") == k).select("id", "text").collect()), config, statistics)
+    staging.drop(parted, held, known)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -180,17 +258,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
     Words are runs of letters and digits, A-Z lower-cased, so punctuation and line ends do not hide a
     copy.  Defined cases: null, empty and blank texts hold nothing and are held by nothing; an item
     of one word has an empty answer, which is always found; null ids are carried; repeated documents
-    or items give a row each; other columns are ignored; an empty table on either side gives no rows.
+    or items give a row each; texts and items of any length are searched whole; other columns are ignored; an empty table on either side gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"{id_col} long, item_id long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(items, config, item_id, item_text):
+    for index in benchmarks(items, config, item_id, item_text):
         out = out.union(source.mapInArrow(_finder(docs, index), schema))
     return out
 
 
-def _finder(docs: DataFrame, index: BlockMaxIndex):
+def _finder(docs: DataFrame, index: Benchmark):
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +285,9 @@ def _finder(docs: DataFrame, index: BlockMaxIndex):
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of documents that hold no item, with all their columns; defined cases as in find_leaks."""
+    """The rows of documents that hold no item, with all their columns, of any names; defined cases as in find_leaks."""
     out = docs
-    for index in indexes(items, config, item_id, item_text):
+    for index in benchmarks(items, config, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -267,8 +267,12 @@ def test_leaks_match_brute_force(clashing, corpus_rows, spark):
                 want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in find_leaks(data, bench).collect()}
     assert got == want and (500, 2) in got
-    again = {(r.doc_id, r.item_id) for r in find_leaks(data, bench, LeakConfig(max_items=2, block=2, common=3)).collect()}
-    assert again == want
+    scores = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in find_leaks(data, bench).collect()}
+    for config in (LeakConfig(max_items=1), LeakConfig(max_items=2, block=2, common=3, cells=2), LeakConfig(half=4)):
+        again = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in find_leaks(data, bench, config).collect()}
+        assert set(again) == want
+        if config.half == 64:
+            assert all(again[k] == pytest.approx(scores[k]) for k in want)
     kept = without_leaks(data, bench)
     assert kept.columns == data.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in data.collect()} - {d for d, _ in want}
 
