@@ -21,11 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged_parts, slices
+from .common import ragged, ragged_parts, slices
 from .tokens import mix
 
 _BLANK = "▁"
 _NO_EDGE = np.int64(1) << 40
+_LONGEST = 64
+#: Symbols matched and relaxed at a time, and characters of one text encoded at a time, about.
+_GROUP = 1 << 18
+_PIECE = 1 << 20
 
 
 @dataclass
@@ -38,7 +42,7 @@ class PieceModel:
     unknown: int
     dummy_prefix: bool
     texts: list[bytes]
-    memo_size: int = 400_000
+    memo_bytes: int = 64 << 20
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -69,8 +73,10 @@ class PieceModel:
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces))
+        if self.longest >= _LONGEST or len(self.texts) > 1 << 26:
+            raise ValueError(f"pieces of {_LONGEST} characters or more, or over 2**26 of them, do not fit an edge")
         none = np.zeros(0, np.int64)
-        self.memo = Memo(none.astype(np.uint64), none, none, none.astype(np.int32))
+        self.memo = Memo(none.astype(np.uint64), none, none, none.astype(np.int32), none, none, none.astype(np.uint32))
         chars = sorted({c for p in self.pieces for c in p})
         #: Symbols: 0 ends a segment, 1 is a character of no piece, then the characters of pieces.
         self.symbol = np.ones(0x110000, np.uint16)
@@ -110,7 +116,8 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate(([True], ranked[1:] != ranked[:-1]))).astype(np.uint64)
         after = np.zeros(n, np.uint64)
-        after[: n - size] = rank[size:]
+        if size < n:
+            after[: n - size] = rank[size:]
         key = rank << np.uint64(32) | after
         size *= 2
 
@@ -218,39 +225,91 @@ def _relax_long(table: np.ndarray, start: int, size: int, model: PieceModel) ->
 
 
 def encode_batch(texts: list[str | None], model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts, and row offsets.  Null and empty texts have none."""
-    full = [(_BLANK if model.dummy_prefix else "") + t.replace(" ", _BLANK) if t else "" for t in texts]
+    """Token ids of all texts, and row offsets.  Null and empty texts have none.
+
+    A long text is encoded in parts, cut where no piece reaches across."""
+    full, parts = [], [0]
+    for t in texts:
+        full += _cut((_BLANK if model.dummy_prefix else "") + t.replace(" ", _BLANK), model) if t else []
+        parts.append(len(full))
+    done, sizes = [np.zeros(0, np.int32)], []
+    a = 0
+    while a < len(full):
+        b, total = a, 0
+        while b < len(full) and (b == a or total + len(full[b]) <= 2 * _PIECE):
+            total += len(full[b])
+            b += 1
+        ids, ptr = _encode_parts(full[a:b], model)
+        done.append(ids)
+        sizes += np.diff(ptr).tolist()
+        a = b
+    return np.concatenate(done), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)[parts]
+
+
+def _cut(text: str, model: PieceModel) -> list[str]:
+    """Parts of about _PIECE characters, each from a blank that follows a visible character on; a text without one stays whole."""
+    out, a = [], 0
+    while model.cuts and len(text) - a > _PIECE:
+        b = a + _PIECE
+        while 0 < b < len(text) and not (text[b] == _BLANK and text[b - 1] != _BLANK):
+            b = text.find(_BLANK, b + 1)
+        if not 0 < b < len(text):
+            break
+        out.append(text[a:b])
+        a = b
+    return [*out, text[a:]]
+
+
+def _encode_parts(full: list[str], model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all parts, none empty, and offsets."""
     points = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) for t in full])
-    if not len(points):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     blank = points == ord(_BLANK)
     cut = np.zeros(len(points), bool)
     cut[0] = True
-    cut[ends[:-1][ends[:-1] < len(points)]] = True
+    cut[ends[:-1]] = True
     if model.cuts:
         cut[1:] |= blank[1:] & ~blank[:-1]
     seg = np.flatnonzero(cut)
     size = np.diff(np.append(seg, len(points)))
-    # Equal segments are matched once, and those met in earlier batches not again.
+    # Equal segments are matched once, and those met before not again; names only propose, the characters decide.
     name, sample, which = np.unique(_segment_hashes(points, seg, size), return_index=True, return_inverse=True)
+    same = _equal(points, seg, size, points, seg[sample[which]], size[sample[which]])
+    odd = np.flatnonzero(~same)  # of the name of another segment: matched each by itself
+    which[odd] = len(name) + np.arange(len(odd))
+    sample = np.concatenate((sample, odd))
     memo = model.memo
+    known, place = np.zeros(len(sample), bool), np.zeros(len(sample), np.int64)
     if len(memo.names):
-        place = np.minimum(np.searchsorted(memo.names, name), len(memo.names) - 1)
-        known = memo.names[place] == name
-    else:
-        place, known = np.zeros(len(name), np.int64), np.zeros(len(name), bool)
+        place[: len(name)] = np.minimum(np.searchsorted(memo.names, name), len(memo.names) - 1)
+        hit = np.flatnonzero(memo.names[place[: len(name)]] == name)
+        at = place[hit]
+        known[hit] = _equal(points, seg[sample[hit]], size[sample[hit]], memo.points, memo.starts[at], memo.sizes[at])
     fresh = sample[~known]
     new_ids, new_ptr = _encode_segments(points, seg[fresh], size[fresh], model)
     flat = np.concatenate((memo.ids, new_ids))
-    begin, count = np.empty(len(name), np.int64), np.empty(len(name), np.int64)
+    begin, count = np.empty(len(sample), np.int64), np.empty(len(sample), np.int64)
     begin[known], count[known] = memo.begin[place[known]], memo.count[place[known]]
     begin[~known], count[~known] = new_ptr[:-1] + len(memo.ids), np.diff(new_ptr)
     out = flat[_ranges(begin[which], count[which])]
-    if len(fresh) and len(memo.names) < model.memo_size:
-        memo.add(name[~known], new_ids, new_ptr, model.memo_size)
     total = np.concatenate(([0], np.cumsum(count[which])))
-    return out, np.concatenate(([0], total[np.searchsorted(seg, ends)]))
+    offsets = np.concatenate(([0], total[np.searchsorted(seg, ends)]))
+    named = np.flatnonzero(~known[: len(name)])
+    if len(memo.names):
+        named = named[memo.names[place[named]] != name[named]]
+    rank = np.cumsum(~known) - 1  # among the fresh ones
+    memo.add(name[named], points, seg[sample[named]], size[sample[named]], new_ids, new_ptr[rank[named]], np.diff(new_ptr)[rank[named]], model.memo_bytes)
+    return out, offsets
+
+
+def _equal(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Which of the ranges of two arrays hold the same values."""
+    out = a_size == b_size
+    at = np.flatnonzero(out & (a_size > 0))
+    differ = a[_ranges(a_start[at], a_size[at])] != b[_ranges(b_start[at], a_size[at])]
+    if len(at):
+        out[at] = ~np.logical_or.reduceat(differ, np.concatenate(([0], np.cumsum(a_size[at])[:-1])))
+    return out
 
 
 _code_of: list[np.ndarray] = []
@@ -267,28 +326,46 @@ def _segment_hashes(points: np.ndarray, start: np.ndarray, size: np.ndarray) ->
 
 @dataclass
 class Memo:
-    """Tokens of segments met before: a bounded number, the first met."""
+    """Tokens of segments met before, with the segments: the first met, up to a number of bytes."""
 
     names: np.ndarray
     begin: np.ndarray
     count: np.ndarray
     ids: np.ndarray
-
-    def add(self, names: np.ndarray, ids: np.ndarray, ptr: np.ndarray, limit: int) -> None:
-        few = slice(0, limit - len(self.names))
-        n = len(names[few])
-        begin, ids_kept = ptr[:-1][few] + len(self.ids), ids[: ptr[n]]
-        every = np.concatenate((self.names, names[few]))
+    starts: np.ndarray
+    sizes: np.ndarray
+    points: np.ndarray
+
+    def add(self, names: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, begin: np.ndarray, count: np.ndarray, limit: int) -> None:
+        held = 40 * len(self.names) + 4 * len(self.ids) + 4 * len(self.points)
+        few = np.flatnonzero(held + np.cumsum(40 + 4 * sizes + 4 * count) <= limit)
+        if not len(few):
+            return
+        names, starts, sizes, begin, count = names[few], starts[few], sizes[few], begin[few], count[few]
+        every = np.concatenate((self.names, names))
         order = np.argsort(every, kind="stable")
-        self.begin = np.concatenate((self.begin, begin))[order]
-        self.count = np.concatenate((self.count, np.diff(ptr)[few]))[order]
-        self.names, self.ids = every[order], np.concatenate((self.ids, ids_kept))
+        after = lambda n, base: np.concatenate(([0], np.cumsum(n)[:-1])) + base
+        self.begin = np.concatenate((self.begin, after(count, len(self.ids))))[order]
+        self.count = np.concatenate((self.count, count))[order]
+        self.starts = np.concatenate((self.starts, after(sizes, len(self.points))))[order]
+        self.sizes = np.concatenate((self.sizes, sizes))[order]
+        self.names, self.ids = every[order], np.concatenate((self.ids, ids[_ranges(begin, count)]))
+        self.points = np.concatenate((self.points, points[_ranges(starts, sizes)]))
 
 
 def _encode_segments(points: np.ndarray, begin: np.ndarray, size: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of some segments of the points, and offsets into them."""
-    if not len(begin):
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    """Token ids of some segments of the points, and offsets into them; about _GROUP symbols at a time."""
+    groups = np.searchsorted((np.cumsum(size + 1) - 1) // _GROUP, np.arange((size + 1).sum() // _GROUP + 2))
+    done, counts = [np.zeros(0, np.int32)], []
+    for a, b in zip(groups, groups[1:], strict=False):
+        if a < b:
+            ids, ptr = _encode_group(points, begin[a:b], size[a:b], model)
+            done.append(ids)
+            counts.append(np.diff(ptr))
+    return np.concatenate(done), np.concatenate(([0], np.cumsum(np.concatenate(counts)) if counts else [])).astype(np.int64)
+
+
+def _encode_group(points: np.ndarray, begin: np.ndarray, size: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
     start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     text = np.zeros(int((size + 1).sum()), np.uint32)
     text[_ranges(start, size)] = points[_ranges(begin, size)]
@@ -338,7 +415,8 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", text_c
     """The same rows with `tokens`, the ids of the whole text.
 
     Defined cases: a null or empty text has no tokens; all other columns are kept, and one called
-    tokens is replaced; repeated rows are encoded alike; an empty table gives no rows.
+    tokens is replaced; repeated rows are encoded alike; a long text is encoded in parts, cut at blanks, and one without a
+    blank whole, which takes memory in proportion to it (see README); an empty table gives no rows.
     """
     base = docs.drop("tokens")
 
@@ -365,7 +443,7 @@ def decode_documents(rows: DataFrame, model: str = "piece_bpe_32k.model", tokens
 
 
 def encode_digests(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_tokens, n_bytes (byte pieces among them), tokens_md5 (of the ids as 32-bit
+    """One row a document: id, tokens (the ids), n_tokens, n_bytes (byte pieces among them), tokens_md5 (of the ids as 32-bit
     little-endian integers) and round_trip (decoding gives the text; a null text counts as empty).
 
     Encoding and decoding run in one pass, so that the ids are not moved.  Defined cases as in encode_documents.
@@ -383,9 +461,9 @@ def encode_digests(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col:
                 spelled = np.concatenate(([0], np.cumsum(is_byte[ids])))[ptr]
                 digests = [hashlib.md5(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(ptr, ptr[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(np.diff(ptr)), pa.array(np.diff(spelled)), pa.array(digests), pa.array([(t or "") == d for t, d in zip(texts, decoded, strict=True)])],
-                    names=["id", "n_tokens", "n_bytes", "tokens_md5", "round_trip"],
+                    [batch.column("id"), ragged(pa.array(ids), ptr), pa.array(np.diff(ptr)), pa.array(np.diff(spelled)), pa.array(digests), pa.array([(t or "") == d for t, d in zip(texts, decoded, strict=True)])],
+                    names=["id", "tokens", "n_tokens", "n_bytes", "tokens_md5", "round_trip"],
                 )
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, n_tokens long, n_bytes long, tokens_md5 string, round_trip boolean").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(run, f"id {kind}, tokens array<int>, n_tokens long, n_bytes long, tokens_md5 string, round_trip boolean").withColumnRenamed("id", id_col)

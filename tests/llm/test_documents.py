@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import importance, language_profiles, minhash, token_lengths
+from quillstream.llm import importance, language_profiles, minhash, sentencepieces, token_lengths
 from quillstream.llm.decontaminate import LeakConfig, find_leaks, without_leaks
 from quillstream.llm.deleted_interpolation import InterpolationConfig, fit_weights, score_documents
 from quillstream.llm.sentencepieces import decode_documents, encode_digests, encode_documents
@@ -241,6 +241,46 @@ def test_sentencepieces_equal_the_library(clashing, corpus_rows, spark):
     assert all(r.decoded == (r.text or "") for r in decode_documents(encoded).collect())
     digests = encode_digests(clashing).collect()
     assert len(digests) == len(corpus_rows) and all(r.round_trip for r in digests)
+    by_id = collections.defaultdict(list)
+    for r in corpus_rows:
+        by_id[r[0]].append(library.encode(r[1] or ""))
+    assert all(list(r.tokens) in by_id[r.doc_id] and r.n_tokens == len(r.tokens) for r in digests)
+
+
+def test_sentencepieces_in_small_parts_and_with_names_that_clash(monkeypatch):
+    import random
+
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdeé ") for _ in range(rng.randrange(1, 30))) for _ in range(200)) for _ in range(6)] + ["a  " * 50, "x" * 400, None, "", " ", "end"]
+    want = [library.encode(t or "") for t in texts]
+
+    def check(model):
+        for _ in range(2):
+            ids, ptr = sentencepieces.encode_batch(texts, model)
+            assert [ids[a:b].tolist() for a, b in zip(ptr, ptr[1:])] == want
+
+    load = lambda: sentencepieces.PieceModel.load("piece_bpe_32k.model")
+    check(load())
+    monkeypatch.setattr(sentencepieces, "_PIECE", 64)
+    monkeypatch.setattr(sentencepieces, "_GROUP", 32)
+    check(load())
+    small = load()
+    small.memo_bytes = 2000
+    check(small)
+    memo = small.memo
+    assert 0 < 40 * len(memo.names) + 4 * len(memo.ids) + 4 * len(memo.points) <= 2000
+    names = sentencepieces._segment_hashes
+    monkeypatch.setattr(sentencepieces, "_segment_hashes", lambda *x: names(*x) % 7)
+    check(load())
+
+
+def test_a_model_of_long_pieces_is_refused():
+    with pytest.raises(ValueError):
+        sentencepieces.PieceModel({"x" * 64: 0}, [0], [0] * 256, 0, False, [b""])
 
 
 def item_words(text):
