@@ -58,11 +58,15 @@ class Staging:
         out._staged_at = path
         return out
 
+    def forget(self, made: int) -> None:
+        """Deletes what is at the place made as number `made`, from 1."""
+        path, files = self._files(f"{self.root}/{made}")
+        files.delete(path, True)
+
     def drop(self, *made: DataFrame) -> None:
         """Deletes tables made by write()."""
         for df in made:
-            path, files = self._files(df._staged_at)
-            files.delete(path, True)
+            self.forget(int(df._staged_at.rsplit("/", 1)[1]))
 
 
 #: Rows of one key from which a join on it is dealt out.

@@ -238,7 +238,8 @@ def score_documents(docs: DataFrame, config: InterpolationConfig = Interpolation
     Tokens are the words of the whole text, A-Z lower-cased, and one end.  base_score is the log10
     probability under the training unigrams with `add` added to each count and one unseen class;
     score is that of the interpolated model.  Defined cases: a null or empty text is one end token;
-    a null id counts as held out; rows that repeat an id are scored and counted each by itself;
+    a null id counts as held out; rows that repeat an id are scored and counted each by itself; a text of any length is
+    one entry of a chunk and must fit in a task; counts are exact as long as no two words or bigrams share a 56-bit hash;
     other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -247,7 +248,8 @@ def score_documents(docs: DataFrame, config: InterpolationConfig = Interpolation
     source = docs.select(F.col(id_col).cast("long").alias("id"), fold.alias("fold"), F.col(text_col).cast("string").alias("text"))
     name = f"quillstream_chunks_{uuid.uuid4().hex}"
     buckets = max(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    source.mapInArrow(_chunks(config), _CHUNK).write.option("compression", "uncompressed").bucketBy(buckets, "chunk").saveAsTable(name)
+    chunked = source.mapInArrow(_chunks(config), _CHUNK).write.option("compression", "uncompressed").option("path", staging.path())
+    chunked.bucketBy(buckets, "chunk").saveAsTable(name)  # the catalog knows the buckets; the rows are in the shared folder
     try:
         chunks = spark.table(name)
         tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
@@ -306,4 +308,5 @@ def score_documents(docs: DataFrame, config: InterpolationConfig = Interpolation
         staging.drop(answers)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        staging.forget(1)
     return result.withColumnRenamed("id", id_col)

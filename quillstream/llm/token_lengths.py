@@ -52,7 +52,7 @@ def length_histogram(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken",
     their tokens; share_at_most: the part of all texts that is no longer, so the quantile q is the
     least length with share_at_most >= q; truncated_total: tokens left if every text is cut to this
     length; total_docs, total_tokens.  Defined cases: null and empty texts have length 0; repeated
-    rows count each; other columns are ignored; an empty table gives no rows.
+    rows count each; texts of any length are encoded whole, one at a time; other columns are ignored; an empty table gives no rows.
     """
     counts = encoded_lengths(docs, tokenizer, text_col).groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
     # Written once, as two branches below read it and encoding is what costs.

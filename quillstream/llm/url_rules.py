@@ -62,7 +62,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, de
     path but the empty one; a null or repeated id keeps its own row; other columns are ignored.
     """
     listed = rules if isinstance(rules, DataFrame) else rule_table(pages, rules)
-    listed = listed.select("action", F.lower("rule_host").alias("rule_host"), "rule_path").dropna().distinct()
+    listed = listed.select("action", F.translate("rule_host", string.ascii_uppercase, string.ascii_lowercase).alias("rule_host"), "rule_path").dropna().distinct()
     # One row; the set has at most one entry for each length that a path can have.
     shape = listed.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"), F.max(F.size(F.split("rule_host", r"\."))).alias("depth")).first()
     lengths, depth = shape["lengths"] or [], shape["depth"] or 0

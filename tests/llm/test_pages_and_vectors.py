@@ -34,6 +34,12 @@ def test_url_rules_match_brute_force(spark, rules):
     assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_rule_hosts_fold_a_to_z_only(spark):
+    pages = spark.createDataFrame([(1, "http://ÉCOLE.org/a"), (2, "http://école.org/a")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, (url_rules.Rule("block", "ÉCOLE.ORG", "/"),)).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 def test_url_rules_run_no_python(spark):
     pages = spark.createDataFrame([(1, URLS[0])], "page_id long, url string")
     plan = url_rules.judge_urls(pages)._jdf.queryExecution().toString()

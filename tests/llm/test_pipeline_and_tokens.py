@@ -74,3 +74,84 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
             assert all(labels[i] != (1, 0) for i in gone & labels.keys()) or sum(labels[i] == (1, 0) for i in gone & labels.keys()) <= 2
         before = ids
     assert before and corpus_pipeline.run(spark, SF).count() == len(before)
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    """Labels and benchmark beside documents of two languages, with junk, a leak, copies, nulls and repeated rows."""
+    import random
+
+    rng = random.Random(12)
+    words = {"en": "the quick brown fox jumps over lazy dogs while rain falls on green hills and old stone walls near quiet rivers".split(), "de": "der schnelle braune fuchs springt über faule hunde während regen auf grüne hügel und alte mauern am stillen fluss fällt".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) + str(rng.randrange(30)) * (rng.random() < 0.2) for _ in range(n))
+    rows, labels = [], []
+    for k in range(400):
+        lang = ("en", "de")[k % 2]
+        body = text(lang, 60)
+        if k % 5 == 0:
+            body = " ".join(w + "###" for w in body.split())
+        rows.append((k, body, lang, "s", len(body)))
+        labels.append((k, int(k % 5 != 0), 0))
+    item = "what is the tallest tower of that old town answer it is the grey one by the bridge"
+    rows.append((500, text("en", 20) + " " + item + " " + text("en", 20), "en", "s", 0))
+    rows += [(501, rows[1][1], "de", "s", 0), (502, rows[3][1] + " nachtrag", "de", "s", 0)]
+    rows += [(503, text("en", 50), "en", "s", 0)] * 2 + [(504, rows[7][1], "de", "s", 0), (504, text("de", 50), "de", "s", 0)]
+    rows += [(505, None, None, None, None), (506, "", "en", "s", 0), (507, "12 34 !!", "en", "s", 0), (None, text("en", 40), None, None, None)]
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(labels + [(9999, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    return folder, rows
+
+
+CLASHES = "id score lang_pred weight selected draw_key good component_id kept text_hash h1 item_id label node part".split()
+
+
+def test_every_stage_by_hand(spark, small_tables):
+    import corpus_pipeline
+
+    folder, rows = small_tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+
+    def run(name, df):
+        out = stages[name](spark, df, folder)
+        assert out.columns == df.columns and all(r[c] == f"own {c}" for r in out.collect() for c in CLASHES)
+        return common.Staging(spark).write(out)
+
+    told = run("language", docs)
+    assert ids(told) == sorted((str(r[0]), r[1]) for r in rows if r[0] not in (505, 506, 507))
+    drawn = run("quality", told)
+    kept = {r.doc_id for r in drawn.collect()}
+    junk = {r[0] for r in rows if r[0] is not None and r[0] < 400 and r[0] % 5 == 0}
+    clean = {r[0] for r in rows if r[0] not in (505, 506, 507)} - junk
+    assert len(junk & kept) <= 0.1 * len(junk) and len(clean - kept) <= 0.1 * len(clean)
+    single = run("near_copies", told)
+    gone = [(501, rows[1][1]), (502, rows[3][1] + " nachtrag"), (504, rows[7][1])]
+    want = [(r[0], r[1]) for r in rows if r[0] not in (505, 506, 507) and (r[0], r[1]) not in gone]
+    want.remove(next(w for w in want if w[0] == 503))  # one of two equal rows
+    assert ids(single) == sorted((str(i), t) for i, t in want)
+    assert ids(run("leaks", single)) == sorted((str(i), t) for i, t in want if i != 500)
+    encoded = stages["encode"](spark, docs, folder).collect()
+    assert len(encoded) == len(rows) and all(r.n_tokens == len(r.tokens) for r in encoded) and {r.n_tokens for r in encoded if r.doc_id in (505, 506)} == {0}
+
+
+def test_every_stage_of_no_rows(spark, small_tables):
+    import corpus_pipeline
+
+    folder, _ = small_tables
+    none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    assert all(stage(spark, none, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_the_pipeline_is_its_stages_in_order(spark, small_tables):
+    import corpus_pipeline
+
+    folder, rows = small_tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.Staging(spark).write(stage(spark, docs, folder))
+    look = lambda df: sorted((str(r.doc_id), list(r.tokens), r.n_tokens) for r in df.collect())
+    assert look(corpus_pipeline.run(spark, folder)) == look(docs) and docs.count() < len(rows)
