@@ -11,29 +11,46 @@ from .common import HOT, Staging, join_hot
 def connected_components(edges: DataFrame, staging: Staging, a: str = "a", b: str = "b", hot: int = HOT) -> DataFrame:
     """(node, label) for every node of an edge, label being the smallest node reachable.
 
-    Each round gives a node the smallest label among itself and its neighbours, then follows the
-    label's own label, so chains shorten by doubling.  Labels only fall, and the loop ends when
-    a round changes none.  Nothing but counts reaches the driver.  A node of very many edges, and a label
+    Each round hangs every node on its smallest neighbour, if that is smaller, follows the chains to their roots by
+    doubling, and puts roots for nodes in the edges; edges inside a tree fall away, so that a round has few of the
+    edges of the one before.  Nothing but counts reaches the driver.  A node of very many edges, and a label
     of very many nodes, are dealt out (join_hot).  An edge with a null end is ignored; a loop makes its node a
     component of its own; repeated edges count once; no edges give no rows.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    both = staging.write(e.union(e.select("b", "a")).distinct())
-    labels = staging.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    n_edges, n_nodes = both.count(), labels.count()
+    pairs = staging.write(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    node = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    labels, n_nodes = None, 0
+    left = pairs.where("a < b")
+    while n_left := left.count():
+        roots = _roots(left, staging, hot)
+        if labels is None:
+            new = node.join(roots.withColumnRenamed("up", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        else:
+            at = roots.select(F.col("node").alias("label"), "up")
+            new = join_hot(labels, n_nodes, at, "label", F.col("node"), "left", hot).select("node", F.coalesce("up", "label").alias("label"))
+        new = staging.write(new)
+        for end, other in (("a", "b"), ("b", "a")):
+            at = roots.select(F.col("node").alias(end), "up")
+            left = join_hot(left, n_left, at, end, F.col(other), "left", hot).withColumn(end, F.coalesce("up", end)).select("a", "b")
+        left = staging.write(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        staging.drop(roots, *([labels] if labels is not None else []))
+        labels, n_nodes = new, n_nodes or new.count()
+    if labels is None:
+        labels = staging.write(node.select("node", F.col("node").alias("label")))
+    staging.drop(pairs)
+    return labels
+
+
+def _roots(edges: DataFrame, staging: Staging, hot: int) -> DataFrame:
+    """(node, up) for every node that has a smaller neighbour: the root of its tree, if each such node hangs on the smallest."""
+    up = staging.write(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
+    n = up.count()
     while True:
-        near = join_hot(both, n_edges, labels.withColumnRenamed("node", "b"), "b", F.col("a"), hot=hot).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        made = [labels]
-        if n_nodes > hot:  # read twice below
-            lower = staging.write(lower)
-            made.append(lower)
-        at = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = staging.write(join_hot(lower, n_nodes, at, "low", F.col("node"), "left", hot).select("node", F.least("low", "jump").alias("new"), "label"))
-        changed = new.where("new <> label").count()
-        staging.drop(*made)
-        labels = new.select("node", F.col("new").alias("label"))
-        labels._staged_at = new._staged_at
-        if not changed:
-            staging.drop(both)
-            return labels
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        new = join_hot(up.select("node", "up"), n, above, "up", F.col("node"), "left", hot)
+        new = staging.write(new.select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
+        staging.drop(up)
+        up = new
+        if new.where("moved").isEmpty():
+            return up

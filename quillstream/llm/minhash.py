@@ -150,7 +150,9 @@ def candidates(classes: DataFrame, config: MinMaxConfig, staging: Staging) -> Da
     )
 
     def search(group: pa.Table) -> pa.Table:
-        node, marks = group.column("node").to_numpy(), _marks(group.column("marks"))
+        # In order, so that buckets of the same sets give the same edges.
+        node, first = np.unique(group.column("node").to_numpy(), return_index=True)
+        marks = _marks(group.column("marks"))[first]
         left, a, b = np.ones(len(node), bool), [], []
         for root in range(len(node)):
             queue = [root] if left[root] else []
