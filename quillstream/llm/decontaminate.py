@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staging, slices
-from .tokens import LETTER_CLASSES, combine, token_hashes
+from .tokens import LETTER_CLASSES, combine, distinct, token_hashes
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ class BlockMaxIndex:
         present[half[often], place[often]] = 1
         out = present @ self.common_max
         rare = np.flatnonzero(place < 0)
-        pair = np.unique(half[rare] * len(self.terms) + term[rare])
+        pair = distinct(half[rare] * len(self.terms) + term[rare])
         h, t = pair // len(self.terms), pair % len(self.terms)
         count = self.block_ptr[t + 1] - self.block_ptr[t]
         posting = np.repeat(self.block_ptr[t] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
@@ -176,7 +176,7 @@ class BlockMaxIndex:
             terms, table = self.tables[k]
             place = np.minimum(np.searchsorted(terms, term[held]), len(terms) - 1)
             there = terms[place] == term[held]
-            pair = np.unique(np.repeat(np.arange(len(passage)), size)[there] * len(table) + place[there])
+            pair = distinct(np.repeat(np.arange(len(passage)), size)[there] * len(table) + place[there])
             score = np.add.reduceat(
                 np.concatenate((table[pair % len(table)], table[-1:])), np.minimum(np.searchsorted(pair // len(table), np.arange(len(passage))), len(pair))
             )

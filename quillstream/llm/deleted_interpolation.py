@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staging, pack, pack_sorted, ragged, slices, unpack, unpack_sorted
-from .tokens import combine, mix, token_hashes
+from .tokens import combine, distinct, mix, token_hashes
 
 _END = mix(np.array([1], np.uint64))[0]
 _BEGIN = mix(np.array([2], np.uint64))[0]
@@ -108,7 +108,7 @@ class _Chunk:
         before[1:] = tokens[:-1]
         before[self.first] = _BEGIN
         self.pairs = combine(before, tokens) >> _SHORT
-        self.uni = np.unique(np.append(words, _BEGIN) >> _SHORT)
+        self.uni = distinct(np.append(words, _BEGIN) >> _SHORT)
         self.word = np.searchsorted(self.uni, words >> _SHORT)[at]
         self.begin = int(np.searchsorted(self.uni, _BEGIN >> _SHORT))
         self.context = np.empty_like(self.word)
@@ -272,7 +272,7 @@ def score_documents(docs: DataFrame, config: InterpolationConfig = Interpolation
                     keep = np.flatnonzero(chunk.token_fold == config.em_fold)
                     if not len(keep):
                         continue
-                    b, p2, p1 = _parts(chunk, keep, uni, bi, n_learn, np.unique(chunk.pairs))
+                    b, p2, p1 = _parts(chunk, keep, uni, bi, n_learn, distinct(chunk.pairs))
                     q2, q1 = (np.where(p > 0, np.round(steps * np.log2(np.maximum(p, 1e-18) * scale)) + 1000, 0) for p in (p2, p1))
                     cells, n = np.unique(np.stack([b, q2, q1]).astype(np.int32), axis=1, return_counts=True)
                     yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cells), pa.array(n)], names=["bucket", "q2", "q1", "n"])
@@ -288,7 +288,7 @@ def score_documents(docs: DataFrame, config: InterpolationConfig = Interpolation
                 for row in batch.to_pylist():
                     chunk, _, uni, _, bi = _counts(row)
                     every = slice(None)
-                    b, p2, p1 = _parts(chunk, every, uni, bi, n_all, np.unique(chunk.pairs))
+                    b, p2, p1 = _parts(chunk, every, uni, bi, n_all, distinct(chunk.pairs))
                     w = weights[b]
                     logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v_all + 1))
                     c = uni[chunk.word]

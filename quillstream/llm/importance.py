@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Staging, pack, slices, unpack
-from .tokens import SHAPE_CLASSES, combine, mix, row_of, token_hashes
+from .tokens import SHAPE_CLASSES, combine, distinct, mix, row_of, token_hashes
 
 _REPEATS = mix(np.arange(3, 16, dtype=np.uint64))
 _SLICE = 4096
@@ -159,7 +159,7 @@ def distinct_features(column: pa.Array, config: ImportanceConfig, chosen: np.nda
     row, bucket = np.tile(row_of(ptr), 2), np.concatenate((one, two))
     if chosen is not None:
         row, bucket = row[chosen[bucket]], bucket[chosen[bucket]]
-    held = np.unique(row << (config.bits + 1) | bucket)
+    held = distinct(row << (config.bits + 1) | bucket)
     return held >> (config.bits + 1), held & ((2 << config.bits) - 1)
 
 

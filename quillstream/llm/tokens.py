@@ -136,6 +136,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np
     return mix(out)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    v = np.sort(values)
+    return v[np.concatenate(([True], v[1:] != v[:-1]))] if len(v) else v
+
+
 def token_hashes(column: pa.Array, classes: np.ndarray = SPACE_CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a column, A-Z folded to a-z, and n+1 row offsets into them."""
     data, offsets = text_buffer(column)
