@@ -204,30 +204,44 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return high
 
 
-def _weighed(rows: DataFrame, kept: list[str], labels: DataFrame, config: ImportanceConfig, id_col: str, text_col: str, quality_col: str, toxic_col: str) -> tuple[DataFrame, Column, Column, float]:
-    """The kept columns of the rows, written, with their ratio; their weight, their key, and the least key that is drawn."""
-    staging = Staging(rows.sparkSession)
+@dataclass
+class _Draw:
+    """What a draw is decided by: the ratios of the buckets, the prior, the share of target, and the least key drawn."""
+
+    ratios: np.ndarray
+    prior: float
+    share: float
+    config: ImportanceConfig
+    least: float = -math.inf
+
+    def weight(self) -> Column:
+        if not math.isfinite(self.prior):
+            return F.lit(0.0)
+        return -F.log1p(F.exp(-(F.col(_RATIO) + self.prior))) - math.log(self.share)
+
+    def key(self, ident: Column) -> Column:
+        uniform = (F.shiftrightunsigned(F.xxhash64(ident, F.lit(self.config.seed + 1)), 12).cast("double") + 0.5) / float(1 << 52)
+        return self.weight() / self.config.temperature - F.log(-F.log(uniform))
+
+
+def _draw(docs: DataFrame, labels: DataFrame, config: ImportanceConfig, id_col: str, text_col: str, quality_col: str, toxic_col: str) -> tuple[DataFrame, _Draw]:
+    """Rows (quillstream_id, quillstream_good, quillstream_ratio), written, and the draw."""
+    staging = Staging(docs.sparkSession)
     # Bounded by max_labelled rows of 17 bytes, so it may be broadcast.
     sample = F.broadcast(labelled_sample(labels, config, id_col, quality_col, toxic_col).withColumnsRenamed({"id": _ID, "good": _GOOD}))
-    base = rows.withColumn(_ID, F.col(id_col).cast("long")).join(sample, _ID, "left").select(*rows.columns, _ID, _GOOD)
-    n, n_good, n_bad = base.agg(F.count("*"), F.count(F.when(F.col(_GOOD), 1)), F.count(F.when(~F.col(_GOOD), 1))).first()
-    if n_good and n_bad:
-        counts = document_counts(base.select(F.col(text_col).cast("string").alias("text"), _GOOD), config)
-    else:
-        counts = np.zeros((3, 2 << config.bits))
-    out = staging.write(with_ratio(base, log_ratios(counts, n, n_good, n_bad, config), config, text_col).select(*kept, _ID, _GOOD, _RATIO))
+    rows = docs.select(F.col(id_col).cast("long").alias(_ID), F.col(text_col).cast("string").alias("text")).join(sample, _ID, "left")
+    n, n_good, n_bad = rows.agg(F.count("*"), F.count(F.when(F.col(_GOOD), 1)), F.count(F.when(~F.col(_GOOD), 1))).first()
+    counts = document_counts(rows.select("text", _GOOD), config) if n_good and n_bad else np.zeros((3, 2 << config.bits))
+    ratios = log_ratios(counts, n, n_good, n_bad, config)
+    out = staging.write(with_ratio(rows, ratios, config, "text").drop("text"))
     # Rounded to hundredths, so at most 20,001 rows.
     cells = out.where(F.col(_GOOD).isNotNull()).groupBy(F.round(_RATIO, 2).alias("r")).agg(F.count(F.when(F.col(_GOOD), 1)).alias("g"), F.count("*").alias("n")).collect()
-    prior = fit_prior([(c.r, c.g, c.n) for c in cells])
-    share = n_good / (n_good + n_bad) if n_good else 1.0
-    weight = -F.log1p(F.exp(-(F.col(_RATIO) + prior))) - math.log(share) if math.isfinite(prior) else F.lit(0.0)
-    uniform = (F.shiftrightunsigned(F.xxhash64(_ID, F.lit(config.seed + 1)), 12).cast("double") + 0.5) / float(1 << 52)
-    key = weight / config.temperature - F.log(-F.log(uniform))
+    draw = _Draw(ratios, fit_prior([(c.r, c.g, c.n) for c in cells]), n_good / (n_good + n_bad) if n_good else 1.0, config)
     k = config.k
     if k is None:
-        k = out.where(F.col(_RATIO) + prior >= 0).count() if math.isfinite(prior) else n
-    least = -math.inf if k >= n else math.inf if k <= 0 else kth_largest(out.select(key.alias("key")), "key", k)
-    return out, weight, key, least
+        k = out.where(F.col(_RATIO) + draw.prior >= 0).count() if math.isfinite(draw.prior) else n
+    draw.least = -math.inf if k >= n else math.inf if k <= 0 else kth_largest(out.select(draw.key(F.col(_ID)).alias("key")), "key", k)
+    return out, draw
 
 
 def resample(docs: DataFrame, labels: DataFrame, config: ImportanceConfig = ImportanceConfig(), id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
@@ -240,13 +254,16 @@ def resample(docs: DataFrame, labels: DataFrame, config: ImportanceConfig = Impo
     null labels are not used, and without both good and bad labels all weights are 0 and all documents are selected;
     other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    out, weight, key, least = _weighed(rows, [], labels, config, id_col, text_col, quality_col, toxic_col)
-    return out.select(F.col(_ID).alias(id_col), weight.alias("weight"), key.alias("draw_key"), (key >= least).alias("selected"))
+    out, draw = _draw(docs, labels, config, id_col, text_col, quality_col, toxic_col)
+    key = draw.key(F.col(_ID))
+    return out.select(F.col(_ID).alias(id_col), draw.weight().alias("weight"), key.alias("draw_key"), (key >= draw.least).alias("selected"))
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, config: ImportanceConfig = ImportanceConfig(), id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
     """The rows that resample() selects, with all their columns, whose names may be any that do not begin with quillstream_;
-    defined cases as there."""
-    out, _, key, least = _weighed(docs, docs.columns, labels, config, id_col, text_col, quality_col, toxic_col)
-    return out.where(key >= least).select(docs.columns)
+    defined cases as there.
+
+    Their ratios are summed again, which costs less than to keep all texts beside the weights."""
+    _, draw = _draw(docs, labels, config, id_col, text_col, quality_col, toxic_col)
+    key = draw.key(F.col(id_col).cast("long"))
+    return with_ratio(docs, draw.ratios, config, text_col).where(key >= draw.least).select(docs.columns)
