@@ -46,15 +46,30 @@ def sentences(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", (F.col("first") + F.col("at")).alias("pos"), "token", clean_word(F.col("token")).alias("clean"), "sent")
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent, i from 1, word): the cleaned words of every sentence; tokens without a letter are left out."""
+def word_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent, words): the cleaned words of every sentence that has any, as an array; tokens without a letter are left out."""
     clean = F.filter(F.transform("tokens", clean_word), lambda x: x != "")
-    each = _sentence_rows(docs).select("doc_id", "sent", F.posexplode(clean).alias("at", "word"))
+    return _sentence_rows(docs).select("doc_id", "sent", clean.alias("words")).where(F.size("words") > 0)
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent, i from 1, word): word_rows(), a row a word."""
+    each = word_rows(docs).select("doc_id", "sent", F.posexplode("words").alias("at", "word"))
     return each.select("doc_id", "sent", (F.col("at") + 1).cast("long").alias("i"), "word")
 
 
+def rows_of(w: DataFrame) -> DataFrame:
+    """words() put together again as word_rows(), which shuffles; word_rows() stay as they are."""
+    if "words" in w.columns:
+        return w
+    items = F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"])
+    return w.groupBy("doc_id", "sent").agg(items.alias("words"))
+
+
 def vocabulary(w: DataFrame) -> DataFrame:
-    """(word, cnt)."""
+    """(word, cnt) of words() or word_rows()."""
+    if "words" in w.columns:
+        w = w.select(F.explode("words").alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("cnt"))
 
 

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Tree = tuple  # (symbol, children); a leaf is a word
@@ -75,7 +74,8 @@ def productions(trees: DataFrame, markov: int = 2) -> DataFrame:
 def rule_probabilities(rules: DataFrame, min_count: int = 2) -> DataFrame:
     """(lhs, b, c, cnt, logp): maximum likelihood among the rules of a symbol that occur often enough."""
     counts = rules.groupBy("lhs", "b", "c").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count)
-    return counts.withColumn("logp", F.log(F.col("cnt") / F.sum("cnt").over(W.partitionBy("lhs"))))
+    totals = counts.groupBy("lhs").agg(F.sum("cnt").alias("total"))  # one row a symbol; a tag's lexicon is not sorted into one task
+    return counts.join(totals, "lhs").select("lhs", "b", "c", "cnt", F.log(F.col("cnt") / F.col("total")).alias("logp"))
 
 
 def split_rules(grammar: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .corpus import vocabulary
+from .corpus import rows_of, vocabulary
 
 BEGIN, END, UNKNOWN = "<s>", "</s>", "<unk>"
 
@@ -31,6 +31,23 @@ def histories(c: DataFrame, order: int = 3) -> DataFrame:
     return c.select("*", *(F.lag("word", k, BEGIN).over(place).alias(f"h{k}") for k in range(1, order)))
 
 
+def raw_grams(rows: DataFrame, order: int) -> DataFrame:
+    """(h{order-1}.., h1, word, cnt) of word_rows(), words as they are; cut inside the row, so that no token is shuffled alone."""
+    rows = rows.select(F.concat(F.array_repeat(F.lit(BEGIN), order - 1), "words", F.array(F.lit(END))).alias("m"))
+    names = [*(f"h{k}" for k in range(order - 1, 0, -1)), "word"]
+    gram = F.transform(F.sequence(F.lit(1), F.size("m") - (order - 1)), lambda i: F.struct(*(F.element_at("m", i + k).alias(n) for k, n in enumerate(names))))
+    return rows.select(F.explode(gram).alias("g")).select("g.*").groupBy(*names).agg(F.count("*").alias("cnt"))
+
+
+def closed_counts(raw: DataFrame, known: DataFrame) -> DataFrame:
+    """raw_grams() with each unknown word as <unk>: distinct n-grams are marked, and not tokens."""
+    names = [c for c in raw.columns if c != "cnt"]
+    for c in names:
+        marked = raw.join(known.select(F.col("word").alias(c), F.lit(True).alias("is_known")), c, "left")
+        raw = marked.withColumn(c, F.when(F.col("is_known") | F.col(c).isin(BEGIN, END), F.col(c)).otherwise(UNKNOWN)).drop("is_known")
+    return raw.groupBy(*names).agg(F.sum("cnt").alias("cnt"))
+
+
 def ngram_counts(h: DataFrame, order: int) -> DataFrame:
     """(h{order-1}.., h1, word, cnt) of one order; every n-gram ends on a word or an end."""
     return h.groupBy(*(f"h{k}" for k in range(order - 1, 0, -1)), "word").agg(F.count("*").alias("cnt"))
@@ -68,15 +85,16 @@ def char_scores(w: DataFrame, bigrams: DataFrame, k: float = 0.1) -> DataFrame:
 
 
 class NgramModel:
-    """Counts of a training corpus, and the probability of other text under a smoothing."""
+    """Counts of a training corpus, words() or better word_rows(), and the probability of other text under a smoothing."""
 
     def __init__(self, train: DataFrame, order: int = 3, k: float = 0.01, discount: float = 0.75, threshold: int = 1):
         self.order, self.k, self.discount = order, k, discount
         self.known = known_words(train, threshold)
-        self.gram = {n: None for n in range(1, order + 1)}
-        h = histories(closed(train, self.known), order)
-        for n in self.gram:
-            self.gram[n] = ngram_counts(h, n)
+        # Counted once; lower orders are sums of the highest.
+        names = [*(f"h{k}" for k in range(order - 1, 0, -1)), "word"]
+        self.gram = {order: closed_counts(raw_grams(rows_of(train), order), self.known).persist()}
+        for n in range(1, order):
+            self.gram[n] = self.gram[order].groupBy(*names[order - n :]).agg(F.sum("cnt").alias("cnt"))
         # One row: tokens, and the vocabulary with <unk> and </s>.
         self.size = self.gram[1].agg(F.sum("cnt").alias("n_all")).join(self.known.agg((F.count("*") + 2).alias("v")))
 
@@ -84,9 +102,8 @@ class NgramModel:
         """histories() of a text with c{n}, t{n}, d{n}: the count of the n-gram, its context's total and types.
 
         Counts are joined once for every distinct n-gram of the text, not once for every token."""
-        h = histories(closed(text, self.known), self.order)
         cols = [f"h{k}" for k in range(self.order - 1, 0, -1)]
-        grams = h.groupBy(*cols, "word").agg(F.count("*").alias("times"))
+        grams = closed_counts(raw_grams(rows_of(text), self.order), self.known).withColumnRenamed("cnt", "times")
         for n in range(1, self.order + 1):
             context = cols[self.order - n :]
             grams = grams.join(self.gram[n].withColumnRenamed("cnt", f"c{n}"), [*context, "word"], "left")
@@ -111,9 +128,8 @@ class NgramModel:
 
         The highest order has no continuation counts, so its level passes on the next lower one, as
         in the model reproduced here."""
-        h = histories(closed(text, self.known), self.order)
         cols = [f"h{k}" for k in range(self.order - 1, 0, -1)]
-        grams = h.groupBy(*cols, "word").agg(F.count("*").alias("times"))
+        grams = closed_counts(raw_grams(rows_of(text), self.order), self.known).withColumnRenamed("cnt", "times")
         one = continuation_counts(self.gram[2], 2)
         total = one.agg(F.sum("cnt").alias("k_all"))
         grams = grams.join(one.withColumnRenamed("cnt", "k1"), "word", "left").fillna(0, ["k1"]).join(F.broadcast(total)).join(F.broadcast(self.size))  # one row each

@@ -85,31 +85,57 @@ class LocalModel:
         return out
 
 
+@dataclass
+class _Ends:
+    """The ways in which a word can end at one place: for each, the last order-1 words, the score, and whence it came."""
+
+    tails: list[tuple[str, ...]]
+    scores: list[float]
+    links: list[tuple[int, int] | None]  # (place, index there)
+
+    def best(self, width: int | None) -> list[int]:
+        """The indexes of the best ways, best first, earlier ones first among equals; all of them, as they are, without a width."""
+        return sorted(range(len(self.scores)), key=self.scores.__getitem__, reverse=True)[:width] if width else list(range(len(self.scores)))
+
+
 def decode(chars: str, model: LocalModel, config: DecoderConfig = DecoderConfig()) -> list[str]:
-    """The most probable words of a string; the state is the last order-1 words; ties keep the first."""
-    n, keep = len(chars), model.order - 1
-    if not n:
-        return []
-    columns: list[dict[tuple[str, ...], tuple[float, tuple[str, ...]]]] = [{} for _ in range(n + 1)]
-    columns[0][(BEGIN,) * keep] = (0.0, ())
-    memo: dict[tuple, float] = {}
-    for i in range(n):
-        live = sorted(columns[i].items(), key=lambda x: -x[1][0])[: config.beam_width] if config.beam_width else list(columns[i].items())
-        for size in range(1, min(config.max_word_len, n - i) + 1) if live else ():
-            word = chars[i : i + size]
-            if config.restrict_to_vocab and word not in model.known:
+    """The most probable words of a string; equal scores go to the split whose last word begins first.
+
+    best(j, tail) = max over i < j and heads of best(i, head) + log P(chars[i:j] | head): the places are filled from left to
+    right, each from the places up to a longest word before it, of which the beam keeps the best ways."""
+    keep = model.order - 1
+    places = [_Ends([(BEGIN,) * keep], [0.0], [None])]
+    kept = [[0]]
+    for j in range(1, len(chars) + 1):
+        found: dict[tuple[str, ...], tuple[float, tuple[int, int]]] = {}
+        for i in range(max(0, j - config.max_word_len), j):
+            word = chars[i:j]
+            is_known = word in model.known
+            if not kept[i] or config.restrict_to_vocab and not is_known:
                 continue
-            penalty = 0.0 if word in model.known else config.unk_penalty
-            for history, (score, words) in live:
-                key = (word, history)
-                if key not in memo:
-                    memo[key] = model.logprob(word, history) + penalty
-                total, state = score + memo[key], (*history, word)[-keep:]
-                if state not in columns[i + size] or total > columns[i + size][state][0]:
-                    columns[i + size][state] = (total, (*words, word))
-    if not columns[n]:
+            cost = 0.0 if is_known else config.unk_penalty
+            seen: dict[tuple[str, ...], float] = {}  # by what the model sees of the head
+            for at in kept[i]:
+                head = places[i].tails[at]
+                if head not in seen:
+                    seen[head] = model.logprob(word, head) + cost
+                score, tail = places[i].scores[at] + seen[head], (*head[1:], word) if keep else ()
+                if tail not in found or found[tail][0] < score:
+                    found[tail] = score, (i, at)
+        ends = _Ends(list(found), [x[0] for x in found.values()], [x[1] for x in found.values()])
+        places.append(ends)
+        kept.append(ends.best(config.beam_width))
+    last = places[-1]
+    if len(places) == 1:
+        return []
+    if not last.scores:
         return [chars]
-    return list(max(columns[n].items(), key=lambda x: x[1][0] + model.logprob(END, x[0]))[1][1])
+    at = max(range(len(last.scores)), key=lambda k: last.scores[k] + model.logprob(END, last.tails[k]))
+    words, j = [], len(chars)
+    while (link := places[j].links[at]) is not None:
+        words.append(chars[link[0] : j])
+        j, at = link
+    return words[::-1]
 
 
 #: N-grams that one local model may hold; more strings than that allows are decoded in several passes.

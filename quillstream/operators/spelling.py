@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.edits import corrupt, edits1, keyed_number, one_edit_apart, symdel_keys
 from ..functions.text import match_case, split_words, token_parts
-from .corpus import vocabulary
+from .corpus import rows_of
 
 KINDS = ("deletion", "insertion", "replacement", "transposition")
 
@@ -47,11 +47,9 @@ def candidates(queries: DataFrame, vocab: DataFrame, method: str = "B") -> DataF
 def test_words(w: DataFrame, vocab: DataFrame, nonwords: bool = True) -> DataFrame:
     """(doc_id, sent, i, kind, original, corrupted): from each sentence one word, with each kind of edit
     that can be made and that leaves the vocabulary (or, for real-word errors, stays in it)."""
-    size = W.partitionBy("doc_id", "sent")
-    chosen = w.withColumn("n", F.count("*").over(size)).where(
-        F.col("i") == keyed_number(F.col("doc_id"), F.col("sent"), F.lit("word")) % F.col("n") + 1
-    )
-    each = chosen.select("doc_id", "sent", "i", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"), F.col("word").alias("original"))
+    at = keyed_number(F.col("doc_id"), F.col("sent"), F.lit("word")) % F.size("words") + 1
+    chosen = rows_of(w).select("doc_id", "sent", at.cast("long").alias("i"), F.element_at("words", at.cast("int")).alias("original"))
+    each = chosen.select("doc_id", "sent", "i", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"), "original")
     key = keyed_number(F.col("doc_id"), F.col("sent"), F.col("kind"))
     made = each.withColumn("corrupted", corrupt(F.col("original"), F.col("kind"), key)).where("corrupted <> ''")
     return made.join(vocab.select(F.col("word").alias("corrupted")), "corrupted", "left_anti" if nonwords else "left_semi")
@@ -85,7 +83,10 @@ def correct_nonwords(tests: DataFrame, vocab: DataFrame, method: str = "B") -> D
 
 
 def bigram_counts(w: DataFrame) -> DataFrame:
-    """(w1, w2, cnt) of neighbours inside a sentence."""
+    """(w1, w2, cnt) of neighbours inside a sentence, of words() or word_rows()."""
+    if "words" in w.columns:
+        pair = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.element_at("words", i).alias("w1"), F.element_at("words", i + 1).alias("w2")))
+        return w.where(F.size("words") > 1).select(F.explode(pair).alias("p")).groupBy("p.w1", "p.w2").agg(F.count("*").alias("cnt"))
     pairs = w.select(F.col("word").alias("w1"), F.lead("word").over(W.partitionBy("doc_id", "sent").orderBy("i")).alias("w2"))
     return pairs.where("w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("cnt"))
 

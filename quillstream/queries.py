@@ -36,6 +36,11 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.words(_docs(spark, sf_dir))
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_words(), a row a sentence."""
+    return corpus.word_rows(_docs(spark, sf_dir))
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of the benchmark items."""
     return corpus.words(spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))
@@ -75,27 +80,22 @@ def unigrams(spark, sf_dir):
 
 @query
 def bigrams(spark, sf_dir):
-    return spelling.bigram_counts(_words(spark, sf_dir))
-
-
-def _histories(spark, sf_dir):
-    w = _words(spark, sf_dir)
-    return ngrams.histories(ngrams.closed(w, ngrams.known_words(w)))
+    return spelling.bigram_counts(_rows(spark, sf_dir))
 
 
 @query
 def ngram_counts_3(spark, sf_dir):
-    return ngrams.ngram_counts(_histories(spark, sf_dir), 3)
+    return ngrams.NgramModel(_rows(spark, sf_dir)).gram[3]
 
 
 @query
 def context_tables(spark, sf_dir):
-    return ngrams.context_tables(ngrams.ngram_counts(_histories(spark, sf_dir), 3), 3)
+    return ngrams.context_tables(ngrams.NgramModel(_rows(spark, sf_dir)).gram[3], 3)
 
 
 @query
 def kn_continuation(spark, sf_dir):
-    return ngrams.continuation_counts(ngrams.ngram_counts(_histories(spark, sf_dir), 3), 3)
+    return ngrams.continuation_counts(ngrams.NgramModel(_rows(spark, sf_dir)).gram[3], 3)
 
 
 @query
@@ -136,9 +136,9 @@ def symdel_candidates(spark, sf_dir):
 
 @query
 def correct_nonword(spark, sf_dir):
-    w = _words(spark, sf_dir)
-    vocab = corpus.vocabulary(w)
-    return spelling.correct_nonwords(spelling.test_words(w, vocab), vocab)
+    rows = _rows(spark, sf_dir)
+    vocab = corpus.vocabulary(rows).persist()  # read by the tests, the candidates and their ranking
+    return spelling.correct_nonwords(spelling.test_words(rows, vocab), vocab)
 
 
 @query
@@ -148,8 +148,8 @@ def spell_accuracy_by_edit(spark, sf_dir):
 
 
 def _real(spark, sf_dir):
-    w = _words(spark, sf_dir)
-    return spelling.realword_scores(_asked(spark, sf_dir), corpus.vocabulary(w), spelling.bigram_counts(w))
+    rows = _rows(spark, sf_dir)
+    return spelling.realword_scores(_asked(spark, sf_dir), corpus.vocabulary(rows).persist(), spelling.bigram_counts(rows))
 
 
 @query
@@ -181,7 +181,7 @@ def coverage(spark, sf_dir):
 
 
 def _looked_up(spark, sf_dir):
-    model = ngrams.NgramModel(_words(spark, sf_dir))
+    model = ngrams.NgramModel(_rows(spark, sf_dir))
     return model, model.looked_up(_asked(spark, sf_dir))
 
 
@@ -199,7 +199,7 @@ def lm_addk(spark, sf_dir):
 
 @query
 def lm_kneser_ney(spark, sf_dir):
-    model = ngrams.NgramModel(_words(spark, sf_dir))
+    model = ngrams.NgramModel(_rows(spark, sf_dir))
     return model.continuation_probability(_asked(spark, sf_dir)).select("h2", "h1", "word", "times", F.round(F.log("p"), 6).alias("logp"))
 
 
@@ -254,7 +254,7 @@ def _sentence_scores(model, text, smoothing, *keys):
 
 @query
 def window_perplexity(spark, sf_dir):
-    model = ngrams.NgramModel(_words(spark, sf_dir), k=0.001)
+    model = ngrams.NgramModel(_rows(spark, sf_dir), k=0.001)
     scored = _sentence_scores(model, _asked_windows(spark, sf_dir), "addk", "doc_id")
     return scored.select(F.col("doc_id").alias("key"), F.round(F.exp(-F.col("logp") / (F.col("n_words") + 1)), 4).alias("perplexity"))
 
@@ -269,8 +269,7 @@ def calibration_percentiles(spark, sf_dir):
 @query
 def lm_normalisation(spark, sf_dir):
     """The sum of P(word | context) over the vocabulary, for the contexts of the benchmark's first words."""
-    w = _words(spark, sf_dir)
-    model = ngrams.NgramModel(w, order=2)
+    model = ngrams.NgramModel(_rows(spark, sf_dir), order=2)
     contexts = _asked(spark, sf_dir).where("i = 1").join(model.known, "word", "left_semi").groupBy("word").count().orderBy(F.desc("count"), "word").limit(3)
     # Three contexts, a report's limit; every word of the vocabulary is summed for each.
     vocab = model.known.union(spark.createDataFrame([("<unk>",), ("</s>",)], "word string"))
@@ -285,7 +284,7 @@ def lm_normalisation(spark, sf_dir):
 def lm_open_vocab(spark, sf_dir):
     """Sentence log-probabilities in which an unknown word costs its spelling too."""
     w, asked = _words(spark, sf_dir), _asked(spark, sf_dir)
-    model = ngrams.NgramModel(w)
+    model = ngrams.NgramModel(_rows(spark, sf_dir))
     spelled = ngrams.spelled_out(asked, model.known, ngrams.char_bigrams(w), "doc_id", "sent")
     rows = _sentence_scores(model, asked, "witten_bell", "doc_id", "sent").join(spelled, ["doc_id", "sent"], "left")
     return rows.select("doc_id", "sent", "n_words", F.round(F.col("logp") + F.coalesce("char_logp", F.lit(0.0)), 5).alias("logp"))
@@ -530,8 +529,8 @@ FLOORS = {"bigram_p02": -9.0, "bigram_p10": -8.0, "trigram_p02": -9.5, "trigram_
 
 
 def _scored(spark, sf_dir, parsed):
-    asked, train = _asked(spark, sf_dir), _words(spark, sf_dir)
-    model = ngrams.NgramModel(train)
+    asked = _asked(spark, sf_dir)
+    model = ngrams.NgramModel(_rows(spark, sf_dir))
     two, three = (_sentence_scores(model, asked, s, "doc_id", "sent") for s in ("witten_bell", "addk"))
     known = ngrams.coverage(asked, model.known).select("doc_id", "sent", "coverage")
     rows = two.select("doc_id", "sent", "n_words", F.col("logp").alias("bigram_logp")).join(three.select("doc_id", "sent", F.col("logp").alias("trigram_logp")), ["doc_id", "sent"]).join(known, ["doc_id", "sent"])
