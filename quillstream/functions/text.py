@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACES = "[ \\n\\t\\r]+"
 
@@ -18,8 +22,16 @@ def clean_word(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), "[^\\p{L}]", "")
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Letters with marks as one character each (NFC), for which Spark has no function."""
+    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
 def normalise_form(form: Column, policy: str = "strip") -> Column:
-    """`strip` keeps the letters of a form, `drop` keeps only forms that are all letters (else empty)."""
+    """`strip` keeps the letters of a form, `drop` keeps only forms that are all letters (else empty); a letter and the mark
+    that follows it are one letter."""
+    form = composed(form)
     if policy == "strip":
         return clean_word(form)
     if policy == "drop":
@@ -65,3 +77,18 @@ def choose_method(parseable: Column, n_words: Column, per_word: Column, coverage
     return (
         F.when(parseable & (n_words <= longest) & (per_word >= floor), "pcfg").when(coverage >= least_coverage, "trigram").otherwise("bigram")
     )
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Makes the text functions known to SQL, as expressions that the optimizer sees through, and `composed` as a vectorised one."""
+    sql = {
+        "clean_word(token STRING)": r"regexp_replace(lower(token), '[^\\p{L}]', '')",
+        "is_valid_word(token STRING)": r"token RLIKE '^\\p{L}+$'",
+        "split_words(line STRING)": r"filter(split(coalesce(line, ''), '[ \\n\\t\\r]+'), t -> t <> '')",
+        "ends_sentence(token STRING)": r"token RLIKE '[.!?][\"\')\\]}]*$' AND length(regexp_replace(lower(token), '[^\\p{L}]', '')) > 1",
+    }
+    kinds = {"clean_word": "STRING", "is_valid_word": "BOOLEAN", "split_words": "ARRAY<STRING>", "ends_sentence": "BOOLEAN"}
+    for head, body in sql.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kinds[head.split('(')[0]]} RETURN {body}")
+    spark.udf.register("composed", composed)
+    return [*kinds, "composed"]

@@ -144,6 +144,14 @@ class NgramModel:
         return grams.withColumn("p", p)
 
 
+def sentence_scores(model: NgramModel, text: DataFrame, smoothing: str, *keys: str) -> DataFrame:
+    """(keys, logp, n_words): of each sentence of `text`, ends included in logp."""
+    looked = model.looked_up(text).withColumn("p", model.probability(smoothing))
+    h = histories(closed(text, model.known), model.order)
+    names = [*(f"h{k}" for k in range(model.order - 1, 0, -1)), "word"]
+    return h.join(looked.select(*names, "p"), names).groupBy(*keys).agg(F.sum(F.log("p")).alias("logp"), (F.count("*") - 1).alias("n_words"))
+
+
 def perplexity(scored: DataFrame) -> DataFrame:
     """One row from rows (p, times): tokens, log-probability and perplexity."""
     logp = F.sum(F.log("p") * F.col("times"))

@@ -94,6 +94,23 @@ def classifier(instances: DataFrame, c: float = 1.0, rounds: int = 100):
     return fitted
 
 
+def training_accuracy(model, instances: DataFrame) -> float:
+    """The share of the instances whose transition the classifier ranks first."""
+    rows = instances.groupBy("s0", "s1", "b0", "b1", "label").agg(F.count("*").cast("double").alias("weight"))
+    right = model.transform(rows).agg(F.sum(F.when(F.col("prediction") == F.col("y"), F.col("weight"))) / F.sum("weight")).first()[0]
+    return right or 0.0
+
+
+def save_classifier(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_classifier(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def _assembler(columns: list[str]):
     from pyspark.ml.feature import VectorAssembler
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.edits import corrupt, edits1, keyed_number, one_edit_apart, symdel_keys
 from ..functions.text import match_case, split_words, token_parts
-from .corpus import rows_of
+from .corpus import rows_of, vocabulary
 
 KINDS = ("deletion", "insertion", "replacement", "transposition")
 
@@ -129,6 +129,11 @@ def correct_realwords(scores: DataFrame, threshold: float = 1.1) -> DataFrame:
     return found.select(*key, "own_score", F.col("top.cand").alias("best"), F.col("top.score").alias("best_score"), F.when(gain, F.col("top.cand")).otherwise(F.col("word")).alias("corrected"))
 
 
+def create_corrector(train: DataFrame, method: str = "B", threshold: float = 1.1, k: float = 1.0) -> SpellingCorrector:
+    """A corrector with the vocabulary and the neighbours of a corpus, words() or word_rows()."""
+    return SpellingCorrector(vocabulary(train), bigram_counts(train), method, threshold, k)
+
+
 @dataclass(frozen=True)
 class SpellingCorrector:
     """Sentence correction: non-words first, then real words from left to right, each fix seen by the next."""

@@ -185,12 +185,14 @@ def viterbi(options: list[list[tuple[str, float]]], transition: dict[tuple[str,
 MAX_TRANSITIONS = 8_000_000
 
 
-def transition_dict(histories: DataFrame, weights: DataFrame) -> dict[tuple[str, str], dict[str, float]]:
-    """Log probabilities by context: both tags, the last alone as ('', tag), none as ('', '').  The size is checked."""
+def transition_dict(histories: DataFrame, weights: DataFrame, order: int = 3) -> dict[tuple[str, str], dict[str, float]]:
+    """Log probabilities by context: both tags (at order 3), the last alone as ('', tag), none as ('', '').  The size is checked."""
+    if order not in (2, 3):
+        raise ValueError(order)
     if histories.select("tag").distinct().count() ** 3 > MAX_TRANSITIONS:
         raise ValueError("the tagset is too large for a transition table")
     out: dict[tuple[str, str], dict[str, float]] = {}
-    for r in transition_table(histories, weights).where("p > 0").collect():
+    for r in transition_table(histories, weights).where("p > 0").collect() if order == 3 else ():
         out.setdefault((r.h2, r.h1), {})[r.tag] = math.log(r.p)
     w = {r.n: r.weight for r in weights.collect()}
     one = {r.tag: r.cnt for r in tag_ngrams(histories, 1).collect()}
@@ -205,10 +207,11 @@ def transition_dict(histories: DataFrame, weights: DataFrame) -> dict[tuple[str,
     return out
 
 
-def viterbi_tags(words: DataFrame, tagged: DataFrame, beam: int | None = None) -> DataFrame:
-    """(doc_id, sent, i, word, pred): options joined for each distinct word, one pass of Python a sentence."""
+def viterbi_tags(words: DataFrame, tagged: DataFrame, beam: int | None = None, order: int = 3) -> DataFrame:
+    """(doc_id, sent, i, word, pred): options joined for each distinct word, one pass of Python a sentence; a tag
+    depends on the order-1 before it."""
     histories = summarised(tag_histories(tagged))
-    table = transition_dict(histories, interpolation_weights(histories))
+    table = transition_dict(histories, interpolation_weights(histories), order)
     often = histories.where(F.col("tag") != END).groupBy("tag").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "tag").first()
     default = often["tag"] if often else "NOUN"
     joined = words.join(word_candidates(words, tagged), "word", "left")
@@ -226,6 +229,17 @@ def viterbi_tags(words: DataFrame, tagged: DataFrame, beam: int | None = None) -
     return tagged_rows.select("doc_id", "sent", F.explode(F.arrays_zip("i", "word", "pred")).alias("x")).select("doc_id", "sent", "x.i", "x.word", "x.pred")
 
 
+def choose_order(dev: DataFrame, train: DataFrame, orders: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """(n, accuracy, chosen): how well each order tags the words of `dev`; the best is chosen, the higher among equals."""
+    gold = dev.select("doc_id", "sent", "i", "tag")
+    found = []
+    for n in orders:
+        right = viterbi_tags(dev, train, order=n).join(gold, ["doc_id", "sent", "i"]).agg(F.avg((F.col("tag") == F.col("pred")).cast("double"))).first()[0]
+        found.append((n, round(right or 0.0, 6)))
+    best = max(found, key=lambda x: (x[1], x[0]))[0]
+    return dev.sparkSession.createDataFrame([(n, a, n == best) for n, a in found], "n int, accuracy double, chosen boolean")
+
+
 def sequence_logprob(tagged: DataFrame, train: DataFrame) -> DataFrame:
     """(doc_id, sent, logp, n_unseen): the joint log-probability of words and tags, as joins; pairs never seen and contexts
     never seen are counted and not scored."""

@@ -337,10 +337,6 @@ em AS (SELECT tag, word, count(*) AS cnt FROM tg GROUP BY ALL), et AS (SELECT ta
 SELECT t AS tag, count(*) FILTER (pre.tag = t) AS n_gold, count(*) FILTER (pred = t) AS n_pred, count(*) FILTER (pre.tag = t AND pred = t) AS n_right FROM pre, (SELECT tag AS t FROM pre UNION SELECT pred FROM pre) GROUP BY t))""",
         TG, BENCH, BG, BASELINE,
     ),
-    "confusion_square": corpus(
-        """SELECT tag AS gold, count(*) FILTER (pred = 'NOUN') AS "as_NOUN", count(*) FILTER (pred = 'VERB') AS "as_VERB", count(*) FILTER (pred = 'ADJ') AS "as_ADJ", count(*) FILTER (pred NOT IN ('NOUN', 'VERB', 'ADJ')) AS other, round(avg((pred = tag)::INT), 6) AS recall
-FROM pre WHERE tag IN ('NOUN', 'VERB', 'ADJ') GROUP BY tag""", TG, BENCH, BG, BASELINE
-    ),
     "agreement": corpus(
         """SELECT context, count(*) AS n_pairs, count(*) FILTER (ok) AS n_reproduced, count(*) FILTER (ok AND rgt) AS n_correct FROM (
 SELECT tag || '+' || rtag AS context, (gs IS NULL OR coalesce(pg = rpg, false)) AND (ns IS NULL OR coalesce(pn = rpn, false)) AS ok, (gs IS NULL OR coalesce(pg = gs, false)) AND (ns IS NULL OR coalesce(pn = ns, false)) AS rgt
@@ -370,11 +366,9 @@ FROM (SELECT *, CASE WHEN coalesce(lead(length(word)) OVER (PARTITION BY doc_id,
     "method_choice": corpus(
         f"SELECT id, n_words, round(bp, 4) AS bigram_per_word, round(tp, 4) AS trigram_per_word, round(cov, 6) AS coverage, CASE WHEN cov >= 0.8 THEN 'trigram' ELSE 'bigram' END AS method, {VERDICT} AS verdict FROM ({METHOD})", *METHOD_CTES
     ),
-    "agreement_2x2": corpus(
-        f"""SELECT count(*) AS sentences, count(*) FILTER (f AND v) AS both_flagged, count(*) FILTER (f AND NOT v) AS live_only, count(*) FILTER (NOT f AND v) AS final_only, count(*) FILTER (NOT f AND NOT v) AS neither,
-  round(count(*) FILTER (f = v) / count(*), 6) AS agreement FROM (SELECT cov < 0.9 AS f, {VERDICT} <> 'grammatical' AS v FROM ({METHOD}))""", *METHOD_CTES
-    ),
-    "count_triggers": f"SELECT doc_id, count(*) AS n_tokens, (count(*) // 10)::BIGINT AS n_triggers, count(DISTINCT sent) AS n_sentences FROM ({SQL['merge_injection']}) GROUP BY doc_id",
+    "count_triggers": f"""WITH s AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY sent, k) AS ord, dense_rank() OVER (PARTITION BY doc_id ORDER BY sent) - 1 AS d,
+  k = max(k) OVER (PARTITION BY doc_id, sent) AS last FROM ({SQL['merge_injection']}))
+SELECT doc_id, ord // 10 AS trigger, d + last::INT AS sent, words FROM (SELECT *, array_to_string(list(token) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ' ') AS words FROM s) WHERE ord % 10 = 0""",
     "merge_sweep": "SELECT share, n_tokens, n_merged FROM (" + " UNION ALL ".join(
         f"SELECT {s}::DOUBLE AS share, count(*) AS n_tokens, sum(merged - 1)::BIGINT AS n_merged FROM ({SQL['merge_injection'].replace(str(int(0.08 * (1 << 28))), str(int(s * (1 << 28))))})" for s in (0.0, 0.04, 0.08, 0.16)
     ) + ")",
@@ -383,6 +377,31 @@ FROM (SELECT *, CASE WHEN coalesce(lead(length(word)) OVER (PARTITION BY doc_id,
     ),
 }
 
+_WREAL = tuple(x.replace("FROM bw", "FROM wx") for x in REAL)
+_WALERTS = (VOCAB, BENCH, GRAMS, WINDOWS, scoring("wx"), _sentence("addk", "0.001::DOUBLE", "sl", "th", "doc_id"), f"ppl AS ({PPL})", *_WREAL, """lev AS (SELECT perplexity AS level FROM
+  (SELECT perplexity, row_number() OVER (ORDER BY perplexity) - 1 AS r FROM ppl) WHERE r = round_even(0.95::DOUBLE * ((SELECT count(*) FROM ppl) - 1), 0)),
+fix AS (SELECT doc_id AS key, count(*) AS n FROM best WHERE round(top.s - own_score, 9) > 2.0 GROUP BY doc_id),
+wal AS (SELECT key, perplexity, coalesce(n, 0) AS n_fixes, perplexity > level OR coalesce(n, 0) > 0 AS fired FROM ppl LEFT JOIN fix USING (key), lev)""")
+SQL["window_alerts"] = corpus("SELECT * FROM wal", *_WALERTS)
+SQL["window_agreement"] = f"""SELECT count(*) AS sentences, count(*) FILTER (f AND v) AS both_flagged, count(*) FILTER (f AND NOT v) AS live_only, count(*) FILTER (NOT f AND v) AS final_only, count(*) FILTER (NOT f AND NOT v) AS neither,
+  round(count(*) FILTER (f = v) / count(*), 6) AS agreement FROM (SELECT coalesce(f, false) AS f, v FROM ({corpus(f"SELECT id, {VERDICT} <> 'grammatical' AS v FROM ({METHOD})", *METHOD_CTES)})
+  LEFT JOIN (SELECT regexp_extract(key, '^(.*)/[0-9]+$', 1) AS id, bool_or(fired) AS f FROM ({SQL["window_alerts"]}) GROUP BY 1) USING (id))"""
+_TOP = "top3 AS (SELECT tag AS t, row_number() OVER (ORDER BY count(*) DESC, tag) AS r FROM pre GROUP BY tag ORDER BY r LIMIT 3)"
+SQL["confusion_square"] = corpus(
+    "SELECT tag AS gold, " + ", ".join(f"count(*) FILTER (pred = (SELECT t FROM top3 WHERE r = {k})) AS as_rank_{k}" for k in (1, 2, 3))
+    + ", count(*) FILTER (pred NOT IN (SELECT t FROM top3)) AS other, round(avg((pred = tag)::INT), 6) AS recall FROM pre WHERE tag IN (SELECT t FROM top3) GROUP BY tag",
+    TG, BENCH, BG, BASELINE, _TOP,
+)
+SQL["most_confused"] = f"SELECT * FROM ({SQL['confusion']}) WHERE gold <> pred ORDER BY cnt DESC, gold, pred LIMIT 10"
+SQL["weakest_tags"] = f"SELECT * FROM ({SQL['confusion_matrix_rows']}) WHERE n_gold >= 20 ORDER BY f1, tag LIMIT 8"
+SQL["error_examples"] = f"SELECT doc_id, sent, i, word, tag, pred FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY doc_id, sent, i) AS r FROM ({SQL['baseline_tags']}) WHERE pred <> tag) WHERE r <= 3"
+SQL["sampled_documents"] = "SELECT doc_id, lang, '0.50%' AS share FROM documents ORDER BY md5(doc_id || '|42'), doc_id LIMIT 200"
+SQL["sample_reachability"] = corpus(
+    """SELECT chars, array_to_string(list_sort(list_distinct(list(word))), ' ') AS missing FROM (SELECT DISTINCT chars, ws, unnest(l) AS word FROM (
+  SELECT string_agg(word, '' ORDER BY i) AS chars, string_agg(word, ' ' ORDER BY i) AS ws, list(word) AS l FROM bw GROUP BY doc_id, sent))
+WHERE word NOT IN (SELECT word FROM known) OR length(word) > 20 GROUP BY chars""", BENCH, GRAMS
+)
+
 SPELLED = f"""cb AS ({SQL['char_bigrams'].rpartition("AS (SELECT word, count(*) AS cnt FROM w GROUP BY word)")[2]}),
 ctot AS (SELECT prev, sum(cnt) AS total FROM cb GROUP BY prev), csz AS (SELECT count(DISTINCT ch) FILTER (ch <> '</s>') + 1 AS cv FROM cb),
 unk AS (SELECT DISTINCT word FROM bw WHERE word NOT IN (SELECT word FROM known)),

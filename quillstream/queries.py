@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import tags
 from .functions.text import is_valid_word, match_case, token_parts
-from .operators import analysis, corpus, grammar, ngrams, parsing, segmentation, spelling, tagging
+from .operators import analysis, checks, corpus, grammar, ngrams, parsing, reports, segmentation, spelling, tagging
 from .oracle import SQL, notation_sql
 from .plans import experiments, pseudo_gold
 from .sources.corpora import corpus_stats as stats_of
@@ -245,17 +246,10 @@ def _asked_windows(spark, sf_dir):
     return w.select("key", F.posexplode("words").alias("k", "word")).select(F.col("key").alias("doc_id"), F.lit(0).alias("sent"), (F.col("k") + 1).alias("i"), "word")
 
 
-def _sentence_scores(model, text, smoothing, *keys):
-    """(keys, logp): of each sentence of `text`, ends included."""
-    looked = model.looked_up(text).withColumn("p", model.probability(smoothing))
-    h = ngrams.histories(ngrams.closed(text, model.known), model.order)
-    return h.join(looked.select("h2", "h1", "word", "p"), ["h2", "h1", "word"]).groupBy(*keys).agg(F.sum(F.log("p")).alias("logp"), (F.count("*") - 1).alias("n_words"))
-
-
 @query
 def window_perplexity(spark, sf_dir):
     model = ngrams.NgramModel(_rows(spark, sf_dir), k=0.001)
-    scored = _sentence_scores(model, _asked_windows(spark, sf_dir), "addk", "doc_id")
+    scored = ngrams.sentence_scores(model, _asked_windows(spark, sf_dir), "addk", "doc_id")
     return scored.select(F.col("doc_id").alias("key"), F.round(F.exp(-F.col("logp") / (F.col("n_words") + 1)), 4).alias("perplexity"))
 
 
@@ -286,7 +280,7 @@ def lm_open_vocab(spark, sf_dir):
     w, asked = _words(spark, sf_dir), _asked(spark, sf_dir)
     model = ngrams.NgramModel(_rows(spark, sf_dir))
     spelled = ngrams.spelled_out(asked, model.known, ngrams.char_bigrams(w), "doc_id", "sent")
-    rows = _sentence_scores(model, asked, "witten_bell", "doc_id", "sent").join(spelled, ["doc_id", "sent"], "left")
+    rows = ngrams.sentence_scores(model, asked, "witten_bell", "doc_id", "sent").join(spelled, ["doc_id", "sent"], "left")
     return rows.select("doc_id", "sent", "n_words", F.round(F.col("logp") + F.coalesce("char_logp", F.lit(0.0)), 5).alias("logp"))
 
 
@@ -446,7 +440,55 @@ def confusion_matrix_rows(spark, sf_dir):
 
 @query
 def confusion_square(spark, sf_dir):
-    return tagging.confusion_square(_baseline(spark, sf_dir), ["NOUN", "VERB", "ADJ"])
+    """The three most frequent gold tags against each other, columns in their order."""
+    predicted = _baseline(spark, sf_dir)
+    top = reports.common_tags(tagging.confusion(predicted), 3)
+    return tagging.confusion_square(predicted, top).withColumnsRenamed({f"as_{t}": f"as_rank_{k + 1}" for k, t in enumerate(top)})
+
+
+@query
+def most_confused(spark, sf_dir):
+    return reports.most_confused(tagging.confusion(_baseline(spark, sf_dir)))
+
+
+@query
+def weakest_tags(spark, sf_dir):
+    return reports.weakest(tagging.confusion_rows(_baseline(spark, sf_dir)))
+
+
+@query
+def error_examples(spark, sf_dir):
+    """Three wrongly tagged words of each gold tag."""
+    wrong = _baseline(spark, sf_dir).where("pred <> tag").select("doc_id", "sent", "i", "word", "tag", "pred")
+    return reports.examples(wrong, "tag", F.struct("doc_id", "sent", "i"))
+
+
+@query
+def sampled_documents(spark, sf_dir):
+    """A dev sample of 200 documents and how it would be shown."""
+    rows = reports.draw(_docs(spark, sf_dir).select("doc_id", "lang"), 200, "doc_id")
+    return rows.select("doc_id", "lang", reports.percent(F.lit(1.0) / 200).alias("share"))
+
+
+@query
+def sample_reachability(spark, sf_dir):
+    """Words of the benchmark's sentences that no segmentation over the known words can give back."""
+    rows = _strings(_asked(spark, sf_dir)).join(corpus.rows_of(_asked(spark, sf_dir)), ["doc_id", "sent"])
+    strings = rows.select("chars", F.array_join("words", " ").alias("words")).distinct()
+    return reports.unreachable(strings, ngrams.known_words(_words(spark, sf_dir)))
+
+
+@query
+def tagger_order(spark, sf_dir):
+    return tagging.choose_order(_asked_gold(spark, sf_dir), _gold(spark, sf_dir))
+
+
+@query
+def viterbi_scores(spark, sf_dir):
+    """tag_scores() of the Viterbi tagger."""
+    gold = _asked_gold(spark, sf_dir).select("doc_id", "sent", "i", "tag")
+    predicted = viterbi_tags(spark, sf_dir).join(gold, ["doc_id", "sent", "i"])
+    return tagging.tag_scores(predicted, _words(spark, sf_dir).select("word").distinct())
 
 
 @query
@@ -528,10 +570,10 @@ def cky_relational(spark, sf_dir):
 FLOORS = {"bigram_p02": -9.0, "bigram_p10": -8.0, "trigram_p02": -9.5, "trigram_p10": -8.5, "pcfg_p02": -9.107, "pcfg_p10": -7.812}
 
 
-def _scored(spark, sf_dir, parsed):
-    asked = _asked(spark, sf_dir)
+def _scored(spark, sf_dir, parsed, asked=None):
+    asked = _asked(spark, sf_dir) if asked is None else asked
     model = ngrams.NgramModel(_rows(spark, sf_dir))
-    two, three = (_sentence_scores(model, asked, s, "doc_id", "sent") for s in ("witten_bell", "addk"))
+    two, three = (ngrams.sentence_scores(model, asked, s, "doc_id", "sent") for s in ("witten_bell", "addk"))
     known = ngrams.coverage(asked, model.known).select("doc_id", "sent", "coverage")
     rows = two.select("doc_id", "sent", "n_words", F.col("logp").alias("bigram_logp")).join(three.select("doc_id", "sent", F.col("logp").alias("trigram_logp")), ["doc_id", "sent"]).join(known, ["doc_id", "sent"])
     rows = rows.withColumn("id", F.concat_ws("/", "doc_id", "sent"))
@@ -570,29 +612,87 @@ def tag_improvement(spark, sf_dir):
     return analysis.improvement(rows.select(F.lit("tag accuracy").alias("metric"), "baseline", "model"))
 
 
+def _pcfg_floors(spark, sf_dir, parsed):
+    tags = viterbi_tags(spark, sf_dir).withColumnRenamed("pred", "p").join(_asked_gold(spark, sf_dir).select("doc_id", "sent", "i", "tag"), ["doc_id", "sent", "i"])
+    return checks.grammar_floors(parsed, tags.select(F.concat_ws("/", "doc_id", "sent").alias("id"), "tag", F.col("p").alias("pred")))
+
+
+@query
+def pcfg_floors(spark, sf_dir):
+    """The levels of the grammar's verdicts, from the parses of the benchmark, with the parse rate and the tagger's agreement."""
+    found = _pcfg_floors(spark, sf_dir, cky_parse(spark, sf_dir).persist())
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double").withColumn("value", F.round("value", 6))
+
+
 @query
 def summary_table(spark, sf_dir):
-    return analysis.summary(analysis.judge(_scored(spark, sf_dir, cky_parse(spark, sf_dir)), FLOORS))
+    """The end-of-passage table, judged by the levels of its own text."""
+    parsed = cky_parse(spark, sf_dir).persist()
+    scored = _scored(spark, sf_dir, parsed).persist()
+    floors = checks.language_floors(analysis.judge(scored, FLOORS)) | checks.grammar_floors(parsed, spark.createDataFrame([], "id string, tag string, pred string"))
+    return analysis.summary(analysis.judge(scored, floors))
+
+
+def _window_scores(spark, sf_dir, windows):
+    rows = _rows(spark, sf_dir)
+    return checks.window_scores(windows, ngrams.NgramModel(rows, k=0.001), corpus.vocabulary(rows).persist(), spelling.bigram_counts(rows)).withColumn("perplexity", F.round("perplexity", 4))
 
 
 @query
-def agreement_2x2(spark, sf_dir):
+def window_alerts(spark, sf_dir):
+    """The grammar check of every window of ten benchmark words, at the level that one in twenty exceeds."""
+    windows = ngrams.windows(_asked(spark, sf_dir), 10).select(F.concat_ws("/", "doc_id", "sent", "i").alias("key"), "words")
+    scored = _window_scores(spark, sf_dir, windows).persist()
+    return checks.fired(scored, checks.window_threshold(scored))
+
+
+@query
+def window_agreement(spark, sf_dir):
+    """Sentences with a window that fired against their final verdict."""
+    flags = window_alerts(spark, sf_dir).withColumn("id", F.regexp_extract("key", "^(.*)/[0-9]+$", 1)).groupBy("id").agg(F.bool_or("fired").alias("flagged"))
     judged = analysis.judge(_scored(spark, sf_dir, None), FLOORS)
-    return analysis.compare_live(judged, judged.select("id", (F.col("coverage") < 0.9).alias("flagged")))
+    flags = judged.select("id").join(flags, "id", "left").select("id", F.coalesce("flagged", F.lit(False)).alias("flagged"))
+    return analysis.compare_live(judged, flags)
 
 
 @query
 def count_triggers(spark, sf_dir):
-    """How often a check every ten words fires in each document's stream."""
+    """(doc_id, trigger, sent, words): the window of the last ten words at every tenth, and the sentence open then."""
     stream = live.token_stream(_docs(spark, sf_dir))
-    return stream.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.floor(F.count("*") / 10).alias("n_triggers"), F.count_if("ends").alias("n_sentences"))
+    windows = live.run_batch(stream, live.plain_tokens(stream)).where("kind = 'WINDOW'")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))
+    return windows.select("doc_id", place.cast("long").alias("trigger"), "sent", "words")
 
 
-@query
-def live_alerts(spark, sf_dir):
+def _live_events(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
     stream = live.token_stream(items)
-    return live.run_batch(stream, live.check_tokens(stream, _words(spark, sf_dir)))
+    events = live.run_batch(stream, live.check_tokens(stream, _words(spark, sf_dir))).persist()
+    windows = live.windows_of(events)
+    clean = ngrams.windows(_asked(spark, sf_dir), 10).select(F.concat_ws("/", F.lit("clean"), "doc_id", "sent", "i").alias("key"), "words")
+    scored = _window_scores(spark, sf_dir, windows.select("key", "words").union(clean)).persist()
+    is_clean = F.startswith("key", F.lit("clean/"))
+    return live.with_grammar(events, checks.fired(scored.where(~is_clean), checks.window_threshold(scored.where(is_clean))))
+
+
+@query
+def live_alerts(spark, sf_dir):
+    """All events of the benchmark's stream: token alerts, windows, grammar alerts at the level of clean windows, and sentences."""
+    return _live_events(spark, sf_dir)
+
+
+@query
+def alert_counters(spark, sf_dir):
+    return live.alert_counts(_live_events(spark, sf_dir))
+
+
+@query
+def agreement_2x2(spark, sf_dir):
+    """The flags that the live stream set against the verdicts on its finished sentences."""
+    flags = live.sentence_flags(_live_events(spark, sf_dir)).persist()
+    text = flags.select("doc_id", "sent", F.posexplode(F.split("words", " ")).alias("at", "word")).select("doc_id", "sent", (F.col("at") + 1).cast("long").alias("i"), "word")
+    judged = analysis.judge(_scored(spark, sf_dir, None, text), FLOORS)
+    return analysis.compare_live(judged, flags.select(F.concat_ws("/", "doc_id", "sent").alias("id"), "flagged"))
 
 
 @query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,17 @@ def corpus_stats(raw: DataFrame, longest: int = 25, dropped: tuple[str, ...] = (
     return rows.agg(F.count("*").alias("n_raw"), is_("kept"), is_("empty"), is_("too_long"), is_("dropped_tag"), F.count_if((F.col("r") == "kept") & F.col("altered")).alias("n_altered"))
 
 
+def read_lines(spark: SparkSession, lines: Iterable[str], stop: str = "exit") -> DataFrame:
+    """(id, text) of typed lines up to the stop word, in any case, or the end; blank lines are passed over."""
+    kept = []
+    for line in lines:
+        if line.strip().lower() == stop:
+            break
+        if line.strip():
+            kept.append((len(kept), line.strip()))
+    return spark.createDataFrame(kept, "id long, text string")
+
+
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """(tree): one bracketed tree a line."""
     return spark.read.text(path).select(F.trim("value").alias("tree")).where("tree <> ''")
@@ -97,6 +108,14 @@ class ModelStore:
             build().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def load_first(self, name: str, owners: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+        """The table of the first owner's folder that has it, else of this store, else built into this store; an owner's
+        folder is never written to."""
+        for root in owners:
+            if self._exists(f"{root.rstrip('/')}/{name}/_SUCCESS"):
+                return self.spark.read.parquet(f"{root.rstrip('/')}/{name}")
+        return self.load_or_build(name, build)
+
     def save_params(self, name: str, params: dict) -> None:
         self.spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}.params")
 
@@ -105,10 +124,14 @@ class ModelStore:
 
 
 def write_report(df: DataFrame, path: str, title: str = "", limit: int = 1000) -> str:
-    """A table as aligned text, written to one file through Spark; `limit` rows at most, as reports are for reading."""
-    rows = [[str(x) for x in r] for r in df.limit(limit).collect()]
+    """A table as aligned text, written to one file through Spark; `limit` rows at most, as reports are for reading, and a
+    last line that says so where rows are left out."""
+    rows = [[str(x) for x in r] for r in df.limit(limit + 1).collect()]
+    more, rows = len(rows) > limit, rows[:limit]
     widths = [max(len(c), *(len(r[k]) for r in rows)) if rows else len(c) for k, c in enumerate(df.columns)]
     lines = [title] if title else []
     lines += ["  ".join(c.ljust(w) for c, w in zip(line, widths, strict=True)).rstrip() for line in [df.columns, *rows]]
+    if more:
+        lines.append(f"... the first {limit} rows only")
     df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return "\n".join(lines)

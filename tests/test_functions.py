@@ -80,3 +80,14 @@ def test_corruptions_are_one_edit(spark):
     for kind in ("deletion", "insertion", "replacement", "transposition"):
         rows = df.select("w", edits.corrupt(F.col("w"), F.lit(kind), edits.keyed_number(F.col("w"), F.col("k"))).alias("c")).where("c is not null")
         assert rows.where((F.col("c") == F.col("w")) | ~edits.one_edit_apart(F.col("w"), F.col("c"))).count() == 0
+
+
+def test_a_letter_and_its_mark_are_one_letter(spark):
+    df = spark.createDataFrame([("café!",), ("café",), (None,)], "x string")
+    assert [r[0] for r in df.select(text.normalise_form(F.col("x"))).collect()] == ["café", "café", None]
+
+
+def test_functions_are_known_to_sql(spark):
+    assert "clean_word" in text.register_functions(spark)
+    row = spark.sql("SELECT clean_word(\"Don't\"), is_valid_word('abc'), size(split_words(' a b ')), ends_sentence('end.'), ends_sentence('J.')").first()
+    assert tuple(row) == ("dont", True, 2, True, False)

@@ -213,3 +213,76 @@ def test_sentences_are_cut_in_the_row(spark):
     found = corpus.sentences(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "pos").collect()
     assert [(r.doc_id, r.pos, r.sent) for r in found if r.doc_id == 1] == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 1), (1, 5, 1), (1, 6, 2), (1, 7, 2), (1, 8, 2), (1, 9, 2)]
     assert [(r.doc_id, r.sent) for r in found if r.doc_id > 1] == [(4, 0), (4, 0), (5, 0), (5, 1), (5, 1)]
+
+
+def window_model(spark):
+    from quillstream.operators import checks
+
+    rows = spark.createDataFrame([(k, 0, s.split()) for k, s in enumerate(["the cat sat on the mat"] * 20 + ["the dog ran to the house"] * 20 + ["the cut hurt him"] * 3)], "doc_id long, sent int, words array<string>")
+    return checks, rows, ngrams.NgramModel(rows, k=0.001)
+
+
+def test_a_window_fires_on_odd_words_and_on_real_word_errors(spark):
+    checks, rows, model = window_model(spark)
+    windows = spark.createDataFrame([("clean", "the cat sat on the mat".split()), ("odd", "mat on to sat ran the".split()), ("real", "the cut sat on the mat".split()), ("none", [])], "key string, words array<string>")
+    scored = checks.window_scores(windows, model, corpus.vocabulary(rows), spelling.bigram_counts(rows)).persist()
+    got = {r.key: r for r in scored.collect()}
+    assert set(got) == {"clean", "odd", "real"} and got["odd"].perplexity > 5 * got["clean"].perplexity
+    assert got["clean"].n_fixes == 0 and got["real"].n_fixes == 1
+    by = {r.key: r.fired for r in checks.fired(scored, got["real"].perplexity + 1).collect()}
+    assert by == {"clean": False, "odd": True, "real": True}
+    assert checks.window_threshold(scored) == max(r.perplexity for r in got.values()) and checks.window_threshold(scored.limit(0)) == float("inf")
+
+
+def test_ngram_counts_are_those_of_tokens(spark):
+    rows = spark.createDataFrame([(1, 0, "a b a c".split()), (1, 1, ["b"]), (2, 0, "a a b d".split())], "doc_id long, sent int, words array<string>")
+    tokens = rows.select("doc_id", "sent", F.posexplode("words").alias("at", "word")).select("doc_id", "sent", (F.col("at") + 1).alias("i"), "word")
+    model = ngrams.NgramModel(rows)
+    h = ngrams.histories(ngrams.closed(tokens, model.known))
+    for n in (1, 2, 3):
+        cols = [*(f"h{k}" for k in range(n - 1, 0, -1)), "word", "cnt"]
+        assert sorted(tuple(r) for r in model.gram[n].select(cols).collect()) == sorted(tuple(r) for r in ngrams.ngram_counts(h, n).select(cols).collect())
+    again = ngrams.NgramModel(tokens)
+    assert sorted(map(tuple, again.gram[3].collect())) == sorted(map(tuple, model.gram[3].collect()))
+
+
+def test_small_reports(spark):
+    from quillstream.operators import reports
+
+    cells = spark.createDataFrame([("N", "N", 9), ("N", "V", 4), ("V", "N", 4), ("V", "V", 2), ("A", "N", 1)], "gold string, pred string, cnt long")
+    assert [tuple(r) for r in reports.most_confused(cells, 2).collect()] == [("N", "V", 4), ("V", "N", 4)] and reports.common_tags(cells, 2) == ["N", "V"]
+    rows = spark.createDataFrame([("a", 30, 0.5), ("b", 10, 0.1), ("c", 20, 0.5), ("d", 25, 0.2)], "tag string, n_gold long, f1 double")
+    assert [r.tag for r in reports.weakest(rows, 20, 2).collect()] == ["d", "a"]
+    t = spark.createDataFrame([(float(k),) for k in range(1, 101)] + [(None,)], "ms double")
+    assert tuple(reports.latency(t).first()) == (100, 50.5, 95.0, 100.0) and tuple(reports.latency(t.limit(0)).first()) == (0, None, None, None)
+    two = spark.createDataFrame([(1, ["a", "b"], ["a", "x"])], "id int, o array<string>, n array<string>")
+    assert two.select(reports.highlighted(F.col("o"), F.col("n"))).first()[0] == "a [x]" and [tuple(r) for r in reports.changes(two, "id", "o", "n").collect()] == [(1, 2, "b", "x")]
+    assert spark.range(1).select(reports.percent(F.lit(0.95611))).first()[0] == "95.61%"
+    sents = spark.createDataFrame([(k, ["w"] * k) for k in range(40)], "id int, words array<string>")
+    got = [r.id for r in reports.sampled_lengths(sents, 5).collect()]
+    assert len(set(got)) == 5 and all(3 <= k <= 25 for k in got) and got == [r.id for r in reports.sampled_lengths(sents, 5).collect()]
+    strings = spark.createDataFrame([("abc", "a bc"), ("xy", "x y"), ("q", "q")], "chars string, words string")
+    vocab = spark.createDataFrame([("a",), ("bc",), ("x",)], "word string")
+    assert sorted(tuple(r) for r in reports.unreachable(strings, vocab).collect()) == [("q", "q"), ("xy", "y")]
+
+
+def test_order_of_the_tagger_and_its_choice(spark):
+    rows = [(k, 0, i + 1, w, t) for k in range(12) for i, (w, t) in enumerate([("the", "DET"), ("dog", "NOUN"), ("runs", "VERB")])]
+    tagged = spark.createDataFrame(rows, "doc_id long, sent long, i int, word string, tag string")
+    chosen = tagging.choose_order(tagged, tagged).collect()
+    assert [(r.n, r.accuracy, r.chosen) for r in chosen] == [(2, 1.0, False), (3, 1.0, True)]
+    with pytest.raises(ValueError):
+        tagging.viterbi_tags(tagged, tagged, order=4)
+
+
+def test_floors_are_merged_and_read(spark, tmp_path):
+    from quillstream.operators import checks
+
+    path = str(tmp_path / "floors")
+    assert checks.read_floors(spark, path) == {}
+    checks.write_floors(spark, path, {"a": 1.0, "b": 2.0})
+    assert checks.write_floors(spark, path, {"b": 3.0}) == {"a": 1.0, "b": 3.0} == checks.read_floors(spark, str(tmp_path / "none"), path)
+    parsed = spark.createDataFrame([("1", 3, -8.0), ("2", 3, None), ("3", 30, None), ("4", 4, -5.0)], "id string, n_words int, logp double")
+    tags = spark.createDataFrame([("1", "A", "A"), ("2", "A", "B"), ("3", "A", "B")], "id string, tag string, pred string")
+    got = checks.grammar_floors(parsed, tags)
+    assert (got["pcfg_p02"], got["pcfg_median"], got["n_sampled"], got["tag_agreement"]) == (-2.0, -2.0, 3.0, 0.5) and got["parse_rate"] == pytest.approx(2 / 3)

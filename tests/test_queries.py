@@ -8,7 +8,7 @@ import pytest
 from quillstream import queries as register
 
 SF = "/root/testdata/sf0.001"
-FEW = ["gold_spans", "bigrams", "kn_continuation", "symdel_candidates", "deleted_interpolation", "transition_prob", "pcfg_rules", "brown_tag_map", "agreement", "merge_injection", "benchmark_words", "tumbling_windows", "lm_open_vocab"]
+FEW = ["gold_spans", "bigrams", "kn_continuation", "symdel_candidates", "deleted_interpolation", "transition_prob", "pcfg_rules", "brown_tag_map", "agreement", "merge_injection", "benchmark_words", "tumbling_windows", "lm_open_vocab", "lm_witten_bell", "correct_nonword", "count_triggers", "window_alerts", "window_agreement", "confusion_square", "most_confused", "weakest_tags", "error_examples", "sampled_documents", "sample_reachability"]
 NAMES = sorted(register.oracle_sql()) if os.environ.get("QUILLSTREAM_ALL") else FEW
 
 
@@ -50,7 +50,7 @@ def test_candidates_of_all_words_are_the_a_to_z_edits(spark, duck):
 
 def test_every_query_that_sql_can_express_has_sql():
     without = set(register.queries()) - set(register.oracle_sql())
-    assert without == {"correct_sentence", "dp_segment", "viterbi_tags", "oracle_transitions", "transition_histogram", "dependency_parse", "cky_parse", "summary_table", "live_alerts"}
+    assert without == {"correct_sentence", "dp_segment", "viterbi_tags", "oracle_transitions", "transition_histogram", "dependency_parse", "cky_parse", "summary_table", "live_alerts", "alert_counters", "agreement_2x2", "pcfg_floors", "tagger_order", "viterbi_scores"}
 
 
 def test_entry_imports_without_the_training_data_part(monkeypatch):

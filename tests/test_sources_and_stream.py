@@ -86,3 +86,42 @@ def test_one_trigger_for_a_token_of_many_words():
     out = list(live.advance(1, state, iter([(" ".join("abcdefghijklmnopqrstuvwxy"), 24, 0, "", False)]), 10))
     assert [e[2] for e in out] == ["WINDOW"] and state.next_trigger == 20 and len(state.last) == 10
     assert [e[2] for e in live.close(1, state)] == ["SENTENCE"] and list(live.close(1, live.LiveState())) == []
+
+
+def test_grammar_alerts_flag_their_sentences(spark):
+    columns = "doc_id long, seq long, kind string, sent long, words string, merges long, fixes long, flagged boolean"
+    events = spark.createDataFrame([(1, 1, "WINDOW", 0, "a b", 0, 0, False), (1, 2, "SENTENCE", 0, "a b", 0, 0, False), (1, 3, "WINDOW", 1, "b c", 0, 0, False), (1, 4, "SENTENCE", 1, "c", 0, 0, False)], columns)
+    checked = spark.createDataFrame([("1/1", False), ("1/3", True)], "key string, fired boolean")
+    got = live.with_grammar(events, checked)
+    assert sorted((r.seq, r.kind, r.flagged) for r in got.collect()) == [(1, "WINDOW", False), (2, "SENTENCE", False), (3, "GRAMMAR", True), (3, "WINDOW", False), (4, "SENTENCE", True)]
+    assert sorted((r.sent, r.flagged) for r in live.sentence_flags(got).collect()) == [(0, False), (1, True)]
+    late = got.where("kind = 'GRAMMAR'").unionByName(events)  # the alert of one batch, the sentence of another
+    assert sorted((r.sent, r.flagged) for r in live.sentence_flags(late).collect()) == [(0, False), (1, True)]
+    assert {r.kind: r.n for r in live.alert_counts(got).collect()} == {"WINDOW": 2, "SENTENCE": 2, "GRAMMAR": 1}
+
+
+def test_a_checked_stream_is_written_and_calls_back(spark, tmp_path):
+    columns = "doc_id long, seq long, kind string, sent long, words string, merges long, fixes long, flagged boolean"
+    spark.createDataFrame([(1, 1, "WINDOW", 0, "a b", 0, 0, False), (1, 2, "SENTENCE", 0, "a b", 0, 0, False)], columns).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema(columns).parquet(str(tmp_path / "in"))
+    started = live.write_checked(stream, lambda w: w.select("key", F.lit(True).alias("fired")), str(tmp_path / "out"), str(tmp_path / "point"), lambda df, n: seen.append((n, [r.kind for r in df.collect()])))
+    started.processAllAvailable()
+    started.stop()
+    assert seen == [(0, ["GRAMMAR"])]
+    assert [(r.sent, r.flagged) for r in live.sentence_flags(spark.read.parquet(str(tmp_path / "out"))).collect()] == [(0, True)]
+
+
+def test_an_owners_model_comes_first_and_is_never_written(spark, tmp_path):
+    own, other = corpora.ModelStore(spark, str(tmp_path / "own")), str(tmp_path / "other")
+    made = []
+    build = lambda: made.append(1) or spark.range(3).toDF("x")
+    assert own.load_first("m", [other], build).count() == 3 and own.load_first("m", [other], build).count() == 3 and len(made) == 1
+    assert not os.path.exists(other)
+    spark.range(5).toDF("x").write.parquet(f"{other}/m")
+    assert own.load_first("m", [other], build).count() == 5
+
+
+def test_typed_lines_and_long_reports(spark, tmp_path):
+    assert [tuple(r) for r in corpora.read_lines(spark, ["a b", "", " c ", "EXIT", "d"]).collect()] == [(0, "a b"), (1, "c")]
+    assert corpora.write_report(spark.range(5), str(tmp_path / "r"), limit=2).splitlines()[-1] == "... the first 2 rows only"
