@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from quillstream.sources import corpora
