@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, bytes_column, join_hot, ragged, ragged_parts, signed, slices
+from .common import BitFilter, Staging, bytes_column, join_hot, ragged, ragged_parts, signed, slices
 from .components import connected_components
 from .tokens import combine, distinct_by_row, mix, row_of, shingles, token_hashes
 
@@ -205,7 +205,7 @@ def linked(sets: np.ndarray, ptr: np.ndarray, percent: int) -> list[tuple[int, i
     return edges
 
 
-def _links(member: DataFrame, docs: DataFrame, config: MinMaxConfig, id_col: str, text_col: str) -> DataFrame:
+def _links(member: DataFrame, docs: DataFrame, config: MinMaxConfig, id_col: str, text_col: str, staging: Staging) -> DataFrame:
     """(a, b): a spanning forest of the confirmed links in every place, from rows (label, node, rep, h1, h2, places)."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +224,10 @@ def _links(member: DataFrame, docs: DataFrame, config: MinMaxConfig, id_col: str
         a, b = (node[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    asked = member.select("label", "node", "h1", "h2", "places", F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("text_hash"))
-    full = asked.join(_texts(docs, id_col, text_col), ["id", "text_hash"]).select("label", "node", "h1", "h2", "places", "text")
+    # Few texts are asked for: the others are left out before the join.
+    asked = staging.write(member.select("label", "node", "h1", "h2", "places", F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("text_hash")))
+    texts = BitFilter(asked, "id", "text_hash").rows(_texts(docs, id_col, text_col), "id", "text_hash")
+    full = asked.join(texts, ["id", "text_hash"]).select("label", "node", "h1", "h2", "places", "text")
     sets = full.mapInArrow(shingled, f"label long, node long, places {_PLACES}, shingles array<long>")
     return sets.select("label", "node", "shingles", F.explode("places").alias("at")).select("label", "at.r", "at.p", "node", "shingles").groupBy("label", "r", "p").applyInArrow(confirm, "a long, b long")
 
@@ -248,7 +250,7 @@ def confirmed_components(member: DataFrame, docs: DataFrame, config: MinMaxConfi
     pivot = several.groupBy("label", F.pmod(F.xxhash64("h1"), F.lit(config.pivots)).alias("k")).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("is_pivot"))
     zero = F.lit(0)
     places = F.when(F.col("is_pivot"), _place(F.col("parts"), lambda p: at(zero, p))).otherwise(F.array(at(zero, F.col("part"))))
-    first = _links(member.join(pivot, "node", "left").withColumn("places", places), docs, config, id_col, text_col)
+    first = _links(member.join(pivot, "node", "left").withColumn("places", places), docs, config, id_col, text_col, staging)
     found = connected_components(first, staging)
     # Clusters of several blocks that are not one component yet: what is outside of the largest one meets all blocks.
     apart = several.join(found.withColumnRenamed("label", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -261,7 +263,7 @@ def confirmed_components(member: DataFrame, docs: DataFrame, config: MinMaxConfi
     apart = apart.join(largest, "label").withColumn("rest", F.pmod(F.xxhash64("node", zero), F.col("rests")).cast("int"))
     own = _place(F.col("rests"), lambda r: at(r, F.col("part")))
     places = F.when(F.col("component") == F.col("main"), own).otherwise(F.concat(own, _place(F.col("parts"), lambda p: at(F.col("rest"), p))))
-    more = _links(apart.withColumn("places", places), docs, config, id_col, text_col)
+    more = _links(apart.withColumn("places", places), docs, config, id_col, text_col, staging)
     out = connected_components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), staging)
     staging.drop(member, found)
     return out
@@ -314,11 +316,17 @@ def keep_one_of_each(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_
     cases: rows of null ids and of texts without a word stay, but of rows that repeat id and text one stays; extra
     columns may have any name that does not begin with quillstream_; an empty table gives no rows.
     """
+    staging, by = Staging(docs.sparkSession), ["quillstream_id", "quillstream_text"]
     judged = _judged(docs, config, id_col, text_col).withColumnsRenamed({"id": "quillstream_id", "text_hash": "quillstream_text"})
-    by = ["quillstream_id", "quillstream_text"]
     named = docs.withColumn(by[0], F.col(id_col).cast("long")).withColumn(by[1], F.xxhash64(F.col(text_col).cast("string")))
-    kept = named.join(judged.where("not stays").select(by).distinct(), by, "left_anti")
-    repeated = judged.where("stays and quillstream_id is not null").groupBy(by).count().where("count > 1").select(by)
+    dropped = judged.where("not stays").select(*by, F.lit(False).alias("quillstream_once"))
+    repeated = judged.where("stays and quillstream_id is not null").groupBy(by).count().where("count > 1").select(*by, F.lit(True).alias("quillstream_once"))
+    told = staging.write(dropped.distinct().union(repeated))
+    # Rows of which nothing is told are not moved.
+    bits = BitFilter(told, *by)
+    kept = bits.rows(named, *by, found=False)
+    asked = bits.rows(named, *by).join(told, by, "left")
+    kept = kept.unionByName(asked.where("quillstream_once is null").drop("quillstream_once"))
     if not repeated.isEmpty():
-        kept = kept.join(repeated, by, "left_anti").unionByName(kept.join(repeated, by, "left_semi").dropDuplicates(by))
+        kept = kept.unionByName(asked.where("quillstream_once").drop("quillstream_once").dropDuplicates(by))
     return kept.select(docs.columns)
