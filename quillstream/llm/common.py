@@ -96,34 +96,27 @@ _PIECE_BITS = 1 << 15
 
 class BitFilter:
     """A bit for each hash of some keys: rows whose bit is not set are not among them.  It keeps rows out of a shuffle and
-    decides nothing; its size is bounded, and where it fills up more rows are moved, with the same result."""
+    decides nothing; its size is bounded, so it may be broadcast, and where it fills up more rows are moved, with the same result."""
 
-    def __init__(self, keys: DataFrame, *columns: str):
+    def __init__(self, staging: Staging, keys: DataFrame, *columns: str):
         n = keys.count()
         self.bits = _PIECE_BITS
         while self.bits < min(32 * n, _MOST_BITS):
             self.bits *= 2
-        at = keys.select(self.place(*columns).alias("at"))
-        pieces = at.groupBy(F.floor(F.col("at") / _PIECE_BITS).alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % _PIECE_BITS).alias("bits")).collect()
-        held = np.zeros((self.bits // _PIECE_BITS, _PIECE_BITS // 8), np.uint8)
-        for r in pieces:
-            held[r.piece] = np.frombuffer(r.bits, np.uint8)
-        self.shared = keys.sparkSession.sparkContext.broadcast(held.ravel())
-
-    def place(self, *columns: str) -> Column:
+        at = keys.select(self._place(*columns).alias("at"))
+        pieces = at.groupBy(F.floor(F.col("at") / _PIECE_BITS).alias("quillstream_piece"))
+        self.pieces = staging.write(pieces.agg(F.bitmap_construct_agg(F.col("at") % _PIECE_BITS).alias("quillstream_bits")))
+
+    def _place(self, *columns: str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
 
     def rows(self, df: DataFrame, *columns: str, found: bool = True) -> DataFrame:
         """The rows whose bit is set, or those whose bit is not."""
-        shared = self.shared
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy()
-                is_set = shared.value[at >> 3] >> (at & 7) & 1 == 1
-                yield batch.filter(pa.array(is_set == found)).select(batch.schema.names[:-1])
-
-        return df.withColumn("quillstream_place", self.place(*columns)).mapInArrow(run, df.schema)
+        at = self._place(*columns)
+        byte = F.hex(F.substring("quillstream_bits", (F.floor(at % _PIECE_BITS / 8) + 1).cast("int"), F.lit(1)))
+        is_set = F.coalesce(F.getbit(F.conv(byte, 16, 10).cast("long"), (at % 8).cast("int")) == 1, F.lit(False))
+        placed = df.withColumn("quillstream_piece", F.floor(at / _PIECE_BITS))
+        return placed.join(F.broadcast(self.pieces), "quillstream_piece", "left").where(is_set == F.lit(found)).select(df.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

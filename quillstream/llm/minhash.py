@@ -226,7 +226,7 @@ def _links(member: DataFrame, docs: DataFrame, config: MinMaxConfig, id_col: str
 
     # Few texts are asked for: the others are left out before the join.
     asked = staging.write(member.select("label", "node", "h1", "h2", "places", F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("text_hash")))
-    texts = BitFilter(asked, "id", "text_hash").rows(_texts(docs, id_col, text_col), "id", "text_hash")
+    texts = BitFilter(staging, asked, "id", "text_hash").rows(_texts(docs, id_col, text_col), "id", "text_hash")
     full = asked.join(texts, ["id", "text_hash"]).select("label", "node", "h1", "h2", "places", "text")
     sets = full.mapInArrow(shingled, f"label long, node long, places {_PLACES}, shingles array<long>")
     return sets.select("label", "node", "shingles", F.explode("places").alias("at")).select("label", "at.r", "at.p", "node", "shingles").groupBy("label", "r", "p").applyInArrow(confirm, "a long, b long")
@@ -323,7 +323,7 @@ def keep_one_of_each(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_
     repeated = judged.where("stays and quillstream_id is not null").groupBy(by).count().where("count > 1").select(*by, F.lit(True).alias("quillstream_once"))
     told = staging.write(dropped.distinct().union(repeated))
     # Rows of which nothing is told are not moved.
-    bits = BitFilter(told, *by)
+    bits = BitFilter(staging, told, *by)
     kept = bits.rows(named, *by, found=False)
     asked = bits.rows(named, *by).join(told, by, "left")
     kept = kept.unionByName(asked.where("quillstream_once is null").drop("quillstream_once"))

@@ -52,11 +52,11 @@ def test_components(spark):
 def test_a_bit_filter_parts_rows_and_loses_none(spark):
     rows = spark.range(5000).select((F.col("id") * 7919).alias("a"), F.col("id").cast("string").alias("b")).union(spark.createDataFrame([(None, "x")], "a long, b string"))
     keys = rows.where("a % 10 = 0").select("a")
-    bits = common.BitFilter(keys, "a")
+    bits = common.BitFilter(common.Staging(spark), keys, "a")
     inside, outside = bits.rows(rows, "a"), bits.rows(rows, "a", found=False)
     assert inside.columns == rows.columns and inside.count() + outside.count() == 5001
     assert inside.join(keys, "a", "left_semi").count() == 500 and outside.join(keys, "a").count() == 0 and inside.count() < 1000
-    assert common.BitFilter(keys.limit(0), "a").rows(rows, "a").count() == 0
+    assert common.BitFilter(common.Staging(spark), keys.limit(0), "a").rows(rows, "a").count() == 0
 
 
 def test_a_hot_key_joins_as_any_other(spark):
