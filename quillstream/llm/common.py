@@ -92,6 +92,8 @@ def join_hot(many: DataFrame, n: int, one: DataFrame, key: str | list[str], row:
 #: Bits of a filter, at most: 16 MB.
 _MOST_BITS = 1 << 27
 _PIECE_BITS = 1 << 15
+#: Bytes of a filter that one row of the table holds, so that little is copied for each row that is tested.
+_CHUNK = 64
 
 
 class BitFilter:
@@ -105,7 +107,11 @@ class BitFilter:
             self.bits *= 2
         at = keys.select(self._place(*columns).alias("at"))
         pieces = at.groupBy(F.floor(F.col("at") / _PIECE_BITS).alias("quillstream_piece"))
-        self.pieces = staging.write(pieces.agg(F.bitmap_construct_agg(F.col("at") % _PIECE_BITS).alias("quillstream_bits")))
+        pieces = pieces.agg(F.bitmap_construct_agg(F.col("at") % _PIECE_BITS).alias("bits"))
+        each = _PIECE_BITS // 8 // _CHUNK
+        chunks = pieces.select("quillstream_piece", "bits", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("k"))
+        chunks = chunks.select((F.col("quillstream_piece") * each + F.col("k")).alias("quillstream_piece"), F.substring("bits", F.col("k") * _CHUNK + 1, F.lit(_CHUNK)).alias("quillstream_bits"))
+        self.pieces = staging.write(chunks)
 
     def _place(self, *columns: str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
@@ -113,9 +119,9 @@ class BitFilter:
     def rows(self, df: DataFrame, *columns: str, found: bool = True) -> DataFrame:
         """The rows whose bit is set, or those whose bit is not."""
         at = self._place(*columns)
-        byte = F.hex(F.substring("quillstream_bits", (F.floor(at % _PIECE_BITS / 8) + 1).cast("int"), F.lit(1)))
+        byte = F.hex(F.substring("quillstream_bits", (F.floor(at % (8 * _CHUNK) / 8) + 1).cast("int"), F.lit(1)))
         is_set = F.coalesce(F.getbit(F.conv(byte, 16, 10).cast("long"), (at % 8).cast("int")) == 1, F.lit(False))
-        placed = df.withColumn("quillstream_piece", F.floor(at / _PIECE_BITS))
+        placed = df.withColumn("quillstream_piece", F.floor(at / (8 * _CHUNK)))
         return placed.join(F.broadcast(self.pieces), "quillstream_piece", "left").where(is_set == F.lit(found)).select(df.columns)
 
 

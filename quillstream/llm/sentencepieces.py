@@ -29,7 +29,7 @@ _NO_EDGE = np.int64(1) << 40
 _LONGEST = 64
 #: Symbols matched and relaxed at a time, and characters of one text encoded at a time, about.
 _GROUP = 1 << 18
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 @dataclass
@@ -42,7 +42,7 @@ class PieceModel:
     unknown: int
     dummy_prefix: bool
     texts: list[bytes]
-    memo_bytes: int = 64 << 20
+    memo_bytes: int = 16 << 20
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -422,7 +422,7 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col, 2 << 20):
+            for batch in slices(whole, text_col, 1 << 20):
                 ids, ptr = encode_batch(batch.column(text_col).to_pylist(), _model(model))
                 tokens = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns, tokens], names=[*batch.schema.names, "tokens"])
@@ -452,7 +452,7 @@ def encode_digests(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 texts, own = batch.column("text").to_pylist(), _model(model)
                 ids, ptr = encode_batch(texts, own)
                 decoded = decode_batch(ids, ptr, own)
