@@ -152,7 +152,7 @@ def bytes_column(pieces: list[bytes]) -> pa.Array:
     return pa.array(pieces, pa.binary())
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into pieces of about `limit` bytes of the text column `name`, whole rows at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes, dtype=np.int64) // limit

@@ -94,15 +94,26 @@ def document_counts(rows: DataFrame, config: ImportanceConfig) -> np.ndarray:
     size = 2 << config.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((3, size), np.int64)
+        totals = np.zeros((3, size), np.uint32)
+        held: list[np.ndarray] = []  # kind * size + bucket; kind: no label, good, bad
+
+        def flush() -> None:
+            kind, bucket = np.divmod(np.concatenate(held), size)
+            held.clear()
+            for k in (1, 2):
+                totals[k] += np.bincount(bucket[kind == k], minlength=size).astype(np.uint32)
+            totals[0] += np.bincount(bucket, minlength=size).astype(np.uint32)
+
         for whole in batches:
             for batch in slices(whole, "text"):
                 doc, bucket = distinct_features(batch.column("text"), config)
                 good = batch.column(_GOOD)
                 kind = np.where(good.is_null(), 0, np.where(good.fill_null(False), 1, 2))[doc]
-                totals[0] += np.bincount(bucket, minlength=size)
-                for k in (1, 2):
-                    totals[k] += np.bincount(bucket[kind == k], minlength=size)
+                held.append((kind * size + bucket).astype(np.int32))
+                if sum(map(len, held)) > 1 << 21:
+                    flush()
+        if held:
+            flush()
         if totals.any():
             rows = [(k * (size // _SLICE) + s, pack(totals[k, s * _SLICE : (s + 1) * _SLICE].astype(np.uint64))) for k in range(3) for s in range(size // _SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"])

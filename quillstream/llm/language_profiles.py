@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: The answer for a text without letters.
 UNDETERMINED = "und"
 
@@ -112,16 +114,17 @@ def learn_profiles(docs: DataFrame, config: ProfileConfig = ProfileConfig(), id_
                 total = np.bincount(at, weights=n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(total)], names=["lang", "gram", "n"])
 
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys, counts = ngram_counts(text or "")
-                k, c = held.setdefault(lang, ([], []))
-                k.append(keys)
-                c.append(counts)
-                waiting += len(keys)
-                if waiting > 1 << 21:
-                    yield from flush()
-                    held, waiting = {}, 0
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    keys, counts = ngram_counts(text or "")
+                    k, c = held.setdefault(lang, ([], []))
+                    k.append(keys)
+                    c.append(counts)
+                    waiting += len(keys)
+                    if waiting > 1 << 20:
+                        yield from flush()
+                        held, waiting = {}, 0
         yield from flush()
 
     known = docs.where((_fold(id_col, config) != config.test_fold) & F.col(lang_col).isNotNull())
@@ -138,7 +141,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     """The same rows with lang_pred and score; the prediction reads nothing but the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             judged = [profiles.judge(t or "") for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.float64())],
@@ -157,7 +160,7 @@ def with_language(docs: DataFrame, profiles: Profiles, least: float, text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             judged = (profiles.judge(t or "") for t in batch.column(text_col).to_pylist())
             yield batch.filter(pa.array([name != UNDETERMINED and score >= least for name, score in judged], pa.bool_()))
 
