@@ -3,10 +3,11 @@
 Impacts are divided by the item's own full score, so that a score is the part of the item, by BM25
 weight, that a passage holds, and one threshold fits items of all lengths.  Document frequencies and the mean length are
 those of the whole benchmark, whatever the number of indexes it is cut into.  Items stand in blocks
-of like length, and items too long for a passage in indexes of longer passages.  For each passage and block the sum of the
-terms' largest impacts bounds every score in the block; only blocks whose bound reaches the threshold are scored.  The bound takes the few
-most common terms from a dense table and all others from their block postings, and passages share
-half-passages, so that the text is read once.  Retrieved items are verified on five-word shingles of
+of like length, short ones first, and items too long for a passage in indexes of longer passages.  A passage has a cursor in
+the block postings of each of its terms.  Its pivot is the first block by which the largest impacts still ahead of the cursors,
+summed in the order of their blocks, reach the threshold; cursors before it are moved to it, the block is scored if
+its own largest impacts reach the threshold too, and a passage without a pivot is done.  Many passages take
+each step at once, and share half-passages, so that the text is read once.  Retrieved items are verified on five-word shingles of
 the whole document: both halves of the item, question and answer, must be found.
 """
 
@@ -30,11 +31,10 @@ class LeakConfig:
     item wherever it begins.  threshold: of the
     normalised BM25 score.  overlap: part of each half's shingles that must be in the document.
     max_items, max_bytes: of what is broadcast at once; larger benchmarks are asked in several passes.
-    cells: of the table of bounds, half-passages times blocks, that is filled at once."""
+    at_once: half-passages that go through an index together."""
 
     half: int = 64
     block: int = 4
-    common: int = 128
     k1: float = 1.2
     b: float = 0.75
     threshold: float = 0.5
@@ -42,7 +42,7 @@ class LeakConfig:
     overlap: float = 0.8
     max_items: int = 4_000
     max_bytes: int = 8 << 20
-    cells: int = 4 << 20
+    at_once: int = 4_096
 
 
 @dataclass
@@ -102,13 +102,12 @@ class BlockMaxIndex:
         np.maximum.at(largest, where, impact)
         self.block_ptr = np.searchsorted(pairs // self.blocks, np.arange(len(self.terms) + 1))
         self.block_id, self.block_max = pairs % self.blocks, largest
-        common = np.argsort(-np.diff(self.block_ptr), kind="stable")[: config.common]
-        self.common = np.full(len(self.terms), -1)
-        self.common[common] = np.arange(len(common))
-        self.common_max = np.zeros((len(common), self.blocks), np.float32)
-        for row, t in enumerate(common):
-            part = slice(self.block_ptr[t], self.block_ptr[t + 1])
-            self.common_max[row, self.block_id[part]] = self.block_max[part]
+        self.term_of = pairs // self.blocks
+        self.key = pairs
+        self.last = np.append(self.term_of[1:] != self.term_of[:-1], True)
+        # The largest impact of the term in this block or a later one: running maxima from the end, terms kept apart.
+        apart = 2.0 * self.term_of  # impacts are at most 1
+        self.ahead = np.maximum.accumulate((largest - apart)[::-1])[::-1] + apart
         # Inside a block: its terms and a dense table of impacts.
         self.tables = []
         by_block = np.argsort(block, kind="stable")
@@ -124,21 +123,39 @@ class BlockMaxIndex:
             cut = (len(t) + 1) // 2
             self.parts.append([(min(config.shingle, len(p)), np.unique(_runs(p, min(config.shingle, len(p))))) for p in (t[:cut], t[cut:])])
 
-    def bounds(self, term: np.ndarray, half: np.ndarray, n_halves: int) -> np.ndarray:
-        """Of every half-passage and block, a sum that no score in the block exceeds."""
-        place = self.common[term]
-        often = np.flatnonzero(place >= 0)
-        present = np.zeros((n_halves, len(self.common_max)), np.float32)
-        present[half[often], place[often]] = 1
-        out = present @ self.common_max
-        rare = np.flatnonzero(place < 0)
-        pair = distinct(half[rare] * len(self.terms) + term[rare])
-        h, t = pair // len(self.terms), pair % len(self.terms)
-        count = self.block_ptr[t + 1] - self.block_ptr[t]
-        posting = np.repeat(self.block_ptr[t] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        cell = np.repeat(h, count) * self.blocks + self.block_id[posting]
-        out += np.bincount(cell, weights=self.block_max[posting], minlength=out.size).reshape(out.shape).astype(np.float32)
-        return out
+    def candidates(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) of all pairs whose largest impacts reach the threshold, of distinct rows (passage, term)."""
+        least = self.config.threshold - 1e-6
+        at = self.block_ptr[term]
+        passages, blocks = [passage[:0]], [at[:0]]
+        while len(at):
+            order = np.argsort(passage * self.blocks + self.block_id[at])
+            passage, at = passage[order], at[order]
+            start = np.flatnonzero(np.diff(passage, prepend=-1))
+            size = np.diff(start, append=len(at))
+            ahead = self.ahead[at]
+            most = np.cumsum(ahead)
+            enough = most - np.repeat(most[start] - ahead[start], size) >= least
+            reached = np.add.reduceat(enough.astype(np.int64), start)
+            pivot = self.block_id[at[np.minimum(start + size - reached, len(at) - 1)]]
+            group = np.repeat(np.arange(len(start)), size)
+            here = np.repeat(reached > 0, size)
+            owner, passage, at, group = passage[start], passage[here], at[here], group[here]
+            goal = pivot[group]
+            behind = np.flatnonzero(self.block_id[at] < goal)
+            term = self.term_of[at[behind]]
+            at[behind] = moved = np.searchsorted(self.key, term * self.blocks + goal[behind])
+            alive = np.ones(len(at), bool)
+            alive[behind] = self.term_of[np.minimum(moved, len(self.key) - 1)] == term
+            alive[behind[moved == len(self.key)]] = False
+            passage, at, group, goal = passage[alive], at[alive], group[alive], goal[alive]
+            on = self.block_id[at] == goal
+            found = np.flatnonzero(np.bincount(group[on], weights=self.block_max[at[on]], minlength=len(owner)) >= least)
+            passages.append(owner[found])
+            blocks.append(pivot[found])
+            alive = ~(on & self.last[at])
+            passage, at = passage[alive], (at + on)[alive]
+        return np.concatenate(passages), np.concatenate(blocks)
 
     def search(self, hashes: np.ndarray, ptr: np.ndarray) -> dict[tuple[int, int], float]:
         """(row, item) of every pair whose score in some passage reaches the threshold, and its best score."""
@@ -152,25 +169,31 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(len(halves)), halves)
         starts = np.searchsorted(half, np.arange(len(owner) + 1))
         best: dict[tuple[int, int], float] = {}
-        step = max(1, self.config.cells // self.blocks)
+        step = self.config.at_once
         for a in range(0, len(owner), step):
             # Passages a to b; the last one's second half is half-passage b, if that is of the same text.
             b = min(a + step, len(owner))
             c = min(b + 1, len(owner))
             part = slice(starts[a], starts[c])
-            self._passages(term[part], half[part] - a, owner[a:c], b - a, best)
+            # The last half of a longer text is part of the passage before.
+            whole = owner[a:c] != owner[np.maximum(np.arange(a, c) - 1, 0)]
+            whole[0] |= a == 0
+            self._passages(term[part], half[part] - a, owner[a:c], b - a, whole, best)
         return best
 
-    def _passages(self, term: np.ndarray, half: np.ndarray, owner: np.ndarray, n: int, best: dict[tuple[int, int], float]) -> None:
-        """Adds the pairs of the first n of these half-passages, each with the next one of its text."""
-        joint = self.bounds(term, half, len(owner))
+    def _passages(self, term: np.ndarray, half: np.ndarray, owner: np.ndarray, n: int, opens: np.ndarray, best: dict[tuple[int, int], float]) -> None:
+        """Adds the pairs of the first n of these half-passages, each with the next one of its text; opens: the first of a text."""
         follows = np.zeros(len(owner), np.int64)
         follows[:-1] = owner[1:] == owner[:-1]
-        joint[:-1] += joint[1:] * follows[:-1, None]
         starts = np.searchsorted(half, np.arange(len(owner) + 1))
-        near = joint[:n] >= self.config.threshold - 1e-4
-        for k in np.flatnonzero(near.any(axis=0)).tolist():
-            passage = np.flatnonzero(near[:, k])
+        asked = (follows > 0) | opens
+        asked[n:] = False
+        second = np.flatnonzero((half > 0) & (follows[np.maximum(half - 1, 0)] > 0))
+        row = distinct(np.concatenate((half * len(self.terms) + term, (half[second] - 1) * len(self.terms) + term[second])))
+        row = row[asked[row // len(self.terms)]]
+        passages, blocks = self.candidates(row // len(self.terms), row % len(self.terms))
+        for k in np.unique(blocks).tolist():
+            passage = np.sort(passages[blocks == k])
             size = starts[passage + 1 + follows[passage]] - starts[passage]
             held = np.repeat(starts[passage] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             terms, table = self.tables[k]

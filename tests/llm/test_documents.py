@@ -5,13 +5,16 @@ import math
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream.llm import importance, language_profiles, minhash, sentencepieces, token_lengths
-from quillstream.llm.decontaminate import LeakConfig, find_leaks, without_leaks
+from quillstream.llm.decontaminate import Benchmark, LeakConfig, find_leaks, own_statistics, without_leaks
 from quillstream.llm.deleted_interpolation import InterpolationConfig, fit_weights, score_documents
 from quillstream.llm.sentencepieces import decode_documents, encode_digests, encode_documents
+from quillstream.llm.tokens import LETTER_CLASSES, token_hashes
 
 
 def lowered(text):
@@ -308,7 +311,7 @@ def test_leaks_match_brute_force(clashing, corpus_rows, spark):
     got = {(r.doc_id, r.item_id) for r in find_leaks(data, bench).collect()}
     assert got == want and (500, 2) in got
     scores = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in find_leaks(data, bench).collect()}
-    for config in (LeakConfig(max_items=1), LeakConfig(max_items=2, block=2, common=3, cells=2), LeakConfig(half=4)):
+    for config in (LeakConfig(max_items=1), LeakConfig(max_items=2, block=2, at_once=2), LeakConfig(half=4)):
         again = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in find_leaks(data, bench, config).collect()}
         assert set(again) == want
         if config.half == 64:
@@ -317,6 +320,33 @@ def test_leaks_match_brute_force(clashing, corpus_rows, spark):
     assert kept.columns == data.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in data.collect()} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("config", [LeakConfig(half=8, block=2, at_once=3), LeakConfig(half=8, block=3, at_once=1, threshold=0.2), LeakConfig(half=8, block=1)])
+def test_pivots_retrieve_what_scoring_every_item_does(config):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{x}" for x in np.minimum(rng.zipf(1.3, n), 60)]
+    items = [draw(int(rng.integers(1, 9))) for _ in range(30)]
+    texts = [draw(int(rng.integers(0, 60))) for _ in range(40)] + [[], ["unknown"], items[3], draw(3) + items[7] + draw(3)]
+    lines = [" ".join(t) for t in items]
+    stats = own_statistics(lines)
+    (index,) = Benchmark(list(enumerate(lines)), config, stats).indexes
+    hashes, ptr = token_hashes(pa.array([" ".join(t) for t in texts], pa.large_string()), LETTER_CLASSES)
+    got = {(r, index.ids[i]): s for (r, i), s in index.search(hashes, ptr).items()}
+
+    df = {w: sum(w in t for t in items) for t in items for w in t}
+    want = {}
+    for i, item in enumerate(items):
+        weight = {}
+        for w in set(item):
+            tf, norm = item.count(w), config.k1 * (1 - config.b + config.b * len(item) / stats.mean)
+            weight[w] = math.log1p((len(items) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (config.k1 + 1) / (tf + norm)
+        for r, text in enumerate(texts):
+            for at in range(0, len(text), config.half):
+                score = sum(x for w, x in weight.items() if w in text[at : at + 2 * config.half]) / sum(weight.values())
+                if score >= config.threshold:
+                    want[r, i] = max(want.get((r, i), 0.0), score)
+    assert got == pytest.approx(want) and len(want) > 30
+
+
 def foul_corpus(n=600, seed=3):
     """Rows and labels; every fourth document is foul by one word, every fourth is junk in its punctuation."""
     import random
