@@ -93,9 +93,11 @@ def is_root(symbol: str) -> bool:
 MAX_RULES = 1_000_000
 
 
-def cky(words: list[str], leaves: list[dict[str, float]], binary: dict[tuple[str, str], list[tuple[str, float]]]) -> tuple[str | None, float | None]:
-    """The best tree of a sentence symbol and its log-probability, or nothing: S if it spans the words, else the best."""
-    n = len(words)
+def cky(words: list[str], leaves: list[dict[str, float]], binary: dict[str, dict[str, list[tuple[str, float]]]]) -> tuple[str | None, float | None]:
+    """The best tree of a sentence symbol and its log-probability, or nothing: S if it spans the words, else the best.
+
+    binary: by the left and then by the right symbol, so that a split looks at pairs that a rule joins, not at all pairs."""
+    n, none = len(words), {}
     chart: dict[tuple[int, int], dict[str, tuple[float, tuple | None]]] = {(i, i): {s: (p, None) for s, p in leaves[i].items()} for i in range(n)}
     for span in range(2, n + 1):
         for i in range(n - span + 1):
@@ -103,11 +105,16 @@ def cky(words: list[str], leaves: list[dict[str, float]], binary: dict[tuple[str
             cell: dict[str, tuple[float, tuple | None]] = {}
             for k in range(i, j):
                 right = chart[k + 1, j]
+                if not right:
+                    continue
                 for b, (pb, _) in chart[i, k].items():
-                    for c, (pc, _) in right.items():
-                        for lhs, p in binary.get((b, c), ()):
-                            if lhs not in cell or p + pb + pc > cell[lhs][0]:
-                                cell[lhs] = (p + pb + pc, (k, b, c))
+                    joined = binary.get(b, none)
+                    for c in right if len(right) < len(joined) else joined:
+                        if c in joined and c in right:
+                            pc = right[c][0]
+                            for lhs, p in joined[c]:
+                                if lhs not in cell or p + pb + pc > cell[lhs][0]:
+                                    cell[lhs] = (p + pb + pc, (k, b, c))
             chart[i, j] = cell
     top = chart.get((0, n - 1), {})
     roots = [s for s in top if is_root(s)]
@@ -139,9 +146,9 @@ def parse_sentences(sentences: DataFrame, grammar: DataFrame, longest: int = 25)
     held = binary.limit(MAX_RULES + 1).collect()
     if len(held) > MAX_RULES:
         raise ValueError("the grammar is too large to hold")
-    rules: dict[tuple[str, str], list[tuple[str, float]]] = {}
+    rules: dict[str, dict[str, list[tuple[str, float]]]] = {}
     for r in sorted(held):
-        rules.setdefault((r.b, r.c), []).append((r.lhs, r.logp))
+        rules.setdefault(r.b, {}).setdefault(r.c, []).append((r.lhs, r.logp))
     found = lexical.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("lhs", "logp"))).alias("options"))
     joined = sentences.withColumn("key", F.lower("word")).join(found.withColumnRenamed("word", "key"), "key", "left")
     rows = joined.groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("i", "word", "tag", "options"))).alias("items"))

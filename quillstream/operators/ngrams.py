@@ -144,6 +144,45 @@ class NgramModel:
         return grams.withColumn("p", p)
 
 
+def normalisation(model: NgramModel, smoothing: str) -> DataFrame:
+    """(h{order-1}.., h1, total): the sum of P(word | context) over the whole vocabulary, for every context seen, shorter ones with
+    nulls before them; smoothing: witten_bell, addk, or continuation, which has no counts at the highest order.
+
+    Words that follow the context are summed one by one; all others share what the lower order leaves beside those
+    words, so that contexts and vocabulary are never crossed."""
+    k, names = model.k, [f"h{i}" for i in range(model.order - 1, 0, -1)]
+    if smoothing == "continuation":
+        counts = {n - 1: continuation_counts(model.gram[n], n) for n in range(2, model.order + 1)}
+    else:
+        counts = model.gram
+    vocabulary = model.size.select("v")
+    first = counts[1].agg(F.sum("cnt").alias("n"), F.count("*").alias("n_types")).join(F.broadcast(vocabulary))  # one row each
+    share = (F.col("cnt") + k) / (F.col("n") + k * F.col("v"))
+    p = counts[1].join(F.broadcast(first)).select("word", share.alias("p"))
+    below = p.agg(F.sum("p").alias("seen")).join(first).select((F.col("seen") + (F.col("v") - F.col("n_types")) * k / (F.col("n") + k * F.col("v"))).alias("below"))
+    out = None
+    for n in range(2, max(counts) + 1):
+        context = names[model.order - n :]
+        rows = counts[n].join(context_tables(counts[n], n), context).join(p.withColumnRenamed("p", "low"), [*context[1:], "word"])
+        rows = rows.join(F.broadcast(vocabulary))
+        c, t, d, low = (F.col(x) for x in ("cnt", "total", "types", "low"))
+        if smoothing == "witten_bell":
+            own, rest = (c + d * low) / (t + d), d / (t + d)
+        elif smoothing == "addk":
+            own, rest = (c + k) / (t + k * F.col("v")), (F.col("v") - d) * k / (t + k * F.col("v"))
+        else:
+            own, rest = F.greatest(c - model.discount, F.lit(0.0)) / t + model.discount * d / t * low, model.discount * d / t
+        rows = rows.withColumn("p", own)
+        sums = rows.groupBy(*context).agg(F.sum("p").alias("seen"), F.sum("low").alias("met"), F.max(rest).alias("rest"))
+        sums = sums.join(below, context[1:]) if n > 2 else sums.join(F.broadcast(below))
+        left = F.lit(1.0) if smoothing == "addk" else F.col("below") - F.col("met")
+        totals = sums.select(*context, (F.col("seen") + F.col("rest") * left).alias("total"))
+        part = totals.select(*(F.col(x) if x in context else F.lit(None).cast("string").alias(x) for x in names), "total")
+        out = part if out is None else out.unionByName(part)
+        p, below = rows.select(*context, "word", "p"), totals.withColumnRenamed("total", "below")
+    return out
+
+
 def sentence_scores(model: NgramModel, text: DataFrame, smoothing: str, *keys: str) -> DataFrame:
     """(keys, logp, n_words): of each sentence of `text`, ends included in logp."""
     looked = model.looked_up(text).withColumn("p", model.probability(smoothing))

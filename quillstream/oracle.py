@@ -269,10 +269,19 @@ SQL |= {
         BENCH, GRAMS, WINDOWS, scoring("wx"), _sentence("addk", "0.001::DOUBLE", "sl", "th", "doc_id"), f"ppl AS ({PPL})",
     ),
     "lm_normalisation": corpus(
-        """SELECT h1, round(sum((coalesce(g2.cnt, 0) + types * (coalesce(g1.cnt, 0) + 0.01::DOUBLE) / (n_all + 0.01::DOUBLE * v)) / (total + types)), 6) AS total FROM
-(SELECT word AS h1 FROM bw WHERE i = 1 AND word IN (SELECT word FROM known) GROUP BY word ORDER BY count(*) DESC, word LIMIT 3) c JOIN x2 USING (h1),
-(SELECT word FROM known UNION ALL VALUES ('<unk>'), ('</s>')) k LEFT JOIN g1 USING (word) LEFT JOIN g2 ON g2.h1 = c.h1 AND g2.word = k.word, size GROUP BY h1""".replace("FROM\n(SELECT word AS h1", "FROM (SELECT c.h1, k.word, total, types FROM (SELECT word AS h1").replace(") k LEFT JOIN g1 USING (word) LEFT JOIN g2 ON g2.h1 = c.h1 AND g2.word = k.word, size", ") k) z LEFT JOIN g1 USING (word) LEFT JOIN g2 USING (h1, word), size"),
-        BENCH, GRAMS,
+        """SELECT 'witten_bell' AS smoothing, NULL::VARCHAR AS h2, h1, round(total, 6) AS total FROM wb2 UNION ALL SELECT 'witten_bell', h2, h1, round(total, 6) FROM wb3
+UNION ALL SELECT 'addk', NULL, h1, round(sum((cnt + 0.01::DOUBLE) / (total + 0.01::DOUBLE * v)) + max((v - types) * 0.01::DOUBLE / (total + 0.01::DOUBLE * v)), 6) FROM g2 JOIN x2 USING (h1), size GROUP BY h1
+UNION ALL SELECT 'addk', h2, h1, round(sum((cnt + 0.01::DOUBLE) / (total + 0.01::DOUBLE * v)) + max((v - types) * 0.01::DOUBLE / (total + 0.01::DOUBLE * v)), 6) FROM g3 JOIN x3 USING (h2, h1), size GROUP BY h2, h1
+UNION ALL SELECT 'continuation', NULL, h1, round(sum((cnt - 0.75::DOUBLE) / t + 0.75::DOUBLE * d / t * p) + max(0.75::DOUBLE * d / t) * (max(s) - sum(p)), 6) FROM k2 JOIN (SELECT h1, sum(cnt) AS t, count(*) AS d FROM k2 GROUP BY h1) USING (h1) JOIN pk USING (word), sk GROUP BY h1""",
+        GRAMS,
+        "pw AS (SELECT word, (cnt + 0.01::DOUBLE) / (n_all + 0.01::DOUBLE * v) AS p FROM g1, size)",
+        "sw AS (SELECT sum(p) + (max(v) - count(*)) * 0.01::DOUBLE / max(n_all + 0.01::DOUBLE * v) AS s FROM pw, size)",
+        "p2 AS (SELECT h1, word, p AS low, (cnt + types * p) / (total + types) AS p, types / (total + types) AS rest FROM g2 JOIN x2 USING (h1) JOIN pw USING (word))",
+        "wb2 AS (SELECT h1, sum(p) + max(rest) * (max(s) - sum(low)) AS total FROM p2, sw GROUP BY h1)",
+        "wb3 AS (SELECT h2, h1, sum((cnt + types * p) / (x3.total + types)) + max(types / (x3.total + types)) * (max(wb2.total) - sum(p)) AS total FROM g3 JOIN x3 USING (h2, h1) JOIN p2 USING (h1, word) JOIN wb2 USING (h1) GROUP BY h2, h1)",
+        "k1 AS (SELECT word, count(*) AS cnt FROM g2 GROUP BY word)", "k2 AS (SELECT h1, word, count(*) AS cnt FROM g3 GROUP BY h1, word)",
+        "ks AS (SELECT sum(cnt) + 0.01::DOUBLE * max(v) AS n FROM k1, size)", "pk AS (SELECT word, (cnt + 0.01::DOUBLE) / n AS p FROM k1, ks)",
+        "sk AS (SELECT sum(p) + (max(v) - count(*)) * 0.01::DOUBLE / max(n) AS s FROM pk, size, ks)",
     ),
     "edits1_candidates": corpus(
         "SELECT query, cand FROM pairs WHERE query <> cand AND regexp_full_match(cand, '[a-z]+')", VOCAB, BENCH, "asked AS (SELECT DISTINCT word AS q FROM bw WHERE regexp_full_match(word, '[a-z]+'))", symdel("asked", "q")

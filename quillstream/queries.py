@@ -262,16 +262,12 @@ def calibration_percentiles(spark, sf_dir):
 
 @query
 def lm_normalisation(spark, sf_dir):
-    """The sum of P(word | context) over the vocabulary, for the contexts of the benchmark's first words."""
-    model = ngrams.NgramModel(_rows(spark, sf_dir), order=2)
-    contexts = _asked(spark, sf_dir).where("i = 1").join(model.known, "word", "left_semi").groupBy("word").count().orderBy(F.desc("count"), "word").limit(3)
-    # Three contexts, a report's limit; every word of the vocabulary is summed for each.
-    vocab = model.known.union(spark.createDataFrame([("<unk>",), ("</s>",)], "word string"))
-    rows = vocab.join(F.broadcast(contexts.select(F.col("word").alias("h1"))))
-    one = model.gram[1].withColumnRenamed("cnt", "c1")
-    totals = ngrams.context_tables(model.gram[2], 2).select("h1", F.col("total").alias("t2"), F.col("types").alias("d2"))
-    rows = rows.join(one, "word", "left").join(model.gram[2].withColumnRenamed("cnt", "c2"), ["h1", "word"], "left").join(totals, "h1", "left").fillna(0).join(F.broadcast(model.size))
-    return rows.groupBy("h1").agg(F.round(F.sum(model.probability("witten_bell")), 6).alias("total"))
+    """The sum of P(word | context) over the vocabulary, for every context of one or two words and every smoothing."""
+    model, out = ngrams.NgramModel(_rows(spark, sf_dir)), None
+    for smoothing in ("witten_bell", "addk", "continuation"):
+        part = ngrams.normalisation(model, smoothing).select(F.lit(smoothing).alias("smoothing"), "h2", "h1", F.round("total", 6).alias("total"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query

@@ -31,6 +31,38 @@ def test_split_sizes_are_exact(spark):
     assert got == {("g", "train"): 44, ("g", "dev"): 5, ("g", "test"): 6, (None, "train"): 20, (None, "dev"): 2, (None, "test"): 3}
 
 
+@pytest.mark.parametrize("smoothing", ["witten_bell", "addk", "continuation"])
+@pytest.mark.parametrize("threshold", [0, 1])
+def test_normalisation_covers_every_context(w, smoothing, threshold):
+    model = ngrams.NgramModel(w, threshold=threshold)
+    got = {(r.h2, r.h1): r.total for r in ngrams.normalisation(model, smoothing).collect()}
+    grams = {tuple(r): n for *r, n in ((r.h2, r.h1, r.word, r.cnt) for r in model.gram[3].collect())}
+    pairs, singles = {}, {}
+    for (_, h, x), n in grams.items():
+        pairs[h, x] = pairs.get((h, x), 0) + (1 if smoothing == "continuation" else n)
+    raw = pairs if smoothing != "continuation" else dict.fromkeys({(h, x) for _, h, x in grams}, 1)
+    for (_, x), n in raw.items():
+        singles[x] = singles.get(x, 0) + n
+    vocab = {r.word for r in model.known.collect()} | {"<unk>", "</s>"}
+    k, v = model.k, len(vocab)
+
+    def p(x, *context):
+        if not context:
+            return (singles.get(x, 0) + k) / (sum(singles.values()) + k * v)
+        table = {1: pairs, 2: grams}[len(context)]
+        after = [n for g, n in table.items() if g[:-1] == context]
+        c, t, d = table.get((*context, x), 0), sum(after), len(after)
+        if smoothing == "addk":
+            return (c + k) / (t + k * v)
+        low = p(x, *context[1:])
+        return (c + d * low) / (t + d) if smoothing == "witten_bell" else max(c - model.discount, 0) / t + model.discount * d / t * low
+
+    contexts = {(None, h) for h, _ in pairs} | ({g[:2] for g in grams} if smoothing != "continuation" else set())
+    assert set(got) == contexts
+    for h2, h1 in contexts:
+        assert got[h2, h1] == pytest.approx(sum(p(x, *([h2] if h2 else []), h1) for x in vocab), abs=1e-9)
+
+
 @pytest.mark.parametrize("smoothing", ["witten_bell", "addk"])
 def test_probabilities_sum_to_one(spark, w, smoothing):
     model = ngrams.NgramModel(w, order=2, threshold=0)

@@ -8,7 +8,7 @@ import pytest
 from quillstream import queries as register
 
 SF = "/root/testdata/sf0.001"
-FEW = ["gold_spans", "bigrams", "kn_continuation", "symdel_candidates", "deleted_interpolation", "transition_prob", "pcfg_rules", "brown_tag_map", "agreement", "merge_injection", "benchmark_words", "tumbling_windows", "lm_open_vocab", "lm_witten_bell", "correct_nonword", "count_triggers", "window_alerts", "window_agreement", "confusion_square", "most_confused", "weakest_tags", "error_examples", "sampled_documents", "sample_reachability"]
+FEW = ["gold_spans", "bigrams", "kn_continuation", "symdel_candidates", "deleted_interpolation", "transition_prob", "pcfg_rules", "brown_tag_map", "agreement", "merge_injection", "benchmark_words", "tumbling_windows", "lm_normalisation", "lm_open_vocab", "lm_witten_bell", "correct_nonword", "count_triggers", "window_alerts", "window_agreement", "confusion_square", "most_confused", "weakest_tags", "error_examples", "sampled_documents", "sample_reachability"]
 NAMES = sorted(register.oracle_sql()) if os.environ.get("QUILLSTREAM_ALL") else FEW
 
 
