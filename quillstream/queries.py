@@ -541,6 +541,18 @@ def cky_parse(spark, sf_dir):
     return grammar.parse_sentences(_asked_ids(spark, sf_dir), _grammar(spark, sf_dir)).withColumn("logp", F.round("logp", 6))
 
 
+@query
+def grammar_floors(spark, sf_dir):
+    """The levels of the grammar's scores, from parses of 400 drawn sentences: a sample is what is asked for."""
+    rows = _rows(spark, sf_dir).withColumn("id", F.concat_ws("/", "doc_id", "sent"))
+    drawn = reports.sampled_lengths(rows, 400).persist()
+    words = drawn.select("id", "doc_id", "sent", F.posexplode("words").alias("at", "word")).withColumn("i", F.col("at") + 1).drop("at")
+    gold = pseudo_gold.tagged(words).select("id", "i", "word", "tag").persist()
+    parsed = grammar.parse_sentences(gold, _grammar(spark, sf_dir)).persist()
+    found = checks.grammar_floors(parsed, tagging.baseline_tag(gold, tagging.baseline_fit(_gold(spark, sf_dir))))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(found.items())], "name string, level double")
+
+
 @query
 def cky_relational(spark, sf_dir):
     """All chart cells of up to four tags."""

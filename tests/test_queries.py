@@ -50,7 +50,7 @@ def test_candidates_of_all_words_are_the_a_to_z_edits(spark, duck):
 
 def test_every_query_that_sql_can_express_has_sql():
     without = set(register.queries()) - set(register.oracle_sql())
-    assert without == {"correct_sentence", "dp_segment", "viterbi_tags", "oracle_transitions", "transition_histogram", "dependency_parse", "cky_parse", "summary_table", "live_alerts"}
+    assert without == {"correct_sentence", "grammar_floors", "dp_segment", "viterbi_tags", "oracle_transitions", "transition_histogram", "dependency_parse", "cky_parse", "summary_table", "live_alerts"}
 
 
 def test_entry_imports_without_the_training_data_part(monkeypatch):
