@@ -318,3 +318,33 @@ def test_floors_are_merged_and_read(spark, tmp_path):
     tags = spark.createDataFrame([("1", "A", "A"), ("2", "A", "B"), ("3", "A", "B")], "id string, tag string, pred string")
     got = checks.grammar_floors(parsed, tags)
     assert (got["pcfg_p02"], got["pcfg_median"], got["n_sampled"], got["tag_agreement"]) == (-2.0, -2.0, 3.0, 0.5) and got["parse_rate"] == pytest.approx(2 / 3)
+
+
+def test_ngrams_are_shuffled_once_and_only_those_asked_for(spark):
+    rows = spark.createDataFrame([(1, 0, "a b a c".split()), (1, 1, ["b"]), (2, 0, "a a b d".split())], "doc_id long, sent int, words array<string>")
+    model = ngrams.NgramModel(rows)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(model.gram[3]).count("Exchange hashpartitioning(h2") == 1
+    asked = spark.createDataFrame([("a", "b")], "h2 string, h1 string")
+    narrow = ngrams.among(model.gram[3], asked, ["h2", "h1"])
+    lines = plan(narrow).splitlines()
+    assert min(k for k, x in enumerate(lines) if "LeftSemi" in x) > min(k for k, x in enumerate(lines) if "Exchange hashpartitioning(h2" in x)
+    assert sorted(tuple(r) for r in narrow.select("h2", "h1", "word", "cnt").collect()) == [("a", "b", "<unk>", 1), ("a", "b", "a", 1)]
+
+
+def test_a_large_file_is_dealt_out(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(k, "some text") for k in range(500)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(corpus, "TASK_BYTES", 64)
+    monkeypatch.setattr(corpus, "SMALL_SHARE", 64, raising=False)
+    docs = spark.read.parquet(path)
+    assert corpus.word_rows(docs).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_local_models_hold_neighbours_only(spark):
+    rows = spark.createDataFrame([(k, 0, s.split()) for k, s in enumerate(["ab cd ab", "cd ab cd", "xy ab xy"] * 2)], "doc_id long, sent int, words array<string>")
+    strings = spark.createDataFrame([("abcd",), ("xy",)], "chars string")
+    parts = list(segmentation.local_models(strings, rows, 2))
+    assert len(parts) == 1 and parts[0][1].known == {"ab", "cd", "xy"}
+    grams = {g for g in parts[0][1].grams if len(g) == 2}
+    assert ("ab", "cd") in grams and ("cd", "</s>") in grams and not grams & {("cd", "ab"), ("xy", "ab")}
