@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.edits import keyed_number
 from ..operators import segmentation
-from ..operators.corpus import inject_merges, spans
+from ..operators.corpus import rows_of, spans
 
 PENALTIES = (0.0, -2.0, -4.0, -6.0, -8.0)
 BEAMS = (4, 8, 16)
@@ -32,8 +33,10 @@ def tune_segmentation(w: DataFrame, train: DataFrame, penalties: tuple[float, ..
 
 def merge_sweep(w: DataFrame, shares: tuple[float, ...] = MERGE_SHARES) -> DataFrame:
     """(share, n_tokens, n_merged): what each merge probability makes of the words."""
-    out = None
-    for s in shares:
-        row = inject_merges(w, s).agg(F.count("*").alias("n_tokens"), F.coalesce(F.sum(F.col("merged") - 1), F.lit(0)).alias("n_merged")).select(F.lit(s).alias("share"), "n_tokens", "n_merged")
-        out = row if out is None else out.union(row)
-    return out
+    rows = rows_of(w).select("doc_id", "sent", F.posexplode("words").alias("at", "word"))
+    draws = rows.select(keyed_number(F.col("doc_id"), F.col("sent"), (F.col("at") + 1).cast("long")).alias("draw"), (F.col("at") > 0).alias("follows"))
+    # Each word draws once; every share is held against the same draw, as a word's draw does not depend on it.
+    joined = [F.col("follows") & (F.col("draw") < int(s * (1 << 28))) for s in shares]
+    counts = draws.agg(F.count("*").alias("n"), *(F.count_if(j).alias(f"j{k}") for k, j in enumerate(joined)))
+    each = F.array(*(F.struct(F.lit(s).alias("share"), (F.col("n") - F.col(f"j{k}")).alias("n_tokens"), F.col(f"j{k}").alias("n_merged")) for k, s in enumerate(shares)))
+    return counts.select(F.inline(each))
