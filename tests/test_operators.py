@@ -348,3 +348,23 @@ def test_local_models_hold_neighbours_only(spark):
     assert len(parts) == 1 and parts[0][1].known == {"ab", "cd", "xy"}
     grams = {g for g in parts[0][1].grams if len(g) == 2}
     assert ("ab", "cd") in grams and ("cd", "</s>") in grams and not grams & {("cd", "ab"), ("xy", "ab")}
+
+
+def test_long_sentences_are_parsed_too(spark):
+    n = 40
+    tree = "(S " + " ".join(f"(D w{k})" for k in range(n)) + ")"
+    g = grammar.rule_probabilities(grammar.productions(spark.createDataFrame([(tree,)] * 2, "tree string")))
+    rows = spark.createDataFrame([("x", k + 1, f"w{k}", "D") for k in range(n)] + [("y", k + 1, f"w{k}", "D") for k in range(4)], "id string, i long, word string, tag string")
+    got = {r.id: r for r in grammar.parse_sentences(rows, g).collect()}
+    assert got["x"].n_words == n and got["x"].parse is not None and got["y"].parse is not None
+    capped = {r.id: r.parse is None for r in grammar.parse_sentences(rows, g, longest=25).collect()}
+    assert capped == {"x": True, "y": False}
+
+
+def test_merge_shares_read_the_text_once(spark, w):
+    rows = corpus.rows_of(w).select("doc_id", "sent", "words")
+    found = experiments.merge_sweep(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 1
+    for r in found.collect():
+        tokens = corpus.inject_merges(w, r.share).collect()
+        assert (r.n_tokens, r.n_merged) == (len(tokens), sum(t.merged - 1 for t in tokens))
