@@ -368,3 +368,23 @@ def test_merge_shares_read_the_text_once(spark, w):
     for r in found.collect():
         tokens = corpus.inject_merges(w, r.share).collect()
         assert (r.n_tokens, r.n_merged) == (len(tokens), sum(t.merged - 1 for t in tokens))
+
+
+def test_best_of_deletions_is_the_best_of_all_pairs(spark):
+    from quillstream.functions.edits import lookup_keys, offered_keys
+
+    words = [a + b for a in ("", "a", "ab", "né", "aab", "ñu") for b in ("a", "b", "ba", "aba", "é", "ééa", "xyz")]
+    vocab = spark.createDataFrame([(w, 1 + n % 3) for n, w in enumerate(sorted(set(words)))], "word string, cnt long")
+    asked = spark.createDataFrame([(w,) for w in {x + y for x in ("a", "b", "ab", "éa", "nn", "abb") for y in ("", "b", "c", "ab", "é", "yxz")}], "query string").join(vocab.withColumnRenamed("word", "query"), "query", "left_anti")
+    want = {tuple(r) for r in spelling.best_by_count(spelling.candidates(asked, vocab), vocab).collect()}
+    assert {tuple(r) for r in spelling.best_of_deletions(asked, vocab).collect()} == want and len(want) > 15
+    # Two words of n letters share at most n keys, however many others do; under a key there is one word to join.
+    near = spark.range(1).select(F.size(F.array_intersect(lookup_keys(F.lit("abc")), offered_keys(F.lit("xbc")))), F.size(F.array_intersect(lookup_keys(F.lit("abc")), offered_keys(F.lit("bcd")))))
+    assert tuple(near.first()) == (1, 0)
+
+
+def test_tests_counted_before_they_are_joined_are_the_tests(spark):
+    rows = spark.createDataFrame([(d, 0, ["house", "mouse", "tree"]) for d in range(40)] + [(99, 0, ["a"])], "doc_id long, sent long, words array<string>")
+    vocab = corpus.vocabulary(rows)
+    one = {tuple(r) for r in spelling.test_words(rows, vocab).groupBy("kind", "original", "corrupted").count().select("kind", "original", "corrupted", "count").collect()}
+    assert {tuple(r) for r in spelling.test_counts(rows, vocab).select("kind", "original", "corrupted", "n").collect()} == one and one
