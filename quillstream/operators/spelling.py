@@ -70,10 +70,11 @@ def benchmark_words(vocab: DataFrame, count: int = 1000) -> DataFrame:
     """(batch, original, word): `count` corrupted words that left the vocabulary, and `count` clean ones, by a keyed draw;
     fewer where the vocabulary does not give as many.  The size of a batch is what it is for."""
     key = keyed_number(F.col("word"), F.lit("batch"))
-    drawn = vocab.select("word", key.alias("key"))
+    words = vocab.select("word").persist()  # counted once; a filter on what is made of a word would else be put before the count, on every token
+    drawn = words.select("word", key.alias("key"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("key") % len(KINDS) + 1).cast("int"))
     made = drawn.select("key", F.col("word").alias("original"), corrupt(F.col("word"), kind, F.col("key")).alias("word")).where("word <> ''")
-    made = made.join(vocab.select("word"), "word", "left_anti")
+    made = made.join(words, "word", "left_anti")
     foul = made.orderBy("key", "original").limit(count).select(F.lit("corrupted").alias("batch"), "original", "word")
     clean = drawn.orderBy("key", "word").limit(count).select(F.lit("clean").alias("batch"), F.col("word").alias("original"), "word")
     return foul.union(clean)

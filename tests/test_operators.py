@@ -388,3 +388,9 @@ def test_tests_counted_before_they_are_joined_are_the_tests(spark):
     vocab = corpus.vocabulary(rows)
     one = {tuple(r) for r in spelling.test_words(rows, vocab).groupBy("kind", "original", "corrupted").count().select("kind", "original", "corrupted", "count").collect()}
     assert {tuple(r) for r in spelling.test_counts(rows, vocab).select("kind", "original", "corrupted", "n").collect()} == one and one
+
+
+def test_benchmark_words_are_made_of_distinct_words_not_of_tokens(spark):
+    rows = spark.createDataFrame([(1, 0, ["house"] * 5 + ["mouse"])], "doc_id long, sent long, words array<string>")
+    plan = spelling.benchmark_words(corpus.vocabulary(rows), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan and all("md5" not in line for line in plan.split("InMemoryRelation")[1].splitlines()[1:6])
