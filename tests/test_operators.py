@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -394,3 +395,41 @@ def test_benchmark_words_are_made_of_distinct_words_not_of_tokens(spark):
     rows = spark.createDataFrame([(1, 0, ["house"] * 5 + ["mouse"])], "doc_id long, sent long, words array<string>")
     plan = spelling.benchmark_words(corpus.vocabulary(rows), 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" in plan and all("md5" not in line for line in plan.split("InMemoryRelation")[1].splitlines()[1:6])
+
+
+def _as_rows(rows, *drop):
+    return sorted(tuple(r) for r in rows.drop(*drop).collect())
+
+
+def test_gold_made_inside_the_row_is_that_of_the_words(spark, docs, w):
+    rows = corpus.word_rows(docs)
+    one, other = pseudo_gold.tagged(rows), pseudo_gold.tagged(w)
+    assert _as_rows(one, "features") == _as_rows(other, "features") and one.select("features").collect() != []
+    assert "Exchange" not in pseudo_gold.tagged(rows.limit(100).persist())._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    for morph in (False, True):
+        tagged = other.withColumn("tag", F.col("morph")) if morph else other
+        made = pseudo_gold.tagged_rows(rows, morph)
+        assert _as_rows(tagging.tag_ngrams(tagging.tag_histories(made), 3)) == _as_rows(tagging.tag_ngrams(tagging.tag_histories(tagged), 3))
+        assert _as_rows(tagging.emissions(made).select("tag", "word", "cnt")) == _as_rows(tagging.emissions(tagged).select("tag", "word", "cnt"))
+
+
+def test_instances_counted_in_batches_are_the_instances(spark, docs, w):
+    names = ["s0", "s1", "b0", "b1", "label"]
+    want = parsing.oracle_instances(pseudo_gold.with_heads(pseudo_gold.tagged(w))).groupBy(*names).count()
+    got = parsing.oracle_counts(pseudo_gold.tree_rows(corpus.word_rows(docs)))
+    assert _as_rows(got.select(*names, "n")) == _as_rows(want) and want.count() > 10
+    assert parsing.oracle_counts(spark.createDataFrame([([], [], [])], "tags array<string>, heads array<long>, deprels array<string>")).count() == 0
+
+
+def test_chart_reads_rules_and_shorter_cells_from_memory(spark):
+    leaves = spark.createDataFrame([("x", i, "N", 0.0) for i in range(1, 5)], "id string, i int, symbol string, logp double")
+    rules = grammar.rule_probabilities(spark.createDataFrame([("N", "N", "N", 2)], "lhs string, b string, c string, n long"))
+    plan = grammar.cky_joins(leaves, grammar.split_rules(rules)[0], 4)
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.where("i = 1 and j = 4").count() == 1
+
+
+def test_pair_scores_are_read_from_memory_by_both_neighbours(spark, w):
+    scored = spelling.realword_scores(w, corpus.vocabulary(w), spelling.bigram_counts(w))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"InMemoryRelation \[w1#\d+, w2#\d+, logp#\d+\]", plan)) == 2
