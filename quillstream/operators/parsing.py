@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE, ROOT = "NONE", "ROOT"
+_COUNTED = ["s0", "s1", "b0", "b1", "label", "n"]
+
+#: Different instances that a task holds before it hands their counts on.
+MAX_INSTANCES = 100_000
 _INSTANCE = "doc_id long, sent long, step long, s0 string, s1 string, b0 string, b1 string, label string"
 
 
@@ -19,32 +25,30 @@ def _features(stack: list[int], buffer: list[int], pos: list[str]) -> tuple[str,
 
 def oracle(tags: list[str], heads: list[int], relations: list[str]) -> list[tuple[tuple[str, str, str, str], str]]:
     """The (features, transition) pairs that build a gold tree; where no arc fits at the end, a right arc is forced."""
-    pos, waiting = [ROOT, *tags], [0] * (len(tags) + 1)
+    n = len(tags)
+    pos, waiting = [ROOT, *tags, NONE, NONE], [0] * (n + 1)
     for h in heads:
-        if 0 <= h <= len(tags):
+        if 0 <= h <= n:
             waiting[h] += 1
     head, relation = [-1, *heads], ["", *relations]
-    stack, buffer, out = [0], list(range(1, len(tags) + 1)), []
-    first = 0
-    while first < len(buffer) or len(stack) > 1:
-        seen = _features(stack, buffer[first : first + 2], pos)
+    stack, first, out = [0], 1, []
+    while first <= n or len(stack) > 1:
         top = stack[-1]
         under = stack[-2] if len(stack) > 1 else None
+        seen = (pos[top], NONE if under is None else pos[under], pos[first], pos[first + 1])
         if under and head[under] == top and not waiting[under]:
             out.append((seen, f"LEFT-ARC({relation[under]})"))
             waiting[top] -= 1
             del stack[-2]
-        elif under is not None and (head[top] == under and not waiting[top] or first >= len(buffer)):
+        elif under is not None and (first > n or head[top] == under and not waiting[top]):
             out.append((seen, f"RIGHT-ARC({relation[top]})"))
             if head[top] == under:
                 waiting[under] -= 1
             stack.pop()
-        elif first < len(buffer):
+        else:
             out.append((seen, "SHIFT"))
-            stack.append(buffer[first])
+            stack.append(first)
             first += 1
-        else:
-            break
     return out
 
 
@@ -67,19 +71,48 @@ def oracle_instances(gold: DataFrame) -> DataFrame:
     return _sentences(gold, "tag", "head", "deprel").mapInPandas(run, _INSTANCE)
 
 
+def oracle_counts(trees: DataFrame) -> DataFrame:
+    """(s0, s1, b0, b1, label, n): oracle_instances() of rows (tags, heads, deprels), a row a sentence, counted.  Equal trees of a batch
+    are taken once and its instances counted before they leave Python; then their number is bounded by the tagset."""
+    schema = "s0 string, s1 string, b0 string, b1 string, label string, n long"
+
+    def rows(found: Counter) -> pa.RecordBatch:
+        flat = [(*f, t, n) for (f, t), n in found.items()]
+        columns = zip(*flat, strict=True) if flat else [[]] * len(_COUNTED)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 5 else pa.int64()) for k, c in enumerate(columns)], _COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for tree, n in Counter(zip(*(map(tuple, c.to_pylist()) for c in batch.columns), strict=True)).items():
+                for step in oracle(*tree):
+                    found[step] += n
+            if len(found) > MAX_INSTANCES:
+                yield rows(found)
+                found.clear()
+        yield rows(found)
+
+    # Arrays go to Python as they are: joined to strings, Spark would make them over for every use.
+    parts = trees.select("tags", "heads", "deprels").mapInArrow(run, schema)
+    return parts.groupBy(*_COUNTED[:-1]).agg(F.sum("n").alias("n"))
+
+
 def transition_histogram(instances: DataFrame) -> DataFrame:
-    return instances.groupBy("label").agg(F.count("*").alias("cnt"))
+    """(label, cnt) of oracle_instances() or oracle_counts()."""
+    return instances.groupBy("label").agg((F.sum("n") if "n" in instances.columns else F.count("*")).alias("cnt"))
 
 
 def classifier(instances: DataFrame, c: float = 1.0, rounds: int = 100):
-    """One-hot multinomial logistic regression on the four features, with sum-loss strength `c`; unseen values are a zero block."""
+    """One-hot multinomial logistic regression on the four features of oracle_instances() or oracle_counts(), with sum-loss strength
+    `c`; unseen values are a zero block."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
 
     names = ["s0", "s1", "b0", "b1"]
     # Equal instances are one weighted row: at most (tags + 2)^4 feature values, whatever the corpus.
-    rows = instances.groupBy(*names, "label").agg(F.count("*").cast("double").alias("weight")).coalesce(1).persist()
+    times = F.sum("n") if "n" in instances.columns else F.count("*")
+    rows = instances.groupBy(*names, "label").agg(times.cast("double").alias("weight")).coalesce(1).persist()
     n = rows.agg(F.sum("weight")).first()[0] or 1.0
     fitted = Pipeline(
         stages=[

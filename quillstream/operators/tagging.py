@@ -16,14 +16,21 @@ BEGIN, END = "<bos>", "<eos>"
 
 
 def emissions(tagged: DataFrame) -> DataFrame:
-    """(tag, word, cnt); what is such a table already stays as it is."""
+    """(tag, word, cnt) of rows (word, tag), or (words, tags) a sentence; what is such a table already stays as it is."""
     if "cnt" in tagged.columns:
         return tagged
+    if "tags" in tagged.columns:
+        tagged = tagged.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("tags").alias("tag"))))
     return tagged.groupBy("tag", "word").agg(F.count("*").alias("cnt"))
 
 
 def tag_histories(tagged: DataFrame, order: int = 3) -> DataFrame:
-    """(doc_id, sent, i, tag, h1..): the tags before, an end after every sentence."""
+    """(doc_id, sent, i, tag, h1..): the tags before, an end after every sentence.  Rows with an array of `tags` are cut inside the
+    row, to (tag, h1..)."""
+    if "tags" in tagged.columns:
+        rows = tagged.select(F.concat(F.array_repeat(F.lit(BEGIN), order - 1), "tags", F.array(F.lit(END))).alias("m"))
+        names = [*(f"h{k}" for k in range(order - 1, 0, -1)), "tag"]
+        return rows.select(F.inline(F.arrays_zip(*(F.slice("m", F.lit(k + 1), F.size("m") - (order - 1)).alias(n) for k, n in enumerate(names)))))
     ends = tagged.groupBy("doc_id", "sent").agg((F.max("i") + 1).alias("i")).withColumn("tag", F.lit(END))
     rows = tagged.select("doc_id", "sent", "i", "tag").unionByName(ends)
     place = W.partitionBy("doc_id", "sent").orderBy("i")
@@ -127,7 +134,7 @@ def word_candidates(words: DataFrame, tagged: DataFrame, unknown_tags: int = 8)
     """(word, options): for each distinct word its possible tags and log emissions.  A word of the corpus has the tags it was
     seen with; another has the best by its suffixes, with the posterior divided by the tag's prior."""
     distinct = words.select("word").distinct()
-    counts = emissions(tagged)
+    counts = emissions(tagged).persist()  # read four times
     per_tag = counts.groupBy("tag").agg(F.sum("cnt").alias("total"))
     seen = distinct.join(counts, "word").join(F.broadcast(per_tag), "tag").select("word", "tag", F.log(F.col("cnt") / F.col("total")).alias("e"), (-F.col("cnt")).alias("o"))
     every = W.partitionBy()  # one row a tag
