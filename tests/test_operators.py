@@ -433,3 +433,25 @@ def test_pair_scores_are_read_from_memory_by_both_neighbours(spark, w):
     scored = spelling.realword_scores(w, corpus.vocabulary(w), spelling.bigram_counts(w))
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"InMemoryRelation \[[^\]]*(?:logp|before|after)#\d+\]", plan)) == 2
+
+
+@pytest.mark.parametrize(("order", "threshold"), [(2, 1), (3, 1), (3, 0), (4, 1)])
+def test_asked_ngrams_are_counted_in_one_pass_that_keeps_no_sentence(spark, monkeypatch, order, threshold):
+    import random
+
+    from quillstream.operators import asked
+
+    draw, text = random.Random(order), []
+    for k in range(60):  # many words met once, side by side too, and sentences of one word
+        text.append([draw.choice("aabbbcde") if draw.random() < 0.6 else f"w{draw.randrange(90)}" for _ in range(draw.randrange(1, 9))])
+    kind = "doc_id long, sent int, words array<string>"
+    rows = spark.createDataFrame([(k, 0, w) for k, w in enumerate(text)], kind)
+    few = spark.createDataFrame([(k, 0, w) for k, w in enumerate(text[:9] + [["new", "a", "b"], ["a", "new", "old", "b"]])], kind)
+    monkeypatch.setattr(asked, "CHUNK", 40)
+    spark.catalog.clearCache()
+    got = ngrams.NgramModel(rows, order, threshold=threshold).looked_up(few)
+    found = sorted(map(tuple, got.select(sorted(got.columns)).collect()))
+    assert not [x.name() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo() if "line" in x.name()]
+    monkeypatch.setattr(ngrams, "FEW", 0)  # by joins, as for texts of any size
+    want = ngrams.NgramModel(rows, order, threshold=threshold).looked_up(few)
+    assert sorted(got.columns) == sorted(want.columns) and found == sorted(map(tuple, want.select(sorted(want.columns)).collect()))
