@@ -14,11 +14,16 @@ from .spelling import correct_realwords, realword_scores
 MARGIN = 2.0
 
 
+def window_text(windows: DataFrame) -> DataFrame:
+    """The words of rows (key, words), each a sentence."""
+    text = windows.where(F.size("words") > 0).select(F.col("key").alias("doc_id"), F.lit(0).alias("sent"), F.posexplode("words").alias("at", "word"))
+    return text.select("doc_id", "sent", (F.col("at") + 1).cast("long").alias("i"), "word")
+
+
 def window_scores(windows: DataFrame, model: NgramModel, vocab: DataFrame, bigrams: DataFrame, margin: float = MARGIN) -> DataFrame:
     """(key, perplexity, n_fixes) of rows (key, words): the window as a sentence under the add-k model, and its known words that
     another would replace with a gain over the margin.  Each word is judged in the window as it is."""
-    text = windows.where(F.size("words") > 0).select(F.col("key").alias("doc_id"), F.lit(0).alias("sent"), F.posexplode("words").alias("at", "word"))
-    text = text.select("doc_id", "sent", (F.col("at") + 1).cast("long").alias("i"), "word")
+    text = window_text(windows)
     scored = sentence_scores(model, text, "addk", "doc_id").select("doc_id", F.exp(-F.col("logp") / (F.col("n_words") + 1)).alias("perplexity"))
     fixes = correct_realwords(realword_scores(text, vocab, bigrams)).where((F.col("corrected") != F.col("word")) & (F.round(F.col("best_score") - F.col("own_score"), 9) > margin))
     counted = fixes.groupBy("doc_id").agg(F.count("*").alias("n_fixes"))

@@ -455,3 +455,13 @@ def test_asked_ngrams_are_counted_in_one_pass_that_keeps_no_sentence(spark, monk
     monkeypatch.setattr(ngrams, "FEW", 0)  # by joins, as for texts of any size
     want = ngrams.NgramModel(rows, order, threshold=threshold).looked_up(few)
     assert sorted(got.columns) == sorted(want.columns) and found == sorted(map(tuple, want.select(sorted(want.columns)).collect()))
+
+
+def test_two_texts_are_counted_in_one_pass(spark):
+    checks, rows, model = window_model(spark)
+    windows = spark.createDataFrame([("clean", "the cat sat on the mat".split()), ("odd", "mat on to sat ran the".split())], "key string, words array<string>")
+    text = rows.where("doc_id < 5").select("doc_id", "sent", F.posexplode("words").alias("at", "word")).select("doc_id", "sent", (F.col("at") + 1).alias("i"), "word")
+    model.counted(text, checks.window_text(windows))
+    scored = checks.window_scores(windows, model.with_k(0.001), model.vocabulary(text), spelling.bigram_counts(model.train))
+    assert scored.count() == 2 and ngrams.sentence_scores(model, text, "addk", "doc_id", "sent").count() == 5
+    assert len(model._counted) == 1 and sorted(map(tuple, model.vocabulary(text).collect())) == sorted(map(tuple, corpus.vocabulary(rows).collect()))
